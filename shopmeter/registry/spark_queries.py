@@ -39,18 +39,13 @@ AS_OF = dt.date(1998, 7, 15)
 
 def present(df: DataFrame) -> DataFrame:
     """Comparable output: dates as text, whole numbers as long, doubles to six decimals."""
-    columns = []
-    for field in df.schema:
-        value = F.col(field.name)
-        if isinstance(field.dataType, T.DateType):
-            value = F.date_format(value, "yyyy-MM-dd")
-        elif isinstance(field.dataType, T.IntegralType):
-            value = value.cast("long")
-        elif isinstance(field.dataType, T.DoubleType):
-            # The added zero turns a negative zero into a plain one.
-            value = F.rint(value * 1e6) / 1e6 + F.lit(0.0)
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+    forms = {
+        T.DateType: "date_format({0}, 'yyyy-MM-dd') AS {0}",
+        T.IntegerType: "CAST({0} AS BIGINT) AS {0}",
+        # The added zero turns a negative zero into a plain one.
+        T.DoubleType: "rint({0} * 1000000D) / 1000000D + 0D AS {0}",
+    }
+    return df.selectExpr(*[forms.get(type(f.dataType), "{0}").format(f.name) for f in df.schema])
 
 
 def query(function: Query) -> Query:
@@ -208,7 +203,6 @@ def daily_feeds_outer(spark, sf_dir):
 
 @query
 def moving_avg_4w(spark, sf_dir):
-    batch, _, _, _ = views.split_batch(spark, sf_dir)
     new_traffic, new_sales, goods, published = views.split_batch(spark, sf_dir)
     days = daily.daily_feeds(new_traffic, new_sales, goods)
     return metrics.moving_averages(

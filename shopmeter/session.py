@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Files of a durable cut go when nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording a Python call site for every column expression slows planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

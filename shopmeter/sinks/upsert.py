@@ -15,7 +15,7 @@ KEY = ["date", "store_id"]
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing rows whose (date, store) is not in ``new``, plus all of ``new``."""
-    kept = existing.join(new.select(*KEY).distinct(), KEY, "left_anti")
+    kept = existing.join(new.select(*KEY), KEY, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmeter.schemas import conform, parse_date
-from shopmeter.sources.tables import empty, read_table
+from shopmeter.sources.tables import NOTHING_THERE, empty, read_table
 
 # Dates beyond this many are anti-joined instead of listed in the filter: 27 years.
 MAX_LISTED_DAYS = 10_000
@@ -37,8 +38,10 @@ def not_processed(
 ) -> DataFrame:
     """Rows of dates that are not processed yet."""
     if isinstance(processed, DataFrame):
-        done = processed.select(F.col("date").alias(column))
-        return feed.join(done, column, "left_anti")
+        # Distinct dates fit a broadcast whatever the feed holds: the calendar has
+        # 3.7 million of them up to the year 9999, four bytes each.
+        done = processed.select(F.col("date").alias(column)).distinct()
+        return feed.join(F.broadcast(done), column, "left_anti")
     return feed.filter(~F.col(column).isin(list(processed))) if processed else feed
 
 
@@ -72,9 +75,8 @@ def read_unprocessed_files(
     )
     try:
         found = reader.parquet(folder)
-    except Exception as error:
-        condition = getattr(error, "getCondition", lambda: None)()
-        if condition in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_THERE:
             return empty(spark, schema)
         raise
     if processed:
@@ -83,11 +85,11 @@ def read_unprocessed_files(
     return conform(found, schema)
 
 
-def _file_day():
+def _file_day() -> Column:
     return F.regexp_extract("_metadata.file_name", r"_(\d{4}-\d{2}-\d{2})\.parquet$", 1)
 
 
-def date_of_file(name):
+def date_of_file(name: Column) -> Column:
     """Date in a file name column, null when it carries none."""
     text = F.regexp_extract(name, r"_(\d{4}-\d{2}-\d{2})\.parquet$", 1)
     return parse_date(F.nullif(text, F.lit("")))

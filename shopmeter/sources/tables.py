@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from shopmeter.schemas import conform
 
-_NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -32,7 +32,7 @@ def read_table(
     try:
         found = reader.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in _NOTHING_THERE:
+        if error.getCondition() in NOTHING_THERE:
             return empty(spark, schema)
         raise
     return conform(found, schema)
@@ -46,26 +46,24 @@ def read_json_feed(
     A whole-file array cannot be split, so one task reads one file: deliver
     large feeds as many files or as JSON lines (``lines=True``).
     """
-    text = T.StructType(
-        [
-            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)
-            if f.name not in ("opening_hour", "closing_hour")
-            else T.StructField(f.name, T.StringType())
-            for f in schema.fields
-        ]
-        + [T.StructField("error", T.StringType())]
-    )
+    loose = T.StructType([_as_delivered(f) for f in schema.fields] + [_ERROR])
     try:
-        found = spark.read.schema(text).option("multiLine", str(not lines).lower()).json(path)
+        found = spark.read.schema(loose).option("multiLine", str(not lines).lower()).json(path)
     except AnalysisException as error:
-        if error.getCondition() in _NOTHING_THERE:
-            return empty(spark, text).transform(lambda df: _typed(df, schema))
-        raise
-    return _typed(found, schema)
+        if error.getCondition() not in NOTHING_THERE:
+            raise
+        found = empty(spark, loose)
+    return conform(found, T.StructType([*schema.fields, _ERROR]))
+
+
+_ERROR = T.StructField("error", T.StringType())
+_HOURS_AS_TEXT = {"opening_hour", "closing_hour"}
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return conform(df, T.StructType([*schema.fields, T.StructField("error", T.StringType())]))
+def _as_delivered(field: T.StructField) -> T.StructField:
+    """Feeds send dates and opening hours as text; the rest in its declared type."""
+    as_text = isinstance(field.dataType, T.DateType) or field.name in _HOURS_AS_TEXT
+    return T.StructField(field.name, T.StringType() if as_text else field.dataType)
 
 
 def error_rows(feed: DataFrame, keys: list[str]) -> DataFrame:

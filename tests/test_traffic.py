@@ -1,0 +1,146 @@
+import datetime as dt
+import math
+import random
+
+import pandas as pd
+import pytest
+
+from shopmeter.operators import traffic as ops
+from tests.conftest import records
+
+HOURS = "date string, store_id string, visitors int, sales int, hour int"
+
+
+def test_rows_missing_both_measures_are_dropped(frame):
+    rows = frame(HOURS, [
+        ("2023-12-01", "s", None, None, 1),
+        ("2023-12-01", "s", 5, None, 2),
+        ("2023-12-01", "s", None, 3, 3),
+    ])
+    assert [r["hour"] for r in records(ops.drop_unmeasured(rows), "hour")] == [2, 3]
+
+
+@pytest.mark.parametrize(
+    "visitors, sales, mode, expected",
+    [
+        ([100, 6000, 200], [10, 15, 20], "reference", [100.0, 150.0, 200.0]),
+        ([100, 6000, 100], [20, 15, 20], "reference", [100.0, 300.0, 100.0]),
+        ([100, 6000, 100], [20, 15, 20], "inverse_rate", [100.0, 75.0, 100.0]),
+        ([6000], [10], "reference", [6000.0]),
+        ([100, 6000], [10, None], "reference", [100.0, None]),
+        ([100, 6000], [0, 7], "inverse_rate", [100.0, None]),
+    ],
+)
+def test_outlier_repair(frame, visitors, sales, mode, expected):
+    rows = frame(HOURS, [
+        ("2023-12-01", "s", v, s, h) for h, (v, s) in enumerate(zip(visitors, sales))
+    ])
+    repaired = records(ops.repair_outliers(rows, mode=mode), "hour")
+    assert [r["visitors"] for r in repaired] == expected
+
+
+def test_unknown_repair_mode_is_rejected(frame):
+    with pytest.raises(ValueError):
+        ops.repair_outliers(frame(HOURS, [("2023-12-01", "s", 1, 1, 1)]), mode="other")
+
+
+def test_daily_totals_and_peaks(frame):
+    rows = frame(HOURS, [
+        ("2023-12-01", "store_1", 100, 10, 10),
+        ("2023-12-01", "store_1", 200, 20, 14),
+        ("2023-12-02", "store_2", 300, 30, 16),
+    ])
+    for result in (ops.daily_traffic(rows), ops.daily_traffic_repaired(rows)):
+        days = records(result, "date")
+        assert [d["total_visitors"] for d in days] == [300.0, 300.0]
+        assert [d["total_transactions"] for d in days] == [30, 30]
+        assert [d["peak_hour_sales"] for d in days] == [14, 16]
+        assert [d["peak_hour_visitors"] for d in days] == [14, 16]
+
+
+def test_peaks_in_different_hours_ties_and_nothing_measured(frame):
+    rows = frame(HOURS, [
+        ("2023-12-01", "s", 300, 5, 9),
+        ("2023-12-01", "s", 100, 9, 18),
+        ("2023-12-02", "s", 50, 7, 20),
+        ("2023-12-02", "s", 50, 7, 8),
+        ("2023-12-03", "s", 10, None, 8),
+        (None, "s", 10, 1, 8),
+        ("2023-12-03", None, 10, 1, 8),
+    ])
+    days = records(ops.daily_traffic(rows), "date")
+    assert [(d["peak_hour_sales"], d["peak_hour_visitors"]) for d in days] == [
+        (18, 9), (8, 8), (None, 8),
+    ]
+    assert days[2]["total_transactions"] == 0
+    # The same on repaired visitors, which are doubles.
+    doubles = ops.daily_traffic(rows.withColumn("visitors", rows.visitors.cast("double")))
+    assert records(doubles, "date") == days
+
+
+def brute_force(rows, limit, mode):
+    """Row-by-row definition of clean, repair, total and peak."""
+    df = pd.DataFrame(rows, columns=["date", "store_id", "visitors", "sales", "hour"])
+    df = df[~(df.visitors.isna() & df.sales.isna())].copy()
+    fixed = []
+    for _, group in df.groupby("store_id"):
+        group = group.copy()
+        valid = (group.visitors > 0) & (group.visitors <= limit)
+        if valid.any():
+            sold, seen = group.sales[valid].sum(), group.visitors[valid].sum()
+            for i in group.index[group.visitors > limit]:
+                s = group.at[i, "sales"]
+                if mode == "reference":
+                    group.at[i, "visitors"] = s * (100 * sold / seen)
+                else:
+                    group.at[i, "visitors"] = s * seen / sold if sold else math.nan
+        fixed.append(group)
+    out = {}
+    for key, group in pd.concat(fixed).sort_values("hour").groupby(["date", "store_id"]):
+        peaks = []
+        for measure in ("sales", "visitors"):
+            known = group[group[measure].notna()]
+            peaks.append(int(known.loc[known[measure].idxmax(), "hour"]) if len(known) else None)
+        out[key] = (group.visitors.sum(), int(group.sales.sum()), *peaks)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("mode", ["reference", "inverse_rate"])
+def test_one_pass_equals_row_by_row(frame, seed, mode):
+    rng = random.Random(seed)
+    rows = []
+    for store in ("a", "b", "c", "d"):
+        for day in range(5):
+            for hour in range(rng.randint(1, 24)):
+                visitors = rng.choice([None, 0, rng.randint(1, 60), rng.randint(90, 130)])
+                sales = rng.choice([None, 0, rng.randint(0, 6)])
+                if store == "c":
+                    sales = 0 if visitors is not None and visitors <= 100 else sales
+                if store == "d":
+                    visitors = rng.choice([None, 150, 160])
+                rows.append((f"2024-01-0{day + 1}", store, visitors, sales, hour))
+    rng.shuffle(rows)
+    expected = brute_force(rows, 100, mode)
+    feed = frame(HOURS, rows)
+    one_pass = ops.daily_traffic_repaired(feed, 100, mode)
+    stepwise = ops.daily_traffic(ops.repair_outliers(ops.drop_unmeasured(feed), 100, mode))
+    for result in (one_pass, stepwise):
+        found = {
+            (r["date"], r["store_id"]): r for r in records(result, "date", "store_id")
+        }
+        assert set(found) == set(expected)
+        for key, (visitors, sales, peak_sales, peak_visitors) in expected.items():
+            row = found[key]
+            assert row["total_visitors"] == pytest.approx(visitors)
+            assert row["total_transactions"] == sales
+            assert row["peak_hour_sales"] == peak_sales
+            assert row["peak_hour_visitors"] == peak_visitors, (key, row)
+
+
+def test_only_outliers_are_joined_to_the_ratio(spark, frame):
+    """The bulk of the feed must not be shuffled by store."""
+    feed = frame(HOURS, [("2023-12-01", "s", 100, 10, 1)])
+    plan = ops.repair_outliers(feed)._jdf.queryExecution().optimizedPlan().toString()
+    union = plan.index("Union")
+    assert plan.index("Join") > union
