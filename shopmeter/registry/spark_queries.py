@@ -17,7 +17,7 @@ from shopmeter.registry import views
 from shopmeter.sinks.merges import merge_days
 from shopmeter.sinks.upsert import upsert
 from shopmeter.sources import incremental
-from shopmeter.sources.tables import folder_inventory
+from shopmeter.sources.tables import table_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,7 +72,7 @@ def scan_stores(spark, sf_dir):
 
 @query
 def table_inventory(spark, sf_dir):
-    return folder_inventory(
+    return table_counts(
         spark, {name: f"{sf_dir}/{name}.parquet" for name in views.TABLES}
     )
 

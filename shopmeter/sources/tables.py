@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 
 from shopmeter.schemas import conform
 
+PARTITIONED_FEEDS = ["sales", "retail_data"]
 NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
@@ -85,16 +88,37 @@ def cached_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Record count per file of a Parquet dataset; unreadable files are left out."""
+    """Record count per Parquet file below a folder; unreadable files are left out.
+
+    Counting needs footers only, so one reader serves files of any schema.
+    """
     return (
-        spark.read.option("ignoreCorruptFiles", "true")
+        spark.read.schema("any string")
+        .options(ignoreCorruptFiles="true", recursiveFileLookup="true", pathGlobFilter="*.parquet")
         .parquet(path)
         .groupBy(F.col("_metadata.file_path").alias("file"))
         .agg(F.count("*").alias("records"))
     )
 
 
-def folder_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+def extract_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Files and records per stored dataset below the extract root.
+
+    A partitioned feed reports one row per day folder, everything else one row
+    per file or folder directly under the root.
+    """
+    below = F.substring_index("file", root.rstrip("/") + "/", -1)
+    top = F.substring_index(below, "/", 1)
+    day_folder = F.regexp_replace(below, "/[^/]*$", "")
+    return (
+        file_inventory(spark, root)
+        .withColumn("dataset", F.when(top.isin(*PARTITIONED_FEEDS), day_folder).otherwise(top))
+        .groupBy("dataset")
+        .agg(F.count("*").alias("files"), F.sum("records").alias("records"))
+    )
+
+
+def table_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Record count per named dataset."""
     counts = [
         spark.read.parquet(path).agg(F.count("*").alias("records")).select(
@@ -102,7 +126,4 @@ def folder_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         )
         for name, path in paths.items()
     ]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result
+    return functools.reduce(DataFrame.unionByName, counts)

@@ -309,6 +309,19 @@ def test_file_inventory(spark, write_feeds):
     assert sum(r["records"] for r in counts) == 18 and len(counts) == 3
 
 
+def test_extract_inventory(spark, write_feeds, tmp_path):
+    paths, write = write_feeds
+    write(range(2))
+    pd.DataFrame({"id": ["1", "2"]}).to_parquet(tmp_path / "stores.parquet")
+    (tmp_path / "sales" / "sale_date=2023-11-01" / "bad.parquet").write_text("not parquet")
+    (tmp_path / "notes.txt").write_text("ignored")
+    rows = records(tables.extract_inventory(spark, str(tmp_path)), "dataset")
+    assert [(r["dataset"], r["records"]) for r in rows] == [
+        ("products", 3), ("retail_data/date=2023-11-01", 6), ("retail_data/date=2023-11-02", 6),
+        ("sales/sale_date=2023-11-01", 6), ("sales/sale_date=2023-11-02", 6), ("stores.parquet", 2),
+    ]
+
+
 def test_catalog_tables_and_new_partitions(spark, write_feeds):
     paths, write = write_feeds
     write(range(2))
