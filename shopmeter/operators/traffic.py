@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmeter.functions.numbers import zero_sum
+from shopmeter.functions.numbers import fixed_point, zero_sum
 
 MAX_VISITORS = 5000
 DAY_KEY = ["date", "store_id"]
 _HOUR_SLOTS = 128
 
 
+def whole_counts(traffic: DataFrame) -> DataFrame:
+    """Visitors and sales as whole numbers; a feed that passed through floats has NaN gaps."""
+    for measure in ("visitors", "sales"):
+        if not isinstance(traffic.schema[measure].dataType, T.IntegralType):
+            traffic = traffic.withColumn(measure, fixed_point(F.col(measure), 0))
+    return traffic
+
+
 def drop_unmeasured(traffic: DataFrame) -> DataFrame:
     """Drop rows with neither visitors nor sales; one of the two is enough to stay."""
-    return traffic.filter(F.col("visitors").isNotNull() | F.col("sales").isNotNull())
+    return traffic.filter(_measured(traffic, "visitors") | _measured(traffic, "sales"))
+
+
+def _measured(traffic: DataFrame, measure: str) -> Column:
+    value = F.col(measure)
+    if isinstance(traffic.schema[measure].dataType, T.FractionalType):
+        return value.isNotNull() & ~F.isnan(value)
+    return value.isNotNull()
 
 
 def _is_outlier(max_visitors: int) -> Column:
@@ -108,7 +123,7 @@ def _peak_hour(traffic: DataFrame, measure: str) -> Column:
     value, hour = F.col(measure), F.col("hour")
     if isinstance(traffic.schema[measure].dataType, T.IntegralType):
         return _packed_hour(F.max(_pack(value, hour)))
-    measured = value.isNotNull()
+    measured = _measured(traffic, measure)
     return F.max_by(F.when(measured, hour), F.when(measured, F.struct(value, -hour))).cast("int")
 
 
@@ -126,8 +141,12 @@ def daily_traffic(traffic: DataFrame) -> DataFrame:
         _keyed(traffic)
         .groupBy(*DAY_KEY)
         .agg(
-            F.coalesce(F.sum("visitors"), F.lit(0)).cast("double").alias("total_visitors"),
-            zero_sum(F.col("sales")).alias("total_transactions"),
+            F.coalesce(F.sum(F.when(_measured(traffic, "visitors"), F.col("visitors"))), F.lit(0))
+            .cast("double")
+            .alias("total_visitors"),
+            zero_sum(F.when(_measured(traffic, "sales"), F.col("sales"))).alias(
+                "total_transactions"
+            ),
             _peak_hour(traffic, "sales").alias("peak_hour_sales"),
             _peak_hour(traffic, "visitors").alias("peak_hour_visitors"),
         )
@@ -150,7 +169,7 @@ def daily_traffic_repaired(
     usual_visitors = F.when(~outlier, visitors)
     sold = F.when(outlier, sales)
     days = (
-        _keyed(drop_unmeasured(traffic))
+        _keyed(drop_unmeasured(whole_counts(traffic)))
         .groupBy(*DAY_KEY)
         .agg(
             zero_sum(sales).alias("total_transactions"),

@@ -69,17 +69,19 @@ def run_daily_metrics(
     max_visitors: int = MAX_VISITORS,
     mode: str = "reference",
     full_history: bool = False,
+    skip_unreadable: bool = True,
 ) -> bool:
     """Process the dates missing from the metrics table and upsert them into it.
 
     Returns False, with nothing written, when a feed or the product snapshot
     has no new rows. Errors are raised, never swallowed. A row that arrives for
-    a date already published is not picked up again.
+    a date already published is not picked up again. ``full_history`` averages
+    over all published rows instead of the four weeks before the batch.
     """
     metrics = read_table(spark, metrics_path, TRAFFIC_METRICS)
     done = processed_days(metrics)
-    traffic = read_unprocessed(spark, traffic_path, RETAIL_DATA, "date", done)
-    sales = read_unprocessed(spark, sales_path, SALES, "sale_date", done)
+    traffic = read_unprocessed(spark, traffic_path, RETAIL_DATA, "date", done, skip_unreadable)
+    sales = read_unprocessed(spark, sales_path, SALES, "sale_date", done, skip_unreadable)
     products = read_table(spark, products_path, PRODUCTS)
     if traffic.isEmpty() or sales.isEmpty() or products.isEmpty():
         return False

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shopmeter.functions.dates import parse_day
 from shopmeter.schemas import CLIENTS, PRODUCTS, RETAIL_DATA, SALES, STORES
-from shopmeter.sinks.merges import write_merged_days
+from shopmeter.sinks.merges import write_merged_day
 from shopmeter.sinks.writers import require_rows, write_snapshot
 from shopmeter.sources.tables import drop_error_rows, read_json_feed
 
@@ -22,10 +22,11 @@ def extract_sales(
     A day without any line writes nothing and returns False.
     """
     rows = drop_error_rows(read_json_feed(spark, feed, SALES, lines), ["sale_id", "store_id"])
-    rows = rows.filter(F.col("sale_date") == F.lit(parse_day(day)))
+    day = parse_day(day)
+    rows = rows.filter(F.col("sale_date") == F.lit(day))
     if rows.isEmpty():
         return False
-    write_merged_days(spark, rows, target, SALES, "sale_date")
+    write_merged_day(spark, rows, target, SALES, "sale_date", day)
     return True
 
 
@@ -34,8 +35,9 @@ def extract_traffic(
 ) -> None:
     """Merge one day's hourly rows into the traffic dataset; no row is an error."""
     rows = drop_error_rows(read_json_feed(spark, feed, RETAIL_DATA, lines), ["store_id"])
-    rows = rows.filter(F.col("date") == F.lit(parse_day(day)))
-    write_merged_days(spark, require_rows(rows, f"traffic on {day}"), target, RETAIL_DATA, "date")
+    day = parse_day(day)
+    rows = require_rows(rows.filter(F.col("date") == F.lit(day)), f"traffic on {day}")
+    write_merged_day(spark, rows, target, RETAIL_DATA, "date", day)
 
 
 def extract_clients(spark: SparkSession, feed: str, target: str, lines: bool = False) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmeter.session import durable
+from shopmeter.schemas import conform
 from shopmeter.sinks.writers import write_partitions
 from shopmeter.sources.tables import read_table
 
@@ -16,18 +18,20 @@ def merge_days(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True).dropDuplicates()
 
 
-def write_merged_days(
-    spark: SparkSession, new: DataFrame, path: str, schema: T.StructType, column: str
+def write_merged_day(
+    spark: SparkSession,
+    new: DataFrame,
+    path: str,
+    schema: T.StructType,
+    column: str,
+    day: dt.date,
 ) -> None:
-    """Merge ``new`` into a dataset partitioned by ``column``, touching only its days.
+    """Merge the rows of one ``day`` into a dataset partitioned by ``column``.
 
-    Only a missing dataset counts as empty. Any other read error is raised, so a
-    failed read can never replace a stored day by the new rows alone. The days
-    are one calendar value each, few enough to list as a partition filter.
+    Only that day's folder is listed, read and replaced. Only a missing folder
+    counts as empty. Any other read error is raised, so a failed read can never
+    replace a stored day by the new rows alone.
     """
-    new = durable(new.filter(F.col(column).isNotNull()))
-    days = [row[0] for row in new.select(column).distinct().collect()]
-    if not days:
-        return
-    existing = read_table(spark, path, schema).filter(F.col(column).isin(days))
-    write_partitions(merge_days(existing, new), path, column)
+    stored = read_table(spark, f"{path.rstrip('/')}/{column}={day.isoformat()}", schema)
+    existing = stored.withColumn(column, F.lit(day))
+    write_partitions(merge_days(existing, conform(new, schema)), path, column)

@@ -19,15 +19,24 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def write_partitions(df: DataFrame, path: str, column: str, compression: str = "zstd") -> None:
+def write_partitions(
+    df: DataFrame,
+    path: str,
+    column: str,
+    compression: str = "zstd",
+    order: tuple[str, ...] = ("store_id",),
+) -> None:
     """Replace exactly the ``column`` partitions present in ``df``.
 
     The rebalance hint gives a small date one file and splits a large date into
-    several, so neither tiny files nor one overloaded writer result. Tasks write
-    to a staging folder and partitions are swapped in when the job commits.
+    several, so neither tiny files nor one overloaded writer result. Rows are
+    ordered by store within a file: a lookup by date and store then skips row
+    groups. Tasks write to a staging folder and partitions are swapped in when
+    the job commits.
     """
     (
         df.hint("rebalance", column)
+        .sortWithinPartitions(column, *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)

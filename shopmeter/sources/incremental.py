@@ -5,13 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmeter.schemas import conform, parse_date
-from shopmeter.sources.tables import NOTHING_THERE, empty, read_table
+from shopmeter.schemas import parse_date
+from shopmeter.sources.tables import read_readable, read_table
 
 # Dates beyond this many are anti-joined instead of listed in the filter: 27 years.
 MAX_LISTED_DAYS = 10_000
@@ -51,10 +50,21 @@ def read_unprocessed(
     schema: T.StructType,
     column: str,
     processed: Sequence[dt.date] | DataFrame,
+    skip_unreadable: bool = True,
 ) -> DataFrame:
-    """New dates of a dataset partitioned by ``column``; unreadable files are skipped."""
-    feed = read_table(spark, path, schema, ignoreCorruptFiles="true")
-    return not_processed(feed, column, processed)
+    """New dates of a dataset partitioned by ``column``.
+
+    Files without a readable footer are logged and skipped. Their date still
+    counts as processed once other files of it are, so pass
+    ``skip_unreadable=False`` to fail instead, which also saves the footer check.
+    """
+
+    def new(feed: DataFrame) -> DataFrame:
+        return not_processed(feed, column, processed)
+
+    if skip_unreadable:
+        return read_readable(spark, path, schema, new)
+    return new(read_table(spark, path, schema))
 
 
 def read_unprocessed_files(
@@ -68,21 +78,12 @@ def read_unprocessed_files(
     The date comes from the file name; other files are ignored. The filter is
     on file metadata only, so it drops whole files before they are opened.
     """
-    reader = spark.read.options(
-        ignoreCorruptFiles="true",
-        recursiveFileLookup="true",
-        pathGlobFilter="*_[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].parquet",
-    )
-    try:
-        found = reader.parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() in NOTHING_THERE:
-            return empty(spark, schema)
-        raise
-    if processed:
-        listed = [day.isoformat() for day in processed]
-        found = found.filter(~_file_day().isin(listed))
-    return conform(found, schema)
+    listed = [day.isoformat() for day in processed]
+
+    def new(files: DataFrame) -> DataFrame:
+        return files.filter((_file_day() != "") & ~_file_day().isin(listed))
+
+    return read_readable(spark, folder, schema, new, recursiveFileLookup="true")
 
 
 def _file_day() -> Column:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import functools
+import logging
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmeter.schemas import conform
 
+log = logging.getLogger(__name__)
+# More broken files than this are no longer an accident.
+MAX_BROKEN_FILES = 1_000
 PARTITIONED_FEEDS = ["sales", "retail_data"]
 NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
@@ -41,6 +46,65 @@ def read_table(
     return conform(found, schema)
 
 
+def unreadable_files(
+    spark: SparkSession, path: str, chosen: Callable[[DataFrame], DataFrame], **options: str
+) -> DataFrame:
+    """Parquet files among the ``chosen`` ones whose footer gives no row.
+
+    ``chosen`` filters on partition columns or file metadata. Only names and
+    footers are read, in parallel.
+    """
+    file = F.col("_metadata.file_path").alias("file")
+    listing = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet")
+    footers = spark.read.schema("any string").options(
+        pathGlobFilter="*.parquet", ignoreCorruptFiles="true"
+    )
+    present = chosen(listing.options(**options).load(path)).select(file)
+    readable = chosen(footers.options(**options).parquet(path)).select(file).distinct()
+    return present.join(readable, "file", "left_anti")
+
+
+def read_readable(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    chosen: Callable[[DataFrame], DataFrame],
+    **options: str,
+) -> DataFrame:
+    """The ``chosen`` files of a dataset without the unreadable ones, which are logged.
+
+    Files are left out by name and the rest is read strictly. Spark's own switch
+    for corrupt files would also drop, without a word, files whose column types
+    differ from the others.
+    """
+    try:
+        found = _infer(spark.read.options(**options), path)
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_THERE:
+            return empty(spark, schema)
+        raise
+    broken = unreadable_files(spark, path, chosen, **options).limit(MAX_BROKEN_FILES + 1)
+    names = [row["file"] for row in broken.collect()]
+    if len(names) > MAX_BROKEN_FILES:
+        raise RuntimeError(f"more than {MAX_BROKEN_FILES} unreadable files below {path}")
+    rows = chosen(spark.read.schema(found).options(**options).parquet(path))
+    if names:
+        log.warning("skipping unreadable files: %s", ", ".join(names))
+        rows = rows.filter(~F.col("_metadata.file_path").isin(names))
+    return conform(rows, schema)
+
+
+def _infer(reader: DataFrameReader, path: str) -> T.StructType:
+    """Schema of a dataset even if the file Spark looks at first is broken."""
+    lenient = reader.option("ignoreCorruptFiles", "true")
+    try:
+        return lenient.parquet(path).schema
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return lenient.option("mergeSchema", "true").parquet(path).schema
+
+
 def read_json_feed(
     spark: SparkSession, path: str, schema: T.StructType, lines: bool = False
 ) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shopmeter.operators import lookups
 from shopmeter.plans import daily, extract
 from shopmeter.schemas import CLIENTS, PRODUCTS, RETAIL_DATA, SALES, STORES, TRAFFIC_METRICS
 from shopmeter.sinks import merges, upsert, writers
@@ -166,6 +167,71 @@ def test_processed_partitions_are_pruned(spark, write_feeds):
     assert "PartitionFilters: [NOT date" in plan
 
 
+def test_unreadable_file_is_skipped_or_raised(spark, write_feeds):
+    paths, write = write_feeds
+    write(range(2))
+    with open(paths["sales"] + "/sale_date=2023-11-01/bad.parquet", "w") as file:
+        file.write("not parquet")
+    assert incremental.read_unprocessed(spark, paths["sales"], SALES, "sale_date", []).count() == 12
+    with pytest.raises(Exception):
+        incremental.read_unprocessed(
+            spark, paths["sales"], SALES, "sale_date", [], skip_unreadable=False
+        ).count()
+
+
+def test_files_of_other_types_are_not_lost(spark, tmp_path):
+    """A day whose counts became floats must fail loudly, not vanish."""
+    for day, value in (("2023-12-01", 5), ("2023-12-02", 5.0)):
+        (tmp_path / f"date={day}").mkdir()
+        pd.DataFrame({"store_id": ["s"], "hour": [1], "visitors": [value]}).to_parquet(
+            tmp_path / f"date={day}" / f"retail_data_{day}.parquet"
+        )
+    with pytest.raises(Exception, match="(?i)mismatch|convert"):
+        incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []).collect()
+    one = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 2)])
+    assert [r["visitors"] for r in records(one, "date")] == [5]
+
+
+def test_a_stored_day_of_other_types_can_be_merged(spark, tmp_path):
+    (tmp_path / "t" / "date=2023-12-01").mkdir(parents=True)
+    pd.DataFrame({"store_id": ["1"], "store_name": ["S"], "hour": [9], "visitors": [float("nan")],
+                  "sales": [4.0], "date": ["2023-12-01"]}).to_parquet(
+        tmp_path / "t" / "date=2023-12-01" / "retail_data_2023-12-01.parquet")
+    row = {"store_id": "1", "store_name": "S", "date": "2023-12-01", "hour": 10, "visitors": 5, "sales": 3}
+    feed = dump(tmp_path / "t.json", [row, dict(row, hour=9, visitors=None, sales=4)])
+    extract.extract_traffic(spark, feed, str(tmp_path / "t"), "2023-12-01")
+    found = records(tables.read_table(spark, str(tmp_path / "t"), RETAIL_DATA), "hour")
+    assert [(r["hour"], r["visitors"], r["sales"]) for r in found] == [(10, 5, 3), (9, None, 4)]
+
+
+def test_lookup_by_date_and_store_reaches_the_scan(spark, write_feeds):
+    paths, write = write_feeds
+    write(range(3))
+    sales = tables.read_table(spark, paths["sales"], SALES)
+    found = lookups.sales_by_date_store(sales, "2023-11-02", "a")
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sale_date" in plan
+    assert "EqualTo(store_id,a)" in plan
+
+
+def test_full_history_reaches_beyond_four_weeks(spark, write_feeds, tmp_path):
+    paths, write = write_feeds
+    write([0])
+    assert run(spark, paths)
+    write([42])
+    other = dict(paths, metrics=str(tmp_path / "full"))
+    spark.read.parquet(paths["metrics"]).write.partitionBy("date").parquet(other["metrics"])
+    assert run(spark, paths)
+    daily.run_daily_metrics(
+        spark, other["retail_data"], other["sales"], other["products"], other["metrics"],
+        full_history=True,
+    )
+    short, long = stored(spark, paths)[-1], stored(spark, other)[-1]
+    assert short["avg_visitors_last_4_weeks"] == short["total_visitors"]
+    assert long["avg_visitors_last_4_weeks"] < long["total_visitors"]
+
+
 def test_flat_files_are_chosen_by_name(spark, tmp_path):
     for name in ("a_2023-12-01.parquet", "a_2023-12-02.parquet", "undated.parquet"):
         pd.DataFrame({"store_id": ["s"], "hour": [1], "date": [name[2:12]]}).to_parquet(tmp_path / name)

@@ -144,3 +144,17 @@ def test_only_outliers_are_joined_to_the_ratio(spark, frame):
     plan = ops.repair_outliers(feed)._jdf.queryExecution().optimizedPlan().toString()
     union = plan.index("Union")
     assert plan.index("Join") > union
+
+
+def test_counts_that_passed_through_floats(frame):
+    nan = float("nan")
+    rows = frame(HOURS.replace("visitors int, sales int", "visitors double, sales double"), [
+        ("2023-12-01", "s", nan, nan, 1), ("2023-12-01", "s", 5.0, nan, 2), ("2023-12-01", "s", 4.0, 2.0, 3),
+    ])
+    assert ops.drop_unmeasured(rows).count() == 2
+    expected = {
+        "date": "2023-12-01", "store_id": "s", "total_visitors": 9.0, "total_transactions": 2,
+        "peak_hour_sales": 3, "peak_hour_visitors": 2,
+    }
+    assert records(ops.daily_traffic(rows), "date") == [expected]
+    assert records(ops.daily_traffic_repaired(rows), "date") == [expected]
