@@ -31,7 +31,11 @@ def merge_feeds(traffic_days: DataFrame, sales_days: DataFrame) -> DataFrame:
     sit on the sales row, so this is the only outer join, and both sides arrive
     partitioned by its key.
     """
-    merged = traffic_days.join(sales_days, DAY_KEY, "full_outer")
+    return fill_missing(traffic_days.join(sales_days, DAY_KEY, "full_outer"))
+
+
+def fill_missing(merged: DataFrame) -> DataFrame:
+    """Numbers missing after the merge become 0; text stays null."""
     return merged.na.fill(0)
 
 

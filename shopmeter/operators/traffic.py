@@ -153,22 +153,18 @@ def daily_traffic(traffic: DataFrame) -> DataFrame:
     )
 
 
-def daily_traffic_repaired(
-    traffic: DataFrame, max_visitors: int = MAX_VISITORS, mode: str = "reference"
-) -> DataFrame:
-    """Clean, repair and total the hourly feed in one pass over it.
+def traffic_day_parts(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> DataFrame:
+    """Per (date, store): the sums and maxima from which repaired totals follow.
 
-    Same rows as ``daily_traffic(repair_outliers(drop_unmeasured(traffic)))``.
-    Because the rate is one number per store, a day's repaired visitors follow
-    from sums and maxima kept apart for usual and outlier hours. So the feed is
-    read once and shuffled once, already reduced to a row per (date, store); the
-    rate is then a window over a store's days, whose number the calendar bounds.
+    Because the repair rate is one number per store, a day's repaired visitors
+    follow from figures kept apart for usual and outlier hours. So the feed is
+    read once and shuffled once, already reduced to a row per (date, store).
     """
     outlier = _is_outlier(max_visitors)
     visitors, sales, hour = F.col("visitors"), F.col("sales"), F.col("hour")
     usual_visitors = F.when(~outlier, visitors)
-    sold = F.when(outlier, sales)
-    days = (
+    outlier_visitors, sold = F.when(outlier, visitors), F.when(outlier, sales)
+    return (
         _keyed(drop_unmeasured(whole_counts(traffic)))
         .groupBy(*DAY_KEY)
         .agg(
@@ -176,33 +172,46 @@ def daily_traffic_repaired(
             F.max(_pack(sales, hour)).alias("sales_peak"),
             zero_sum(usual_visitors).alias("usual_visitors"),
             F.max(_pack(usual_visitors, hour)).alias("usual_peak"),
-            zero_sum(F.when(outlier, visitors)).alias("raw_visitors"),
-            F.max(_pack(F.when(outlier, visitors), hour)).alias("raw_peak"),
+            zero_sum(outlier_visitors).alias("raw_visitors"),
+            F.max(_pack(outlier_visitors, hour)).alias("raw_peak"),
             zero_sum(sold).alias("outlier_sales"),
             F.max(_pack(sold, hour)).alias("outlier_peak"),
             F.min(F.when(sold.isNotNull(), hour)).alias("outlier_first_hour"),
             *_valid_sums(max_visitors),
         )
     )
+
+
+PARTS = (
+    "sales_peak usual_visitors usual_peak raw_visitors raw_peak outlier_sales outlier_peak "
+    "outlier_first_hour valid_sales valid_visitors"
+).split()
+
+
+def finish_traffic_days(parts: DataFrame, mode: str = "reference") -> DataFrame:
+    """Turn day parts into total visitors and peak hours, keeping all other columns.
+
+    The store's rate is a window over its days, whose number the calendar
+    bounds. A row without traffic parts gets null totals.
+    """
     store = Window.partitionBy("store_id")
-    days = days.withColumns(
-        {
-            "store_sales": F.sum("valid_sales").over(store),
-            "store_visitors": F.sum("valid_visitors").over(store),
-        }
-    )
     has_rate = F.col("store_visitors").isNotNull()
 
     def implied(sales_value: Column) -> Column:
         return _repaired(sales_value, F.col("store_sales"), F.col("store_visitors"), mode)
 
-    days = days.withColumns(
+    days = parts.withColumns(
+        {
+            "store_sales": F.sum("valid_sales").over(store),
+            "store_visitors": F.sum("valid_visitors").over(store),
+        }
+    ).withColumns(
         {
-            "peak_value": F.when(has_rate, implied(_packed_value(F.col("outlier_peak")))).otherwise(
+            "outlier_value": F.when(has_rate, implied(_packed_value(F.col("outlier_peak")))).otherwise(
                 _packed_value(F.col("raw_peak")).cast("double")
             ),
             # At a rate of 0 all repaired hours tie at 0 visitors, so the earliest wins.
-            "peak_hour": F.when(~has_rate, _packed_hour(F.col("raw_peak")))
+            "outlier_hour": F.when(~has_rate, _packed_hour(F.col("raw_peak")))
             .when(F.col("store_sales") == 0, F.col("outlier_first_hour"))
             .otherwise(_packed_hour(F.col("outlier_peak"))),
             "usual_value": _packed_value(F.col("usual_peak")).cast("double"),
@@ -212,17 +221,29 @@ def daily_traffic_repaired(
             ).otherwise(F.col("raw_visitors").cast("double")),
         }
     )
+    usual, outlier = F.col("usual_value"), F.col("outlier_value")
     peak_visitors = (
-        F.when(F.col("peak_value").isNull(), F.col("usual_hour"))
-        .when(F.col("usual_value").isNull(), F.col("peak_hour"))
-        .when(F.col("usual_value") > F.col("peak_value"), F.col("usual_hour"))
-        .when(F.col("usual_value") < F.col("peak_value"), F.col("peak_hour"))
-        .otherwise(F.least("usual_hour", "peak_hour"))
+        F.when(outlier.isNull(), F.col("usual_hour"))
+        .when(usual.isNull(), F.col("outlier_hour"))
+        .when(usual > outlier, F.col("usual_hour"))
+        .when(usual < outlier, F.col("outlier_hour"))
+        .otherwise(F.least("usual_hour", "outlier_hour"))
     )
+    others = [name for name in parts.columns if name not in (*DAY_KEY, *PARTS)]
     return days.select(
         *DAY_KEY,
         (F.col("usual_visitors") + F.col("added_visitors")).alias("total_visitors"),
-        "total_transactions",
         _packed_hour(F.col("sales_peak")).alias("peak_hour_sales"),
         peak_visitors.cast("int").alias("peak_hour_visitors"),
+        *others,
     )
+
+
+def daily_traffic_repaired(
+    traffic: DataFrame, max_visitors: int = MAX_VISITORS, mode: str = "reference"
+) -> DataFrame:
+    """Clean, repair and total the hourly feed in one pass over it.
+
+    Same rows as ``daily_traffic(repair_outliers(drop_unmeasured(traffic)))``.
+    """
+    return finish_traffic_days(traffic_day_parts(traffic, max_visitors), mode)

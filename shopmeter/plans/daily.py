@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmeter.operators.metrics import (
+    DAY_KEY,
     as_metrics_table,
+    fill_missing,
     final_metrics,
-    merge_feeds,
     moving_averages,
 )
 from shopmeter.operators.sales import sales_day
-from shopmeter.operators.traffic import MAX_VISITORS, daily_traffic_repaired
+from shopmeter.operators.traffic import (
+    MAX_VISITORS,
+    finish_traffic_days,
+    traffic_day_parts,
+)
 from shopmeter.schemas import PRODUCTS, RETAIL_DATA, SALES, TRAFFIC_METRICS
 from shopmeter.sinks.upsert import upsert_metrics
 from shopmeter.sources.incremental import (
@@ -32,10 +37,16 @@ def daily_feeds(
     max_visitors: int = MAX_VISITORS,
     mode: str = "reference",
 ) -> DataFrame:
-    """Both feeds cleaned, totalled and merged: one row per (date, store)."""
-    return merge_feeds(
-        daily_traffic_repaired(traffic, max_visitors, mode), sales_day(sales, products)
-    )
+    """Both feeds cleaned, totalled and merged: one row per (date, store).
+
+    Same rows as merging ``daily_traffic_repaired`` with ``sales_day``. The feeds
+    meet before the repair is finished: both sides of the join are still
+    partitioned by its key, and the one shuffle by store that the repair rate
+    needs also serves the averages.
+    """
+    parts = traffic_day_parts(traffic, max_visitors)
+    merged = parts.join(sales_day(sales, products), DAY_KEY, "full_outer")
+    return fill_missing(finish_traffic_days(merged, mode))
 
 
 def daily_metrics(

@@ -1,8 +1,11 @@
 import datetime as dt
+import re
 
 import pytest
 
 from shopmeter.operators import metrics as ops
+from shopmeter.operators.sales import sales_day
+from shopmeter.operators.traffic import daily_traffic_repaired
 from shopmeter.plans import daily
 from tests.conftest import records
 
@@ -115,3 +118,36 @@ def test_store_days_of_either_feed_survive(frame):
     assert (other["total_revenue"], other["best_selling_product_id"]) == (0, None)
     assert (late["total_visitors"], late["conversion_rate"], late["peak_hour_sales"]) == (0, None, 0)
     assert late["best_selling_product_name"] == "P"
+
+
+def test_merging_before_the_repair_equals_merging_after(frame):
+    traffic = frame(TRAFFIC, [
+        ("2023-12-01", "a", 9, 100, 10), ("2023-12-01", "a", 10, 9000, 12),
+        ("2023-12-02", "a", 11, 7000, 5), ("2023-12-01", "b", 9, 8000, 3),
+    ])
+    lines = frame(LINES, [("2023-12-03", "a", "p", 1, 5.0), ("2023-12-03", "c", "p", 1, 5.0)])
+    goods = frame(GOODS, [("p", "P", 1.0)])
+    fused = daily.daily_feeds(traffic, lines, goods)
+    stepwise = ops.merge_feeds(daily_traffic_repaired(traffic), sales_day(lines, goods))
+    assert records(fused, "date", "store_id") == records(stepwise.select(*fused.columns), "date", "store_id")
+    assert [r["total_visitors"] for r in records(fused, "date", "store_id")] == [220, 8000, 50, 0, 0]
+
+
+def test_plan_of_the_daily_job(spark, frame, tmp_path):
+    """Needed columns only, one shuffle per aggregate, one by store, none by weekday."""
+    traffic = frame(TRAFFIC + ", store_name string", [("2023-12-01", "a", 9, 100, 10, "A")])
+    lines = frame(LINES + ", client_id string", [("2023-12-01", "a", "p", 1, 5.0, "c")])
+    goods = frame(GOODS + ", category string", [("p", "P", 1.0, "x")])
+    paths = {}
+    for name, df in (("traffic", traffic), ("lines", lines), ("goods", goods)):
+        paths[name] = str(tmp_path / name)
+        df.write.parquet(paths[name])
+    read = {name: spark.read.parquet(path) for name, path in paths.items()}
+    df = daily.daily_metrics(read["traffic"], read["lines"], read["goods"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "store_name" not in plan and "client_id" not in plan and "category" not in plan
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    keys = sorted(re.sub(r"#\d+", "", keys) for keys in shuffles)
+    assert keys == [
+        "date, store_id", "date, store_id", "product_id", "sale_date, store_id, product_id", "store_id",
+    ]
