@@ -260,6 +260,10 @@ add("scan_stores", "FROM stores_v", STORE_COLUMNS)
 add("table_inventory",
     " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS records FROM {t}" for t in TABLES),
     "table_name:s records:i")
+add("file_inventory",
+    " UNION ALL ".join(
+        f"SELECT '{t}.parquet' AS file, count(*) AS records FROM {t}" for t in TABLES),
+    "file:s records:i")
 add("clients_by_city", "FROM clients_v WHERE lower(city) = 'asia'", CLIENT_COLUMNS)
 add("distinct_cities", "SELECT DISTINCT city FROM clients_v", "city:s")
 add("distinct_stores", "SELECT DISTINCT id FROM stores_v", "id:s")

@@ -16,8 +16,7 @@ from shopmeter.plans import daily, reports
 from shopmeter.registry import views
 from shopmeter.sinks.merges import merge_days
 from shopmeter.sinks.upsert import upsert
-from shopmeter.sources import incremental
-from shopmeter.sources.tables import table_counts
+from shopmeter.sources import incremental, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,11 +71,18 @@ def scan_stores(spark, sf_dir):
 
 @query
 def table_inventory(spark, sf_dir):
-    return table_counts(
+    return tables.table_counts(
         spark, {name: f"{sf_dir}/{name}.parquet" for name in views.TABLES}
     )
 
 
+@query
+def file_inventory(spark, sf_dir):
+    """Records per file of the whole folder."""
+    name = F.regexp_extract("file", "([^/]+)$", 1)
+    return tables.file_inventory(spark, sf_dir).select(name.alias("file"), "records")
+
+
 @query
 def clients_by_city(spark, sf_dir):
     return lookups.clients_by_city(views.clients(spark, sf_dir), "aSiA")

@@ -24,7 +24,8 @@ def upsert_metrics(new: DataFrame, path: str) -> None:
 
     The batch is computed once, then only the date partitions it touches are
     read and replaced; a store absent from the batch keeps its row. Running the
-    same batch again leaves the table as it is.
+    same batch again leaves the table as it is. Only the batch's distinct dates
+    come to the driver, at most one per calendar day.
     """
     spark = new.sparkSession
     new = durable(new)

@@ -179,6 +179,34 @@ def test_unreadable_file_is_skipped_or_raised(spark, write_feeds):
         ).count()
 
 
+def test_partition_value_wins_over_the_column_in_the_file(spark, tmp_path):
+    folder = tmp_path / "date=2023-12-01"
+    folder.mkdir()
+    pd.DataFrame({"store_id": ["s"], "hour": [1], "date": ["1999-01-01"]}).to_parquet(
+        folder / "retail_data_2023-12-01.parquet"
+    )
+    for found in (
+        tables.read_table(spark, str(tmp_path), RETAIL_DATA),
+        incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []),
+    ):
+        assert found.first()["date"] == dt.date(2023, 12, 1)
+    done = [dt.date(2023, 12, 1)]
+    assert incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", done).isEmpty()
+
+
+def test_many_stores_in_parallel_files(spark, tmp_path):
+    """A large date is split over files, a small one stays whole; rows come back complete."""
+    rows = spark.range(2000).selectExpr(
+        "cast(id % 50 as string) store_id", "'n' store_name", "cast(id % 24 as int) hour",
+        "cast(id as int) visitors", "1 sales",
+        "date_add(date'2024-01-01', cast(if(id % 3 = 0, 0, id % 7) as int)) date",
+    )
+    path = str(tmp_path / "t")
+    writers.write_partitions(rows, path, "date")
+    back = tables.read_table(spark, path, RETAIL_DATA)
+    assert back.count() == 2000 and back.agg(F.sum("visitors")).first()[0] == 2000 * 1999 // 2
+
+
 def test_files_of_other_types_are_not_lost(spark, tmp_path):
     """A day whose counts became floats must fail loudly, not vanish."""
     for day, value in (("2023-12-01", 5), ("2023-12-02", 5.0)):

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 import re
+from decimal import Decimal
 
 import pytest
 
@@ -151,3 +153,44 @@ def test_plan_of_the_daily_job(spark, frame, tmp_path):
     assert keys == [
         "date, store_id", "date, store_id", "product_id", "sale_date, store_id, product_id", "store_id",
     ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_averages_equal_a_plain_loop(frame, seed):
+    rng = random.Random(seed)
+    start = dt.date(2024, 1, 1)
+    rows = []
+    for store in "abc":
+        for i in range(70):
+            if rng.random() < 0.8:
+                rows.append((
+                    (start + dt.timedelta(days=i)).isoformat(), store,
+                    rng.choice([None, rng.randint(0, 50)]), rng.randint(0, 900),
+                    rng.randint(0, 10**7) / 100,
+                ))
+    cut = (start + dt.timedelta(days=35)).isoformat()
+    expected = {}
+    for day, store, *_ in rows:
+        if day < cut:
+            continue
+        weekday = dt.date.fromisoformat(day).weekday()
+        past = sorted(
+            r for r in rows
+            if r[1] == store and r[0] <= day and dt.date.fromisoformat(r[0]).weekday() == weekday
+        )[-4:]
+        means = []
+        for column in (2, 3, 4):
+            values = [Decimal(str(r[column])) for r in past if r[column] is not None]
+            means.append(float(sum(values) / len(values)) if values else None)
+        expected[day, store] = [m if m is None else round(m * 100) / 100 for m in means]
+    rng.shuffle(rows)
+    schema = DAYS.replace("total_revenue int", "total_revenue double")
+    everything = frame(schema, rows)
+    result = ops.moving_averages(everything.filter(f"date >= '{cut}'"), everything.filter(f"date < '{cut}'"))
+    found = {
+        (r["date"], r["store_id"]): [
+            r["avg_sales_last_4_weeks"], r["avg_visitors_last_4_weeks"], r["avg_revenue_last_4_weeks"]
+        ]
+        for r in records(result, "date", "store_id")
+    }
+    assert found == expected
