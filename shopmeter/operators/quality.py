@@ -115,27 +115,33 @@ def traffic_profile(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> Dat
 def line_amount_errors(
     sales: DataFrame, products: DataFrame, tolerance: float = 0.005
 ) -> DataFrame:
-    """Lines whose amount is not price times quantity, to two decimals."""
+    """Lines whose amount is missing or not price times quantity, to two decimals."""
     prices = products.filter(F.col("id").isNotNull()).select(F.col("id").alias("product_id"), "price")
     expected = round_even(F.col("price") * F.col("quantity"))
+    agrees = F.abs(F.col("sale_amount") - F.col("expected_amount")) <= tolerance
     return (
         sales.join(prices, "product_id")
         .withColumn("expected_amount", expected)
-        .filter(F.abs(F.col("sale_amount") - F.col("expected_amount")) > tolerance)
+        .filter(~F.coalesce(agrees, F.lit(False)))
         .select("sale_id", "product_id", "quantity", "sale_amount", "expected_amount")
     )
 
 
 def basket_size_errors(sales: DataFrame) -> DataFrame:
-    """Baskets whose number of distinct products differs from the declared one."""
+    """Baskets with a line that declares another number of distinct products than found."""
+    found = F.col("found")
     return (
         sales.filter(F.col("sale_id").isNotNull())
         .groupBy("sale_id")
         .agg(
+            F.min("nb_type_product").alias("declared_least"),
             F.max("nb_type_product").alias("declared"),
             F.count_distinct("product_id").alias("found"),
         )
-        .filter(~F.col("declared").eqNullSafe(F.col("found")))
+        .filter(
+            ~(F.col("declared_least").eqNullSafe(found) & F.col("declared").eqNullSafe(found))
+        )
+        .select("sale_id", "declared", "found")
     )
 
 
@@ -149,7 +155,7 @@ def client_city_errors(
     return (
         pairs.join(homes, "client_id")
         .join(places, "store_id")
-        .filter(F.col("city") != F.col("location"))
+        .filter(~F.col("city").eqNullSafe(F.col("location")))
         .select("client_id", "store_id", "city", "location", "lines")
     )
 

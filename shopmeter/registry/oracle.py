@@ -555,16 +555,18 @@ add("dq_traffic_profile",
 add("dq_line_amount",
     "SELECT * FROM (SELECT s.*, round_even(price * quantity * 100, 0) / 100 AS expected_amount "
     "FROM sales_v s JOIN products_v p ON s.product_id = p.id) "
-    "WHERE abs(sale_amount - expected_amount) > CAST(0.005 AS DOUBLE)",
+    "WHERE coalesce(abs(sale_amount - expected_amount) > CAST(0.005 AS DOUBLE), true)",
     "sale_id:s product_id:s quantity:i sale_amount:d expected_amount:d")
 add("dq_basket_size",
     "SELECT sale_id, max(nb_type_product) AS declared, count(DISTINCT product_id) AS found "
-    "FROM sales_v GROUP BY sale_id HAVING max(nb_type_product) <> count(DISTINCT product_id)",
+    "FROM sales_v GROUP BY sale_id "
+    "HAVING min(nb_type_product) IS DISTINCT FROM count(DISTINCT product_id) "
+    "OR max(nb_type_product) IS DISTINCT FROM count(DISTINCT product_id)",
     "sale_id:s declared:i found:i")
 add("dq_client_city",
     "SELECT client_id, store_id, city, location, count(*) AS lines FROM sales_v "
     "JOIN clients_v c ON client_id = c.id JOIN stores_v s ON store_id = s.id "
-    "WHERE city <> location GROUP BY ALL",
+    "WHERE city IS DISTINCT FROM location GROUP BY ALL",
     "client_id:s store_id:s city:s location:s lines:i")
 add("dq_client_age", "FROM clients_v WHERE age >= 200", CLIENT_COLUMNS)
 add("dq_feed_errors",

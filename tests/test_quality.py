@@ -67,3 +67,15 @@ def test_feed_quality(frame):
     ])
     (row,) = records(ops.feed_quality(feed, ["sale_id", "store_id"]), "rows")
     assert row == {"rows": 4, "error_rows": 1, "keyless_rows": 2, "usable_rows": 2}
+
+
+def test_missing_values_do_not_pass_a_check(frame):
+    sales = frame(LINES, [
+        ("1", "p", "c1", "s1", 1, 1, None), ("1", "p", "c1", "s1", 2, 1, 9.99), ("2", "p", "c2", "s1", None, 1, 9.99),
+    ])
+    goods = frame("id string, price double", [("p", 9.99)])
+    assert [r["sale_id"] for r in records(ops.line_amount_errors(sales, goods), "sale_id")] == ["1"]
+    assert [r["sale_id"] for r in records(ops.basket_size_errors(sales), "sale_id")] == ["1", "2"]
+    clients = frame("id string, city string", [("c1", "Paris"), ("c2", None)])
+    stores = frame(STORES, [("s1", "Paris", 1, "9", "18")])
+    assert [r["client_id"] for r in records(ops.client_city_errors(sales, clients, stores), "client_id")] == ["c2"]
