@@ -5,12 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmeter.schemas import conform
 from shopmeter.sinks.writers import write_partitions
-from shopmeter.sources.tables import read_table
+from shopmeter.sources.tables import read_days
 
 
 def merge_days(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -32,6 +31,5 @@ def write_merged_day(
     counts as empty. Any other read error is raised, so a failed read can never
     replace a stored day by the new rows alone.
     """
-    stored = read_table(spark, f"{path.rstrip('/')}/{column}={day.isoformat()}", schema)
-    existing = stored.withColumn(column, F.lit(day))
+    existing = read_days(spark, path, schema, column, [day], skip_unreadable=False)
     write_partitions(merge_days(existing, conform(new, schema)), path, column)

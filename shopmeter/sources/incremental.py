@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmeter.schemas import parse_date
-from shopmeter.sources.tables import read_readable, read_table
+from shopmeter.sources.tables import empty, list_files, read_days, read_mixed
 
 # Dates beyond this many are anti-joined instead of listed in the filter: 27 years.
 MAX_LISTED_DAYS = 10_000
@@ -52,19 +53,26 @@ def read_unprocessed(
     processed: Sequence[dt.date] | DataFrame,
     skip_unreadable: bool = True,
 ) -> DataFrame:
-    """New dates of a dataset partitioned by ``column``.
+    """New dates of a dataset partitioned by ``column``; a missing dataset has none.
 
-    Files without a readable footer are logged and skipped. Their date still
-    counts as processed once other files of it are, so pass
+    One listing finds the new dates, one per calendar day at most; only their
+    folders are read. Files without a readable footer are logged and skipped.
+    Their date still counts as processed once other files of it are, so pass
     ``skip_unreadable=False`` to fail instead, which also saves the footer check.
     """
-
-    def new(feed: DataFrame) -> DataFrame:
-        return not_processed(feed, column, processed)
-
-    if skip_unreadable:
-        return read_readable(spark, path, schema, new)
-    return new(read_table(spark, path, schema))
+    try:
+        files = list_files(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return empty(spark, schema)
+        raise
+    if column not in files.columns:
+        if files.isEmpty():
+            return empty(spark, schema)
+        raise ValueError(f"{path} is not partitioned by {column}")
+    new = not_processed(files, column, processed).select(column).distinct().collect()
+    days = sorted(row[0] for row in new if row[0] is not None)
+    return read_days(spark, path, schema, column, days, skip_unreadable)
 
 
 def read_unprocessed_files(
@@ -72,18 +80,23 @@ def read_unprocessed_files(
     folder: str,
     schema: T.StructType,
     processed: Sequence[dt.date],
+    skip_unreadable: bool = True,
 ) -> DataFrame:
     """New files of a flat folder named ``<anything>_YYYY-MM-DD.parquet``.
 
-    The date comes from the file name; other files are ignored. The filter is
-    on file metadata only, so it drops whole files before they are opened.
+    The date comes from the file name; other files are ignored. That layout has
+    a file per day, so the names of the new ones fit on the driver.
     """
     listed = [day.isoformat() for day in processed]
-
-    def new(files: DataFrame) -> DataFrame:
-        return files.filter((_file_day() != "") & ~_file_day().isin(listed))
-
-    return read_readable(spark, folder, schema, new, recursiveFileLookup="true")
+    try:
+        files = list_files(spark, folder, recursiveFileLookup="true")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return empty(spark, schema)
+        raise
+    new = files.filter((_file_day() != "") & ~_file_day().isin(listed))
+    paths = [row[0] for row in new.select("_metadata.file_path").collect()]
+    return read_mixed(spark, sorted(paths), schema, skip_unreadable=skip_unreadable)
 
 
 def _file_day() -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
+import json
 import logging
-from collections.abc import Callable
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,63 +49,99 @@ def read_table(
     return conform(found, schema)
 
 
-def unreadable_files(
-    spark: SparkSession, path: str, chosen: Callable[[DataFrame], DataFrame], **options: str
-) -> DataFrame:
-    """Parquet files among the ``chosen`` ones whose footer gives no row.
+def list_files(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """Parquet files with their partition columns and metadata; their content is not read."""
+    return spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", **options).load(path)
 
-    ``chosen`` filters on partition columns or file metadata. Only names and
-    footers are read, in parallel.
-    """
+
+def unreadable_files(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    """Parquet files whose footer gives no row. Only names and footers are read, in parallel."""
     file = F.col("_metadata.file_path").alias("file")
-    listing = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet")
     footers = spark.read.schema("any string").options(
-        pathGlobFilter="*.parquet", ignoreCorruptFiles="true"
+        pathGlobFilter="*.parquet", ignoreCorruptFiles="true", **options
     )
-    present = chosen(listing.options(**options).load(path)).select(file)
-    readable = chosen(footers.options(**options).parquet(path)).select(file).distinct()
-    return present.join(readable, "file", "left_anti")
+    readable = footers.parquet(*paths).select(file).distinct()
+    return list_files(spark, paths, **options).select(file).join(readable, "file", "left_anti")
 
 
-def read_readable(
+def read_mixed(
     spark: SparkSession,
-    path: str,
+    paths: list[str],
     schema: T.StructType,
-    chosen: Callable[[DataFrame], DataFrame],
+    partition: str | None = None,
+    skip_unreadable: bool = True,
     **options: str,
 ) -> DataFrame:
-    """The ``chosen`` files of a dataset without the unreadable ones, which are logged.
-
-    Files are left out by name and the rest is read strictly. Spark's own switch
-    for corrupt files would also drop, without a word, files whose column types
-    differ from the others.
+    """Folders or files that may differ in column types, as one frame of declared types.
+
+    A count column is whole on one day and floating on a day with gaps when the
+    writer infers types. Spark reads a dataset with one schema and rejects such
+    files, or drops them unseen under its switch for corrupt files. Here paths
+    are grouped by the schema found in them, a footer each, and every group is
+    read strictly with its own. ``skip_unreadable`` leaves out, by name, the
+    files without a readable footer and logs them.
     """
-    try:
-        found = _infer(spark.read.options(**options), path)
-    except AnalysisException as error:
-        if error.getCondition() in NOTHING_THERE:
-            return empty(spark, schema)
-        raise
-    broken = unreadable_files(spark, path, chosen, **options).limit(MAX_BROKEN_FILES + 1)
-    names = [row["file"] for row in broken.collect()]
-    if len(names) > MAX_BROKEN_FILES:
-        raise RuntimeError(f"more than {MAX_BROKEN_FILES} unreadable files below {path}")
-    rows = chosen(spark.read.schema(found).options(**options).parquet(path))
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda path: _found_schema(spark, path, skip_unreadable), paths))
+    groups: dict[str, list[str]] = {}
+    for path, layout in zip(paths, found):
+        if layout is not None:
+            groups.setdefault(layout.json(), []).append(path)
+    if not groups:
+        return empty(spark, schema)
+    present = [path for path, layout in zip(paths, found) if layout is not None]
+    names = _broken_names(spark, present, **options) if skip_unreadable else []
+    frames = []
+    for layout, members in groups.items():
+        fields = [f for f in T.StructType.fromJson(json.loads(layout)) if f.name != partition]
+        if partition:
+            fields.append(schema[partition])
+        rows = spark.read.schema(T.StructType(fields)).options(**options).parquet(*members)
+        if names:
+            rows = rows.filter(~F.col("_metadata.file_path").isin(names))
+        frames.append(conform(rows, schema))
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def read_days(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    column: str,
+    days: Iterable[dt.date],
+    skip_unreadable: bool = True,
+) -> DataFrame:
+    """Some days of a dataset partitioned by ``column``; only their folders are listed."""
+    root = path.rstrip("/")
+    folders = [f"{root}/{column}={day.isoformat()}" for day in days]
+    return read_mixed(spark, folders, schema, column, skip_unreadable, basePath=root)
+
+
+def _broken_names(spark: SparkSession, paths: list[str], **options: str) -> list[str]:
+    broken = unreadable_files(spark, paths, **options).limit(MAX_BROKEN_FILES + 1).collect()
+    if len(broken) > MAX_BROKEN_FILES:
+        raise RuntimeError(f"more than {MAX_BROKEN_FILES} unreadable files")
+    names = [row["file"] for row in broken]
     if names:
         log.warning("skipping unreadable files: %s", ", ".join(names))
-        rows = rows.filter(~F.col("_metadata.file_path").isin(names))
-    return conform(rows, schema)
+    return names
 
 
-def _infer(reader: DataFrameReader, path: str) -> T.StructType:
-    """Schema of a dataset even if the file Spark looks at first is broken."""
-    lenient = reader.option("ignoreCorruptFiles", "true")
-    try:
-        return lenient.parquet(path).schema
-    except AnalysisException as error:
-        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-            raise
-        return lenient.option("mergeSchema", "true").parquet(path).schema
+def _found_schema(spark: SparkSession, path: str, skip_unreadable: bool) -> T.StructType | None:
+    """Schema of one folder or file; None when it is missing or no footer can be read."""
+    # One footer tells; all of them are tried where broken ones may be skipped.
+    for merge in ("false", "true") if skip_unreadable else ("false",):
+        reader = spark.read.options(
+            ignoreCorruptFiles=str(skip_unreadable).lower(), mergeSchema=merge
+        )
+        try:
+            return reader.parquet(path).schema
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+    return None
 
 
 def read_json_feed(

@@ -156,15 +156,14 @@ def test_many_processed_dates_are_anti_joined(spark, write_feeds, monkeypatch):
     assert {r["date"] for r in records(left, "date")} == {"2023-11-04"}
 
 
-def test_processed_partitions_are_pruned(spark, write_feeds):
+def test_processed_partitions_are_not_read(spark, write_feeds):
     paths, write = write_feeds
     write(range(4))
     left = incremental.read_unprocessed(
         spark, paths["retail_data"], RETAIL_DATA, "date", [FIRST, FIRST + dt.timedelta(days=1)]
     )
     assert {r["date"] for r in records(left, "date")} == {"2023-11-03", "2023-11-04"}
-    plan = left._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [NOT date" in plan
+    assert len(left.inputFiles()) == 2
 
 
 def test_unreadable_file_is_skipped_or_raised(spark, write_feeds):
@@ -207,17 +206,49 @@ def test_many_stores_in_parallel_files(spark, tmp_path):
     assert back.count() == 2000 and back.agg(F.sum("visitors")).first()[0] == 2000 * 1999 // 2
 
 
-def test_files_of_other_types_are_not_lost(spark, tmp_path):
-    """A day whose counts became floats must fail loudly, not vanish."""
-    for day, value in (("2023-12-01", 5), ("2023-12-02", 5.0)):
-        (tmp_path / f"date={day}").mkdir()
-        pd.DataFrame({"store_id": ["s"], "hour": [1], "visitors": [value]}).to_parquet(
-            tmp_path / f"date={day}" / f"retail_data_{day}.parquet"
+def write_day(tmp_path, day, values, name="retail_data"):
+    folder = tmp_path / f"date={day}"
+    folder.mkdir(exist_ok=True)
+    pd.DataFrame({
+        "store_id": ["s"] * len(values), "hour": range(len(values)), "visitors": values, "date": day,
+    }).to_parquet(folder / f"{name}_{day}.parquet")
+
+
+def test_days_of_other_types_are_read_together(spark, tmp_path):
+    """Counts are floats on a day with gaps when the writer infers types."""
+    write_day(tmp_path, "2023-12-01", [5, 6])
+    write_day(tmp_path, "2023-12-02", [7, None])
+    write_day(tmp_path, "2023-12-03", [8, 9])
+    for skip in (True, False):
+        found = incremental.read_unprocessed(
+            spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 3)], skip
         )
+        assert found.schema == RETAIL_DATA
+        assert [(r["date"], r["visitors"]) for r in records(found, "date", "hour")] == [
+            ("2023-12-01", 5), ("2023-12-01", 6), ("2023-12-02", 7), ("2023-12-02", None),
+        ]
+
+
+def test_missing_days_and_unpartitioned_folders(spark, tmp_path):
+    write_day(tmp_path / "", "2023-12-01", [5])
+    some = tables.read_days(
+        spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 1), dt.date(2023, 12, 9)]
+    )
+    assert [r["date"] for r in records(some, "date")] == ["2023-12-01"]
+    assert tables.read_days(spark, str(tmp_path), RETAIL_DATA, "date", []).isEmpty()
+    (tmp_path / "hollow").mkdir()
+    hollow = incremental.read_unprocessed(spark, str(tmp_path / "hollow"), RETAIL_DATA, "date", [])
+    assert hollow.isEmpty() and hollow.schema == RETAIL_DATA
+    flat = str(tmp_path / "date=2023-12-01" / "retail_data_2023-12-01.parquet")
+    with pytest.raises(ValueError):
+        incremental.read_unprocessed(spark, flat, RETAIL_DATA, "day", [])
+
+
+def test_other_types_within_a_day_fail_loudly(spark, tmp_path):
+    write_day(tmp_path, "2023-12-01", [5, 6], "a")
+    write_day(tmp_path, "2023-12-01", [7, None], "b")
     with pytest.raises(Exception, match="(?i)mismatch|convert"):
         incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []).collect()
-    one = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 2)])
-    assert [r["visitors"] for r in records(one, "date")] == [5]
 
 
 def test_a_stored_day_of_other_types_can_be_merged(spark, tmp_path):
@@ -268,6 +299,10 @@ def test_flat_files_are_chosen_by_name(spark, tmp_path):
         spark, str(tmp_path), RETAIL_DATA, [dt.date(2023, 12, 1)]
     )
     assert [r["date"] for r in records(found, "date")] == ["2023-12-02"]
+    with pytest.raises(Exception):
+        incremental.read_unprocessed_files(
+            spark, str(tmp_path), RETAIL_DATA, [dt.date(2023, 12, 1)], skip_unreadable=False
+        ).collect()
     nothing = incremental.read_unprocessed_files(spark, str(tmp_path / "none"), RETAIL_DATA, [])
     assert nothing.isEmpty()
 
