@@ -64,13 +64,3 @@ def zero_sum(column: Column) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division that is null, not an error or infinity, on a zero denominator."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
-
-
-def ratio_if_positive(numerator: Column, denominator: Column) -> Column:
-    """Division only where the denominator is above zero, else null."""
-    return F.when(denominator > 0, ratio(numerator, denominator))
-
-
-def percent_change(value: Column, base: Column) -> Column:
-    """``(value - base) * 100 / base``; null on a missing or zero base."""
-    return ratio((value - base) * 100, base)

@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmeter.functions.dates import weekday_name
-from shopmeter.functions.numbers import (
-    fixed_point,
-    from_fixed,
-    percent_change,
-    ratio,
-    ratio_if_positive,
-    round_even,
-)
+from shopmeter.functions.numbers import fixed_point, from_fixed, ratio, round_even
 from shopmeter.schemas import TRAFFIC_METRICS
 
 DAY_KEY = ["date", "store_id"]
@@ -24,6 +17,37 @@ AVERAGES = {
 }
 
 
+RATIOS = {
+    "conversion_rate": "CASE WHEN total_visitors > 0 "
+    "THEN try_divide(total_transactions * 100, total_visitors) END",
+    "avg_transaction_value": "CASE WHEN total_transactions > 0 "
+    "THEN try_divide(total_revenue, total_transactions) END",
+    "revenue_per_visitor": "CASE WHEN total_visitors > 0 "
+    "THEN try_divide(total_revenue, total_visitors) END",
+    "total_margin": "total_revenue - total_cost",
+    "margin_per_visitor": "CASE WHEN total_visitors > 0 "
+    "THEN try_divide(total_revenue - total_cost, total_visitors) END",
+}
+
+
+def _variation(value: str, base: str) -> str:
+    return f"try_divide(({value} - {base}) * 100, {base})"
+
+
+VARIATIONS = {
+    "visitors_variation_vs_avg_4w_percent": _variation(
+        "total_visitors", "avg_visitors_last_4_weeks"
+    ),
+    "transactions_variation_vs_avg_4w_percent": _variation(
+        "total_transactions", "avg_sales_last_4_weeks"
+    ),
+    "revenue_variation_vs_avg_4w_percent": _variation("total_revenue", "avg_revenue_last_4_weeks"),
+    "transactions_amount_variation_vs_avg_4w_percent": _variation(
+        "avg_transaction_value", "try_divide(avg_revenue_last_4_weeks, avg_sales_last_4_weeks)"
+    ),
+}
+
+
 def merge_feeds(traffic_days: DataFrame, sales_days: DataFrame) -> DataFrame:
     """One row per store-day present in either feed; missing numbers become 0.
 
@@ -81,38 +105,14 @@ def final_metrics(df: DataFrame) -> DataFrame:
     Missing average columns count as null. Where a plain division would give
     infinity or NaN the result is null.
     """
-    for name in AVERAGES.values():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast("double"))
-    visitors, sales = F.col("total_visitors"), F.col("total_transactions")
-    revenue, cost = F.col("total_revenue"), F.col("total_cost")
-    usual_basket = ratio(F.col("avg_revenue_last_4_weeks"), F.col("avg_sales_last_4_weeks"))
-    df = df.withColumns(
-        {
-            "conversion_rate": ratio_if_positive(sales * 100, visitors),
-            "avg_transaction_value": ratio_if_positive(revenue, sales),
-            "revenue_per_visitor": ratio_if_positive(revenue, visitors),
-            "total_margin": revenue - cost,
-            "margin_per_visitor": ratio_if_positive(revenue - cost, visitors),
-            "visitors_variation_vs_avg_4w_percent": percent_change(
-                visitors, F.col("avg_visitors_last_4_weeks")
-            ),
-            "transactions_variation_vs_avg_4w_percent": percent_change(
-                sales, F.col("avg_sales_last_4_weeks")
-            ),
-            "revenue_variation_vs_avg_4w_percent": percent_change(
-                revenue, F.col("avg_revenue_last_4_weeks")
-            ),
-        }
-    )
-    return df.withColumn(
-        "transactions_amount_variation_vs_avg_4w_percent",
-        percent_change(F.col("avg_transaction_value"), usual_basket),
-    )
+    missing = [name for name in AVERAGES.values() if name not in df.columns]
+    df = df.withColumns({name: F.lit(None).cast("double") for name in missing})
+    df = df.withColumns({name: F.expr(text) for name, text in RATIOS.items()})
+    return df.withColumns({name: F.expr(text) for name, text in VARIATIONS.items()})
 
 
 def as_metrics_table(df: DataFrame) -> DataFrame:
     """The published columns, in order and typed."""
-    return df.select(
-        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in TRAFFIC_METRICS]
+    return df.selectExpr(
+        *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in TRAFFIC_METRICS]
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,35 +33,30 @@ def _measured(traffic: DataFrame, measure: str) -> Column:
     return value.isNotNull()
 
 
-def _is_outlier(max_visitors: int) -> Column:
-    return F.coalesce(F.col("visitors") > max_visitors, F.lit(False))
+def _is_outlier(max_visitors: int) -> str:
+    return f"coalesce(visitors > {int(max_visitors)}, false)"
 
 
-def _is_valid(max_visitors: int) -> Column:
-    return (F.col("visitors") > 0) & (F.col("visitors") <= max_visitors)
-
-
-def _repaired(sales: Column, valid_sales: Column, valid_visitors: Column, mode: str) -> Column:
-    """Visitors implied by ``sales`` and the store's rate over its valid hours.
+def _repaired(sales: str, valid_sales: str, valid_visitors: str, mode: str) -> str:
+    """Visitors implied by ``sales`` and the store's rate over its valid hours, as SQL.
 
     ``reference`` multiplies by the percentage rate, which restores plausible
     visitors only near a 10 % rate but is the published behaviour and the
     default. ``inverse_rate`` divides by the rate.
     """
-    sold = sales.cast("double")
     if mode == "reference":
-        return sold * (valid_sales * 100 / valid_visitors)
+        return f"CAST({sales} AS DOUBLE) * ({valid_sales} * 100 / {valid_visitors})"
     if mode == "inverse_rate":
-        return F.try_divide(sold * valid_visitors, valid_sales)
+        return f"try_divide(CAST({sales} AS DOUBLE) * {valid_visitors}, {valid_sales})"
     raise ValueError(f"unknown repair mode: {mode}")
 
 
 def _valid_sums(max_visitors: int) -> list[Column]:
-    valid = _is_valid(max_visitors)
+    """Sums over the valid hours; null for a store without any, which is left as it is."""
+    valid = f"visitors > 0 AND visitors <= {int(max_visitors)}"
     return [
-        # Both are null for a store without a valid hour: such a store is left as it is.
-        F.sum(F.when(valid, F.coalesce(F.col("sales"), F.lit(0)).cast("long"))).alias("valid_sales"),
-        F.sum(F.when(valid, F.col("visitors").cast("long"))).alias("valid_visitors"),
+        F.expr(f"sum(CASE WHEN {valid} THEN CAST(coalesce(sales, 0) AS BIGINT) END)").alias("valid_sales"),
+        F.expr(f"sum(CASE WHEN {valid} THEN CAST(visitors AS BIGINT) END)").alias("valid_visitors"),
     ]
 
 
@@ -84,45 +79,44 @@ def repair_outliers(
     rows meet the per-store rates in a join; the bulk of the feed is neither
     shuffled nor grouped by store, so one store holding most rows costs nothing.
     """
-    traffic = traffic.filter(F.col("store_id").isNotNull())
-    as_double = F.col("visitors").cast("double")
-    usual = traffic.filter(~_is_outlier(max_visitors)).withColumn("visitors", as_double)
+    traffic = traffic.filter("store_id IS NOT NULL")
+    outlier = _is_outlier(max_visitors)
+    as_double = F.expr("CAST(visitors AS DOUBLE)")
+    implied = _repaired("sales", "valid_sales", "valid_visitors", mode)
+    usual = traffic.filter(f"NOT {outlier}").withColumn("visitors", as_double)
     repaired = (
-        traffic.filter(_is_outlier(max_visitors))
+        traffic.filter(outlier)
         .join(store_ratio(traffic, max_visitors), "store_id", "left")
         .withColumn(
-            "visitors",
-            F.when(F.col("valid_visitors").isNull(), as_double).otherwise(
-                _repaired(F.col("sales"), F.col("valid_sales"), F.col("valid_visitors"), mode)
-            ),
+            "visitors", F.when(F.expr("valid_visitors IS NULL"), as_double).otherwise(F.expr(implied))
         )
         .select(*usual.columns)
     )
     return usual.unionByName(repaired)
 
 
-def _pack(value: Column, hour: Column) -> Column:
+def _pack(value: str) -> str:
     """Value and hour in one long: the maximum is the top value at its earliest hour.
 
     A maximum over longs stays a hash aggregate; over a struct it would sort
     the whole feed.
     """
-    return value.cast("long") * _HOUR_SLOTS + (_HOUR_SLOTS - 1 - hour)
+    return f"CAST({value} AS BIGINT) * {_HOUR_SLOTS} + ({_HOUR_SLOTS - 1} - hour)"
 
 
-def _packed_hour(packed: Column) -> Column:
-    return (_HOUR_SLOTS - 1 - F.pmod(packed, F.lit(_HOUR_SLOTS))).cast("int")
+def _packed_hour(packed: str) -> str:
+    return f"CAST({_HOUR_SLOTS - 1} - pmod({packed}, {_HOUR_SLOTS}) AS INT)"
 
 
-def _packed_value(packed: Column) -> Column:
-    return F.shiftright(packed, _HOUR_SLOTS.bit_length() - 1)
+def _packed_value(packed: str) -> str:
+    return f"shiftright({packed}, {_HOUR_SLOTS.bit_length() - 1})"
 
 
 def _peak_hour(traffic: DataFrame, measure: str) -> Column:
     """Hour of the largest ``measure``: earliest on a tie, null when never measured."""
-    value, hour = F.col(measure), F.col("hour")
     if isinstance(traffic.schema[measure].dataType, T.IntegralType):
-        return _packed_hour(F.max(_pack(value, hour)))
+        return F.expr(_packed_hour(f"max({_pack(measure)})"))
+    value, hour = F.col(measure), F.col("hour")
     measured = _measured(traffic, measure)
     return F.max_by(F.when(measured, hour), F.when(measured, F.struct(value, -hour))).cast("int")
 
@@ -161,22 +155,25 @@ def traffic_day_parts(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> D
     read once and shuffled once, already reduced to a row per (date, store).
     """
     outlier = _is_outlier(max_visitors)
-    visitors, sales, hour = F.col("visitors"), F.col("sales"), F.col("hour")
-    usual_visitors = F.when(~outlier, visitors)
-    outlier_visitors, sold = F.when(outlier, visitors), F.when(outlier, sales)
+    usual_visitors = f"CASE WHEN NOT {outlier} THEN visitors END"
+    outlier_visitors = f"CASE WHEN {outlier} THEN visitors END"
+    sold = f"CASE WHEN {outlier} THEN sales END"
+    parts = {
+        "total_transactions": "coalesce(sum(CAST(sales AS BIGINT)), 0L)",
+        "sales_peak": f"max({_pack('sales')})",
+        "usual_visitors": f"coalesce(sum(CAST({usual_visitors} AS BIGINT)), 0L)",
+        "usual_peak": f"max({_pack(usual_visitors)})",
+        "raw_visitors": f"coalesce(sum(CAST({outlier_visitors} AS BIGINT)), 0L)",
+        "raw_peak": f"max({_pack(outlier_visitors)})",
+        "outlier_sales": f"coalesce(sum(CAST({sold} AS BIGINT)), 0L)",
+        "outlier_peak": f"max({_pack(sold)})",
+        "outlier_first_hour": f"min(CASE WHEN {outlier} AND sales IS NOT NULL THEN hour END)",
+    }
     return (
         _keyed(drop_unmeasured(whole_counts(traffic)))
         .groupBy(*DAY_KEY)
         .agg(
-            zero_sum(sales).alias("total_transactions"),
-            F.max(_pack(sales, hour)).alias("sales_peak"),
-            zero_sum(usual_visitors).alias("usual_visitors"),
-            F.max(_pack(usual_visitors, hour)).alias("usual_peak"),
-            zero_sum(outlier_visitors).alias("raw_visitors"),
-            F.max(_pack(outlier_visitors, hour)).alias("raw_peak"),
-            zero_sum(sold).alias("outlier_sales"),
-            F.max(_pack(sold, hour)).alias("outlier_peak"),
-            F.min(F.when(sold.isNotNull(), hour)).alias("outlier_first_hour"),
+            *[F.expr(value).alias(name) for name, value in parts.items()],
             *_valid_sums(max_visitors),
         )
     )
@@ -194,47 +191,40 @@ def finish_traffic_days(parts: DataFrame, mode: str = "reference") -> DataFrame:
     The store's rate is a window over its days, whose number the calendar
     bounds. A row without traffic parts gets null totals.
     """
-    store = Window.partitionBy("store_id")
-    has_rate = F.col("store_visitors").isNotNull()
-
-    def implied(sales_value: Column) -> Column:
-        return _repaired(sales_value, F.col("store_sales"), F.col("store_visitors"), mode)
-
-    days = parts.withColumns(
-        {
-            "store_sales": F.sum("valid_sales").over(store),
-            "store_visitors": F.sum("valid_visitors").over(store),
-        }
-    ).withColumns(
-        {
-            "outlier_value": F.when(has_rate, implied(_packed_value(F.col("outlier_peak")))).otherwise(
-                _packed_value(F.col("raw_peak")).cast("double")
-            ),
-            # At a rate of 0 all repaired hours tie at 0 visitors, so the earliest wins.
-            "outlier_hour": F.when(~has_rate, _packed_hour(F.col("raw_peak")))
-            .when(F.col("store_sales") == 0, F.col("outlier_first_hour"))
-            .otherwise(_packed_hour(F.col("outlier_peak"))),
-            "usual_value": _packed_value(F.col("usual_peak")).cast("double"),
-            "usual_hour": _packed_hour(F.col("usual_peak")),
-            "added_visitors": F.when(
-                has_rate, F.coalesce(implied(F.col("outlier_sales")), F.lit(0.0))
-            ).otherwise(F.col("raw_visitors").cast("double")),
-        }
+    def implied(sales: str) -> str:
+        return _repaired(sales, "store_sales", "store_visitors", mode)
+
+    has_rate = "store_visitors IS NOT NULL"
+    others = [name for name in parts.columns if name not in (*DAY_KEY, *PARTS)]
+    rated = parts.selectExpr(
+        "*",
+        "sum(valid_sales) OVER (PARTITION BY store_id) AS store_sales",
+        "sum(valid_visitors) OVER (PARTITION BY store_id) AS store_visitors",
     )
-    usual, outlier = F.col("usual_value"), F.col("outlier_value")
-    peak_visitors = (
-        F.when(outlier.isNull(), F.col("usual_hour"))
-        .when(usual.isNull(), F.col("outlier_hour"))
-        .when(usual > outlier, F.col("usual_hour"))
-        .when(usual < outlier, F.col("outlier_hour"))
-        .otherwise(F.least("usual_hour", "outlier_hour"))
+    peaks = rated.selectExpr(
+        *DAY_KEY,
+        *others,
+        f"CASE WHEN {has_rate} THEN {implied(_packed_value('outlier_peak'))} "
+        f"ELSE CAST({_packed_value('raw_peak')} AS DOUBLE) END AS outlier_value",
+        # At a rate of 0 all repaired hours tie at 0 visitors, so the earliest wins.
+        f"CASE WHEN store_visitors IS NULL THEN {_packed_hour('raw_peak')} "
+        "WHEN store_sales = 0 THEN outlier_first_hour "
+        f"ELSE {_packed_hour('outlier_peak')} END AS outlier_hour",
+        f"CAST({_packed_value('usual_peak')} AS DOUBLE) AS usual_value",
+        f"{_packed_hour('usual_peak')} AS usual_hour",
+        f"usual_visitors + CASE WHEN {has_rate} THEN coalesce({implied('outlier_sales')}, 0D) "
+        "ELSE CAST(raw_visitors AS DOUBLE) END AS total_visitors",
+        f"{_packed_hour('sales_peak')} AS peak_hour_sales",
     )
-    others = [name for name in parts.columns if name not in (*DAY_KEY, *PARTS)]
-    return days.select(
+    return peaks.selectExpr(
         *DAY_KEY,
-        (F.col("usual_visitors") + F.col("added_visitors")).alias("total_visitors"),
-        _packed_hour(F.col("sales_peak")).alias("peak_hour_sales"),
-        peak_visitors.cast("int").alias("peak_hour_visitors"),
+        "total_visitors",
+        "peak_hour_sales",
+        """CAST(CASE WHEN outlier_value IS NULL THEN usual_hour
+                WHEN usual_value IS NULL THEN outlier_hour
+                WHEN usual_value > outlier_value THEN usual_hour
+                WHEN usual_value < outlier_value THEN outlier_hour
+                ELSE least(usual_hour, outlier_hour) END AS INT) AS peak_hour_visitors""",
         *others,
     )
 
