@@ -278,7 +278,7 @@ add("traffic_by_date_store",
 
 # Traffic
 add("traffic_drop_null", "FROM gappy_v WHERE NOT (visitors IS NULL AND sales IS NULL)",
-    TRAFFIC_COLUMNS)
+    "store_id:s store_name:s hour:i visitors:d sales:d date:t")
 add("traffic_outlier_repair",
     "SELECT f.*, 'NATION_' || store_id AS store_name FROM fixed f",
     "store_id:s store_name:s hour:i visitors:d sales:i date:t", [repaired("fixed", "traffic_v")])
