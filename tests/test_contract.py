@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from shopmeter.registry.oracle import ORACLES as STATEMENTS
+from shopmeter.registry.spark_queries import QUERIES
 from shopmeter.registry.views import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, STATEMENTS = registered.queries(), registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,8 @@ def engine():
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(registered.queries())
+    assert set(STATEMENTS) <= set(registered.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
