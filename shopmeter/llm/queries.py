@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmeter.llm.common import table
+from shopmeter.llm import language_id
+from shopmeter.llm.common import held_out, table
 from shopmeter.llm.sentencepiece_codec import encode_decode
+from shopmeter.llm.token_counts import count_tokens
 
 
 def model_file(name: str) -> bytes:
@@ -27,8 +29,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, model_file("byte_bpe_50k.json").decode())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.filter(~held_out()))
+    found = language_id.identify(docs, filters)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
