@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shopmeter.llm import language_id
 from shopmeter.llm.common import held_out, table
+from shopmeter.llm.fingerprints import fingerprint_neighbours
 from shopmeter.llm.sentencepiece_codec import encode_decode
 from shopmeter.llm.token_counts import count_tokens
 
@@ -42,10 +43,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fingerprint_neighbours(table(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
