@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmeter.llm import language_id
+from shopmeter.llm import language_id, mixing
 from shopmeter.llm.common import held_out, table
 from shopmeter.llm.fingerprints import fingerprint_neighbours
+from shopmeter.llm.nearest import nearest
 from shopmeter.llm.sentencepiece_codec import encode_decode
 from shopmeter.llm.token_counts import count_tokens
+from shopmeter.session import durable
 
 
 def model_file(name: str) -> bytes:
@@ -30,6 +32,21 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = durable(
+        docs.select("doc_id", "source", mixing.row_hash().alias("hash"), mixing.text_size().alias("size"))
+    )
+    mixed = mixing.apply(rows, mixing.thresholds(rows.select("hash", "size", "source")))
+    taken = F.col("size") * F.col("times")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("near_id").alias("vec_id"), "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, model_file("byte_bpe_50k.json").decode())
@@ -58,9 +75,64 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_mixing": op3_mixing,
+    "op5_nearest": op5_nearest,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, 3 * source_size AS cap,
+         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
+         sum(source_size) OVER () AS total
+  FROM s
+), l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER o AS place
+  FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
+), t AS (
+  SELECT source, source_size,
+         coalesce(least(cap::DOUBLE, w * first_value(level) OVER (ORDER BY cap <= w * level, place)), 0) AS target
+  FROM l
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t
+), r AS (
+  SELECT source, h, sum(size) AS words,
+         sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS below
+  FROM d GROUP BY source, h
+), c AS (
+  SELECT p.source, max(r.h) AS last_h, arg_max(r.below, r.h) AS below, arg_max(r.words, r.h) AS words
+  FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source AND r.below <= p.target - p.passes * p.source_size
+  GROUP BY p.source
+)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       (d.size * (p.passes + CASE WHEN d.h < c.last_h OR d.h = c.last_h
+          AND 2 * ((p.target - p.passes * p.source_size) - c.below) > c.words THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
+""",
+    "op5_nearest": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+) WHERE rank <= 20
+""",
+}
