@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmeter.llm import language_id, mixing
+from shopmeter.llm import language_id, mixing, quality, toxicity
 from shopmeter.llm.common import held_out, table
 from shopmeter.llm.fingerprints import fingerprint_neighbours
 from shopmeter.llm.nearest import nearest
@@ -42,11 +42,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", F.col("near_id").alias("vec_id"), "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality.score(docs, model)
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, model_file("byte_bpe_50k.json").decode())
@@ -76,7 +92,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
+    "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
