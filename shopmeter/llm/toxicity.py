@@ -1,9 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
-One dictionary is trained on ordinary text. The other holds the same content and, before
-it, a dictionary trained on the words that recur in toxic documents and hardly anywhere
-else. A window that gets shorter with the second one resembles toxic text. How much
-shorter is toxic is calibrated on labelled documents that trained neither dictionary.
+Both dictionaries begin with one trained on ordinary text. The toxic one ends with words
+of toxic documents, picked for fragments that recur there and hardly anywhere else; the
+ordinary one ends with as many blanks. So lengths differ by these words alone, and a
+window that gets shorter with the toxic dictionary resembles toxic text. How many windows
+must get how much shorter is calibrated on labelled documents that trained neither.
 """
 
 from __future__ import annotations
@@ -23,13 +24,21 @@ from shopmeter.llm.labelled import sample
 #: Labelled documents of either class to learn from.
 PER_CLASS = 3_000
 #: Bytes of a window, to the next blank; a longer run without blanks is cut.
-WINDOW, LONGEST = 64, 256
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 512
-#: Windows that one document lends to the ordinary dictionary, spread over its text.
-LENT = 16
-#: Toxic words: at least RATIO times as common among toxic documents as among ordinary
-#: ones, and at least SHARE times as common there as the most common such word.
-RATIO, SHARE, TOXIC_WORDS = 10, 0.25, 256
+WINDOW, LONGEST = 48, 256
+#: Sizes of the common beginning and of the toxic end.
+COMMON_BYTES, OWN_BYTES = 65_536, 1_024
+#: Windows that one document lends to the common beginning, spread over its text.
+LENT = 32
+#: Toxic fragments have so many characters and are at least RATIO times as common in words
+#: of toxic documents as of ordinary ones, and in SHARE of the toxic documents.
+FRAGMENT, RATIO, SHARE = 5, 20, 0.01
+#: The fragments of which the driver gets the commonest word each.
+FRAGMENTS = 1_024
+#: A toxic document that is missed counts as so many ordinary ones that are not let through.
+TOXIC_WEIGHT = 3
+#: Windows are counted by whether they get shorter by 1, 2, ... or so many bytes.
+GAINS = 6
+FEATURES = GAINS + 3
 _WORD = r"[^\s\x00-\x40\x5b-\x60\x7b-\x7f]{3,}"
 
 
@@ -53,12 +62,12 @@ def windows(text: str) -> list[bytes]:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    # The same settings for both dictionaries: lengths differ by content alone.
+    # The same settings for both dictionaries.
     settings = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=15, hash_log=15, search_log=3, min_match=4, target_length=32,
-        strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
+        window_log=18, chain_log=18, hash_log=18, search_log=1, min_match=5, target_length=16,
+        strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
-    entries = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    entries = zstandard.ZstdCompressionDict(content)
     entries.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=entries, compression_params=settings)
 
@@ -66,34 +75,41 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 def trained(size: int, samples: list[bytes]) -> bytes:
     """A dictionary of the samples; too few to train on are the dictionary themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b" ".join(dict.fromkeys(samples))[-size:]
 
 
+def ending(words: list[str]) -> bytes:
+    """As many of the words as fit, the first ones last, where a dictionary is cheapest."""
+    out, size = [], 0
+    for word in words:
+        spelt = f" {word} ".encode()
+        if size + len(spelt) <= OWN_BYTES:
+            out.append(spelt)
+            size += len(spelt)
+    return b"".join(reversed(out)).rjust(OWN_BYTES)
+
+
 class Distance:
     """Features of texts: how much their windows gain from the toxic dictionary."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.compressors = _compressor(ordinary), _compressor(toxic + ordinary)
+        self.compressors = _compressor(ordinary), _compressor(toxic)
 
     def features(self, texts: list[str]) -> np.ndarray:
         split = [windows(t) for t in texts]
-        flat = [w for one in split for w in one]
-        out = np.zeros((len(texts), 5))
-        if flat:
-            sizes = [self._lengths(c, flat) for c in self.compressors]
-            gains = sizes[0] - sizes[1]
-            ends = np.cumsum([len(one) for one in split])
-            for i, (one, end) in enumerate(zip(split, ends.tolist(), strict=True)):
-                if one:
-                    own = gains[end - len(one) : end]
-                    top = np.sort(own)[::-1][:2]
-                    out[i, 0], out[i, 1] = top[0], top[1] if len(top) > 1 else 0
-                    out[i, 2] = np.log1p((own >= 2).sum())
-                    out[i, 3] = 10 * (own >= 2).mean()
-                    out[i, 4] = np.log1p(len(one))
-        out[:, :2] = np.clip(out[:, :2], 0, 12)
+        counts = np.array([len(one) for one in split], np.int64)
+        out = np.zeros((len(texts), FEATURES))
+        if counts.sum():
+            flat = [w for one in split for w in one]
+            gain = self._lengths(self.compressors[0], flat) - self._lengths(self.compressors[1], flat)
+            of, n = np.repeat(np.arange(len(texts)), counts), np.maximum(1, counts)
+            for least in range(1, GAINS + 1):
+                out[:, least - 1] = np.log1p(np.bincount(of[gain >= least], minlength=len(texts)))
+            out[:, GAINS] = 10 * np.bincount(of[gain >= 2], minlength=len(texts)) / n
+            out[:, GAINS + 1] = np.log(n)
+            out[:, GAINS + 2] = 5 * np.clip(np.bincount(of, np.maximum(gain, -1), len(texts)) / n, -2, 2)
         return out
 
     @staticmethod
@@ -118,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """Dictionaries and calibration from at most ``per_class`` documents of either class.
 
     Two thirds of them train the dictionaries, the others calibrate. Words are counted by
-    Spark; the driver gets at most ``LENT`` windows of an ordinary document, ``TOXIC_WORDS``
-    words and five numbers of a calibrating document. Without both classes every score is
+    Spark; the driver gets at most ``LENT`` windows of an ordinary document, ``FRAGMENTS``
+    words and ``FEATURES`` numbers of a calibrating document. Without both classes every score is
     the share of toxic documents among the labelled ones (0 without any).
     """
     picked = sample(docs, labels, label, per_class, key)
@@ -137,37 +153,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     ordinary_text = learning.filter("label = 0").orderBy("draw", "key").select("text")
     lent = ordinary_text.mapInArrow(lend, "window binary").toArrow()["window"].to_pylist()
-    ordinary = trained(ORDINARY_BYTES, lent)
+    common = trained(COMMON_BYTES, lent)
     found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))))
     words = learning.select("label", found.alias("word")).groupBy("word")
     words = words.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
-    share = F.col("toxic") / max(1, n.get(1, 0))
-    common = words.filter((F.col("toxic") > 1) & (share >= RATIO * F.col("ordinary") / max(1, n.get(0, 0))))
-    top = common.orderBy(F.desc("toxic"), "word").limit(TOXIC_WORDS).collect()
-    top = [r for r in top if r.toxic >= SHARE * top[0].toxic]
-    samples = [f" {r.word} ".encode() for r in top for _ in range(r.toxic)]
-    toxic = trained(TOXIC_BYTES, samples)
-    distance = Distance(ordinary, toxic)
+    spelt = F.concat(F.lit(" "), "word", F.lit(" "))
+    places = F.sequence(F.lit(1), F.length(spelt) - (FRAGMENT - 1))
+    fragments = F.array_distinct(F.transform(places, lambda i: F.substring(spelt, i, FRAGMENT)))
+    found = words.select("word", "toxic", "ordinary", F.explode(fragments).alias("fragment")).groupBy("fragment")
+    found = found.agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.max(F.struct("toxic", "word")).alias("most")
+    )
+    often = F.col("toxic") >= max(2, SHARE * n.get(1, 0))
+    rate = (F.col("ordinary") + 0.5) * RATIO * max(1, n.get(1, 0)) / max(1, n.get(0, 0))
+    best = found.filter(often & (F.col("toxic") >= rate)).orderBy(F.desc("toxic"), "fragment").limit(FRAGMENTS)
+    toxic_words = list(dict.fromkeys(r.word for r in best.select("most.word").collect()))
+    ordinary, toxic = common + b" " * OWN_BYTES, common + ending(toxic_words)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(ordinary, toxic)
         for batch in chunks(batches, 0):
             values = distance.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), 5).cast(pa.list_(pa.float64())), batch.column(1), batch.column(2)],
+                [pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FEATURES).cast(pa.list_(pa.float64())), batch.column(1), batch.column(2)],
                 names=["x", "label", "weight"],
             )
 
     ordered = checking.select("text", "label", "weight", "draw", "key").orderBy("draw", "key").select("text", "label", "weight")
     seen = ordered.mapInArrow(measure, "x array<double>, label int, weight double").toArrow()
     y = seen["label"].to_numpy().astype(float)
-    del distance
     if len(set(y.tolist())) < 2:
         share = float(np.mean([*y, *([1.0] * n.get(1, 0)), *([0.0] * n.get(0, 0))] or [0.0]))
         odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return Model(ordinary, toxic, (0.0,) * 5 + (float(odds),))
+        return Model(ordinary, toxic, (0.0,) * FEATURES + (float(odds),))
     x = np.array(seen["x"].to_pylist())
-    return Model(ordinary, toxic, calibrate(x, y, seen["weight"].to_numpy()))
+    weight = seen["weight"].to_numpy() * np.where(y == 1, TOXIC_WEIGHT, 1)
+    return Model(ordinary, toxic, calibrate(x, y, weight / weight.mean()))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
