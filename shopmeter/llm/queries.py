@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from shopmeter.llm import language_id, mixing, quality, toxicity
 from shopmeter.llm.common import held_out, table
 from shopmeter.llm.fingerprints import fingerprint_neighbours
+from shopmeter.llm.near_copies import near_copies
 from shopmeter.llm.nearest import nearest
+from shopmeter.llm.repeats import repeats
 from shopmeter.llm.sentencepiece_codec import encode_decode
 from shopmeter.llm.token_counts import count_tokens
 from shopmeter.session import durable
@@ -32,6 +34,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies(table(spark, sf_dir, "documents"), shingle=2)
+    return found.withColumnRenamed("component", "component_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = durable(
@@ -63,6 +70,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleared = repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return cleared.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, model_file("byte_bpe_50k.json").decode())
@@ -91,16 +110,45 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_quality": op6_quality,
+    "op7_repeats": op7_repeats,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_copies": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w] ELSE
+           list_distinct([[w[i], w[i + 1]] FOR i IN range(1, len(w))]) END) AS s
+  FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+  FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b
+  WHERE 100 * i.i >= 80 * (x.n + y.n - i.i)
+), r AS (
+  SELECT doc_id, doc_id AS reach FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach
+), c AS (
+  SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
     "op3_mixing": r"""
 WITH d AS (
   SELECT doc_id, source,
