@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Everything here is a runtime re-planning switch: partition counts and join
@@ -44,20 +42,21 @@ def build_session(
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data, which driver and executors share.
 
-    The folder is the one named in ``spark.checkpoint.dir``. A local session
-    without that setting gets a fresh scratch folder; a cluster session without
-    it is an error, since a machine-local folder dies with its executor.
+    It is the one named in ``spark.checkpoint.dir``; where that is unset, as in a test,
+    a folder beside the session's warehouse, which is shared as well.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="shopmeter-checkpoint-")
-        context.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(folder or f"{warehouse.rstrip('/')}/checkpoints")
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
