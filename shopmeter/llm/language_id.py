@@ -161,8 +161,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Filters(languages, slots, np.array(filled_share) ** PROBES)
 
 
-def identify(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` of every row's whole text.
+def identify(
+    docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key``, ``lang_pred`` and ``score`` of every row's whole text, and the columns ``carry``.
 
     ``lang_pred`` is the language with the highest share of the text's n-grams in its
     filter, false positives taken off; the first by name among equals. ``score`` is
@@ -198,9 +200,14 @@ def identify(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
             else:
                 found, score = [UNKNOWN] * n, np.zeros(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.string()), pa.array(score)], names=[key, "lang_pred", "score"]
+                [batch.column(0), pa.array(found, pa.string()), pa.array(score), batch.column(2)],
+                names=["key", "lang_pred", "score", "carry"],
             )
 
-    rows = docs.select(F.col(key), F.col(text).alias("text"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+    carried = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), carried.alias("carry"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = rows.mapInArrow(run, f"key {kinds['key']}, lang_pred string, score double, carry {kinds['carry']}")
+    return found.select(
+        F.col("key").alias(key), "lang_pred", "score", *(F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry))
+    )

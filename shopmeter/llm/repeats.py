@@ -205,6 +205,15 @@ def _merge(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], stops[np.append(first[1:], len(starts)) - 1]
 
 
+def _whole_characters(raw: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs without the bytes of characters that lie in them only in part."""
+    starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    starts = np.append(starts, len(raw))
+    low = starts[np.searchsorted(starts, low, side="left")]
+    high = starts[np.searchsorted(starts, high, side="right") - 1]
+    return low[low < high], high[low < high]
+
+
 _SPANS = "id long, th long, low long, high long"
 
 
@@ -237,15 +246,19 @@ def _block_spans(block: dict[str, list], length: int) -> pa.RecordBatch:
     )
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, contexts: int = CONTEXTS) -> DataFrame:
-    """``key``, ``n_bytes``, ``spans`` (array of (low, high) bytes) and ``kept`` (binary).
+def repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, contexts: int = CONTEXTS,
+    characters: bool = False, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``key``, ``n_bytes``, ``spans`` (array of (low, high) bytes), ``kept`` (binary) and ``carry``.
 
     Every byte is covered that lies in a ``length``-byte string of the texts' UTF-8 which
     also starts anywhere else, in the same text or another, overlaps included; ``spans``
     are the maximal runs of such bytes, ``kept`` is all others joined. A null text counts
     as empty; texts shorter than ``length`` keep everything. Rows with a null key and
     repeated rows are texts like all others, so a repeated row of ``length`` bytes or more
-    loses all of them.
+    loses all of them. With ``characters`` the runs shrink to whole characters, so that
+    ``kept`` is a text again. ``carry`` names columns to return as they are.
     """
     reach = length - ANCHOR
     if reach < 0:
@@ -256,6 +269,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"),
         F.xxhash64(filled).alias("th"),
         filled.alias("text"),
+        F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))).alias("carry"),
     )
     found = _anchor_rows(rows, length)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -354,14 +368,21 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                     continue
                 values = own.values.to_numpy(zero_copy_only=False)
                 low_, high_ = _merge(values >> 32, values & 0xFFFFFFFF)
+                if characters:
+                    low_, high_ = _whole_characters(raw, low_, high_)
                 runs.append([{"low": a, "high": b} for a, b in zip(low_.tolist(), high_.tolist(), strict=True)])
                 edges = [0, *np.column_stack([low_, high_]).ravel().tolist(), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())],
-                names=[key, "n_bytes", "spans", "kept"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), batch.column(3)],
+                names=["key", "n_bytes", "spans", "kept", "carry"],
             )
 
-    joined = dealt.join(packed, ["id", "th"], "left").select("key", "text", "spans")
-    kind = rows.schema["key"].dataType.simpleString()
-    return joined.mapInArrow(clear, f"{key} {kind}, n_bytes long, spans array<struct<low:bigint,high:bigint>>, kept binary")
+    joined = dealt.join(packed, ["id", "th"], "left").select("key", "text", "spans", "carry")
+    kinds_ = {f.name: f.dataType.simpleString() for f in joined.schema}
+    cleared = joined.mapInArrow(
+        clear, f"key {kinds_['key']}, n_bytes long, spans array<struct<low:bigint,high:bigint>>, kept binary, carry {kinds_['carry']}"
+    )
+    return cleared.select(
+        F.col("key").alias(key), "n_bytes", "spans", "kept", *(F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry))
+    )

@@ -1,0 +1,86 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from shopmeter.llm import labelled, quality, toxicity
+from shopmeter.llm.queries import op4_toxicity, op6_quality
+
+SF = "/root/testdata/sf0.1"
+
+
+def measured(spark, query, label, threshold):
+    rows = query(spark, SF)
+    assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    held = rows.filter("held_out").join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label), "doc_id").collect()
+    y, s = np.array([r[label] for r in held]), np.array([r.score for r in held])
+    assert ((s >= 0) & (s <= 1)).all() and [r.predicted for r in held] == (s >= threshold).astype(int).tolist()
+    ranks = s.argsort().argsort()
+    auc = (ranks[y == 1].mean() - ((y == 1).sum() - 1) / 2) / (y == 0).sum()
+    return auc, (s[y == 1] >= threshold).mean(), (s[y == 0] >= threshold).mean()
+
+
+def test_toxicity_on_held_out_documents(spark):
+    auc, caught, wrong = measured(spark, op4_toxicity, "toxic", 0.5)
+    assert auc > 0.9 and caught > 0.7 and wrong < 0.05
+
+
+def test_quality_on_held_out_documents(spark):
+    auc, kept, wrong = measured(spark, op6_quality, "quality", 0.3)
+    assert auc > 0.99 and kept > 0.98 and wrong < 0.1
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize(("train", "score"), [(quality.train, quality.score), (toxicity.train, toxicity.score)])
+def test_nulls_repeats_and_empty_tables(spark, train, score):
+    rows = [(i, ("good fine words here " if i % 2 else "bad&&& awful### stuff ") * (i % 5 + 1), 1) for i in range(40)]
+    rows += [(None, "good", 1), (100, None, 1), (101, "", 1), (101, "", 1), (102, "word " * 40000, 1), (103, "x" * 100000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    marked = labels(spark, [(i, i % 2, 1 - i % 2) for i in range(40)] + [(100, 1, 1), (None, 1, 0), (7, None, None), (3, 1, 0)])
+    got = score(docs, train(docs, marked)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r.score for r in got}
+    assert by[100] == by[101]
+    again = {r.doc_id: r.score for r in score(docs.repartition(5), train(docs.repartition(3), marked)).collect()}
+    assert again == pytest.approx(by)
+    for few in (marked.limit(0), labels(spark, [(1, 1, 1), (3, 1, 1)])):
+        model = train(docs, few)
+        assert len({round(r.score, 6) for r in score(docs, model).collect()}) >= 1
+    none = docs.limit(0)
+    assert score(none, train(none, marked)).count() == 0
+
+
+def test_quality_is_learnt(spark):
+    rows = [(i, "good fine words here" if i % 2 else "bad&&& awful### stuff%%%") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, labels(spark, [(i, i % 2, 0) for i in range(200)]))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert min(got[i] for i in range(1, 200, 2)) > 0.5 > max(got[i] for i in range(0, 200, 2))
+
+
+def test_features_by_brute_force():
+    import re
+
+    texts = ["The the THE. cat!!", "", None, "a-b_c  d", "Ünï中 x"]
+    of, buckets = quality.features(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\s0-9A-Za-z\x80-\U0010ffff]+", t or "")
+        assert (of == i).sum() == sum(max(0, len(words) - n + 1) for n in (1, 2, 3))
+    assert ((buckets >= 0) & (buckets < quality.BUCKETS)).all()
+
+
+def test_windows_are_the_whole_text():
+    for text in ("", "a", "Word " * 500, "x" * 1000, "é" * 999, "one  two \n three " * 90):
+        assert b"".join(toxicity.windows(text)).decode(errors="replace").replace("�", "") in text.lower() or "é" in text
+        assert b"".join(toxicity.windows(text)) == text.lower().encode()
+
+
+def test_sample_is_bounded_and_weighs_classes(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
+    marked = labels(spark, [(i, 1 if i % 10 else 0, 0) for i in range(300)])
+    rows = labelled.sample(docs, marked, "quality", 50).collect()
+    by = {y: [r.weight for r in rows if r.label == y] for y in (0, 1)}
+    assert len(by[0]) == 30 and len(by[1]) == 50
+    assert sum(by[0]) == pytest.approx(30) and sum(by[1]) == pytest.approx(270)
