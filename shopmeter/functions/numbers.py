@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY_PLACES = 4
-COUNT_PLACES = 6
-MEAN_PLACES = 8
+# Sums are decimals of so many places, far more than any amount carries. Of 27 digits of
+# a value 17 stay before the point, of a sum's 38 digits 28: no total is cut.
+PLACES = 10
 
 
 def round_even(column: Column, places: int = 2) -> Column:
@@ -16,46 +16,30 @@ def round_even(column: Column, places: int = 2) -> Column:
     return F.rint(column * scale) / scale
 
 
-def fixed_point(column: Column, places: int = MONEY_PLACES) -> Column:
-    """A double as a whole number of ``10**-places`` units; NaN counts as missing."""
-    scaled = F.rint(column.cast("double") * float(10**places))
-    return F.nullif(scaled, F.lit(float("nan"))).cast("long")
+def exact(column: Column, digits: int = 38 - 10 - 1) -> Column:
+    """A double as the decimal it shows; NaN counts as missing.
 
-
-def from_fixed(column: Column, places: int = MONEY_PLACES) -> Column:
-    return column / float(10**places)
-
-
-def fixed_sum(column: Column, places: int = MONEY_PLACES) -> Column:
-    """Money sum that does not depend on row order; missing values count as nothing.
-
-    Doubles added in another order differ in the last bits, so a retried task
-    could change a published figure. Long sums do not, they stay in the
-    hash-aggregate fast path, and an overflow raises under ANSI mode.
+    With the default digits a product with a whole number keeps every place.
     """
-    return from_fixed(F.coalesce(F.sum(fixed_point(column, places)), F.lit(0)), places)
+    known = F.nullif(column.cast("double"), F.lit(float("nan")))
+    return known.cast(f"decimal({digits},{PLACES})")
 
 
-def exact_sum(column: Column, places: int = COUNT_PLACES) -> Column:
-    """Like :func:`fixed_sum` for totals over many stores and years.
+def exact_sum(column: Column) -> Column:
+    """Sum that does not depend on row order; missing values count as nothing.
 
-    Decimal sums have room for any total; they are slower than long sums, so
-    they are meant for the store-day table rather than for the feeds.
+    Doubles added in another order differ in the last bits, so a retried task
+    could change a published figure. Decimal sums do not.
     """
-    return F.coalesce(F.sum(_decimal(column, places)), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(exact(column)), F.lit(0)).cast("double")
 
 
-def exact_mean(column: Column, places: int = MEAN_PLACES) -> Column:
+def exact_mean(column: Column) -> Column:
     """Mean over an order-independent sum; null when there is no value."""
-    total = F.sum(_decimal(column, places)).cast("double")
+    total = F.sum(exact(column)).cast("double")
     return ratio(total, F.count(F.nullif(column.cast("double"), F.lit(float("nan")))))
 
 
-def _decimal(column: Column, places: int) -> Column:
-    known = F.nullif(column.cast("double"), F.lit(float("nan")))
-    return known.cast(f"decimal(28,{places})")
-
-
 def zero_sum(column: Column) -> Column:
     """Sum of whole numbers in which no value at all counts as 0."""
     return F.coalesce(F.sum(column.cast("long")), F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmeter.functions.dates import weekday_name
-from shopmeter.functions.numbers import fixed_point, from_fixed, ratio, round_even
+from shopmeter.functions.numbers import exact, ratio, round_even
 from shopmeter.schemas import TRAFFIC_METRICS
 
 DAY_KEY = ["date", "store_id"]
@@ -48,16 +48,6 @@ VARIATIONS = {
 }
 
 
-def merge_feeds(traffic_days: DataFrame, sales_days: DataFrame) -> DataFrame:
-    """One row per store-day present in either feed; missing numbers become 0.
-
-    Text columns stay null where nothing was sold. Cost and best seller already
-    sit on the sales row, so this is the only outer join, and both sides arrive
-    partitioned by its key.
-    """
-    return fill_missing(traffic_days.join(sales_days, DAY_KEY, "full_outer"))
-
-
 def fill_missing(merged: DataFrame) -> DataFrame:
     """Numbers missing after the merge become 0; text stays null."""
     return merged.na.fill(0)
@@ -89,8 +79,8 @@ def moving_averages(
 
     def mean(measure: str):
         if measure == "total_revenue":
-            # Cents summed exactly: a quarter of a cent sum often ends on a rounding tie.
-            total = from_fixed(F.sum(fixed_point(F.col(measure))).over(frame))
+            # Summed exactly: a quarter of a sum of cents often ends on a rounding tie.
+            total = F.sum(exact(F.col(measure))).over(frame).cast("double")
         else:
             total = F.sum(F.col(measure).cast("double")).over(frame)
         return round_even(ratio(total, F.count(measure).over(frame)))

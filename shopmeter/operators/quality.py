@@ -16,11 +16,12 @@ from shopmeter.operators.traffic import MAX_VISITORS
 
 
 def baskets_per_store(sales: DataFrame) -> DataFrame:
-    """Distinct baskets per store. Spark counts them in two steps, (store, basket) first."""
+    """Distinct baskets per store, most first. Spark counts them in two steps, (store, basket) first."""
     return (
         sales.filter(F.col("store_id").isNotNull())
         .groupBy("store_id")
         .agg(F.count_distinct("sale_id").alias("total_sales"))
+        .orderBy(F.desc("total_sales"), "store_id")
     )
 
 
@@ -38,7 +39,7 @@ def _is_open() -> Column:
 
 
 def open_hours_sales(traffic: DataFrame, stores: DataFrame) -> DataFrame:
-    """Traffic sales inside opening hours per store; stores without any are left out."""
+    """Traffic sales inside opening hours per store, most first; stores without any are left out."""
     hourly = (
         traffic.filter(F.col("store_id").isNotNull())
         .groupBy("store_id", "hour")
@@ -50,6 +51,7 @@ def open_hours_sales(traffic: DataFrame, stores: DataFrame) -> DataFrame:
         .groupBy("store_id")
         .agg(F.sum("sales").alias("total_sales"))
         .filter(F.col("total_sales").isNotNull())
+        .orderBy(F.desc("total_sales"), "store_id")
     )
 
 
@@ -66,29 +68,55 @@ def reconcile_sales_traffic(
 
 
 def closed_hours(traffic: DataFrame, stores: DataFrame) -> DataFrame:
-    """Hours with visitors or sales while the store is closed."""
-    active = (F.col("visitors") > 0) | (F.col("sales") > 0)
+    """Hours with visitors or sales while the store is closed, or where that can't be told.
+
+    ``reason`` is ``closed``, ``unknown store`` or ``unreadable hours``, the last also for
+    a row without an hour.
+    """
+    active = F.coalesce(F.col("visitors") > 0, F.lit(False)) | F.coalesce(F.col("sales") > 0, F.lit(False))
+    hour = F.col("hour").try_cast("int")
+    unreadable = hour.isNull() | F.col("opening_hour").isNull() | F.col("closing_hour").isNull()
+    reason = (
+        F.when(F.col("known").isNull(), "unknown store")
+        .when(unreadable, "unreadable hours")
+        .when(~_is_open(), "closed")
+    )
     return (
         traffic.filter(active)
-        .join(_opening(stores), "store_id")
-        .filter(~_is_open())
-        .select("date", "store_id", "hour", "visitors", "sales", "opening_hour", "closing_hour")
+        .join(_opening(stores).withColumn("known", F.lit(True)), "store_id", "left")
+        .withColumn("reason", reason)
+        .filter(F.col("reason").isNotNull())
+        .select("date", "store_id", "hour", "visitors", "sales", "opening_hour", "closing_hour", "reason")
     )
 
 
 def over_capacity(
     traffic: DataFrame, stores: DataFrame, weekend_factor: float = 1.25
 ) -> DataFrame:
-    """Hours with more visitors than the store holds; weekends may exceed it by the factor."""
-    capacity = stores.select(F.col("id").alias("store_id"), "capacity")
+    """Hours with more visitors than the store holds; weekends may exceed it by the factor.
+
+    ``reason`` is ``over capacity``, or why visitors can't be checked: ``unknown store``,
+    ``missing capacity`` or ``missing date``.
+    """
+    capacity = stores.filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("store_id"), "capacity", F.lit(True).alias("known")
+    )
     limit = F.when(is_weekend(F.col("date")), F.floor(F.col("capacity") * weekend_factor)).otherwise(
         F.col("capacity")
     )
+    reason = (
+        F.when(F.col("known").isNull(), "unknown store")
+        .when(F.col("capacity").isNull(), "missing capacity")
+        .when(F.col("date").isNull(), "missing date")
+        .when(F.col("visitors") > F.col("visitor_limit"), "over capacity")
+    )
     return (
-        traffic.join(capacity, "store_id")
+        traffic.filter(F.col("visitors") > 0)
+        .join(capacity, "store_id", "left")
         .withColumn("visitor_limit", limit.cast("int"))
-        .filter(F.col("visitors") > F.col("visitor_limit"))
-        .select("date", "store_id", "hour", "visitors", "visitor_limit")
+        .withColumn("reason", reason)
+        .filter(F.col("reason").isNotNull())
+        .select("date", "store_id", "hour", "visitors", "visitor_limit", "reason")
     )
 
 
@@ -115,15 +143,26 @@ def traffic_profile(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> Dat
 def line_amount_errors(
     sales: DataFrame, products: DataFrame, tolerance: float = 0.005
 ) -> DataFrame:
-    """Lines whose amount is missing or not price times quantity, to two decimals."""
-    prices = products.filter(F.col("id").isNotNull()).select(F.col("id").alias("product_id"), "price")
+    """Lines whose amount is not price times quantity to two decimals, or can't be checked.
+
+    ``reason`` is ``other amount``, ``unknown product`` or ``missing value``.
+    """
+    prices = products.filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("product_id"), "price", F.lit(True).alias("known")
+    )
     expected = round_even(F.col("price") * F.col("quantity"))
     agrees = F.abs(F.col("sale_amount") - F.col("expected_amount")) <= tolerance
+    reason = (
+        F.when(F.col("known").isNull(), "unknown product")
+        .when(agrees.isNull(), "missing value")
+        .when(~agrees, "other amount")
+    )
     return (
-        sales.join(prices, "product_id")
+        sales.join(prices, "product_id", "left")
         .withColumn("expected_amount", expected)
-        .filter(~F.coalesce(agrees, F.lit(False)))
-        .select("sale_id", "product_id", "quantity", "sale_amount", "expected_amount")
+        .withColumn("reason", reason)
+        .filter(F.col("reason").isNotNull())
+        .select("sale_id", "product_id", "quantity", "sale_amount", "expected_amount", "reason")
     )
 
 
@@ -148,15 +187,30 @@ def basket_size_errors(sales: DataFrame) -> DataFrame:
 def client_city_errors(
     sales: DataFrame, clients: DataFrame, stores: DataFrame
 ) -> DataFrame:
-    """(client, store) pairs with sales where the client lives elsewhere, with their lines."""
+    """(client, store) pairs with sales where the client lives elsewhere, with their lines.
+
+    ``reason`` is ``other city``, ``unknown client`` or ``unknown store``; the client's
+    comes first if both are unknown. Neither place known is another city too.
+    """
     pairs = sales.groupBy("client_id", "store_id").agg(F.count("*").alias("lines"))
-    homes = clients.select(F.col("id").alias("client_id"), "city")
-    places = stores.select(F.col("id").alias("store_id"), "location")
+    homes = clients.filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("client_id"), "city", F.lit(True).alias("known_client")
+    )
+    places = stores.filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("store_id"), "location", F.lit(True).alias("known_store")
+    )
+    same = F.coalesce(F.col("city") == F.col("location"), F.lit(False))
+    reason = (
+        F.when(F.col("known_client").isNull(), "unknown client")
+        .when(F.col("known_store").isNull(), "unknown store")
+        .when(~same, "other city")
+    )
     return (
-        pairs.join(homes, "client_id")
-        .join(places, "store_id")
-        .filter(~F.col("city").eqNullSafe(F.col("location")))
-        .select("client_id", "store_id", "city", "location", "lines")
+        pairs.join(homes, "client_id", "left")
+        .join(places, "store_id", "left")
+        .withColumn("reason", reason)
+        .filter(F.col("reason").isNotNull())
+        .select("client_id", "store_id", "city", "location", "lines", "reason")
     )
 
 

@@ -95,14 +95,14 @@ def quarter_store_rollup(metrics: DataFrame) -> DataFrame:
 
 def series_quarterly(rollup: DataFrame, names: list[str]) -> DataFrame:
     """Per quarter over the quarter-and-store rollup, so means are means of store means."""
-    return rollup.groupBy("quarter", "quarter_for_sort").agg(
-        *[_period_value(name) for name in names]
-    )
+    values = [_period_value(name) for name in names]
+    return rollup.groupBy("quarter", "quarter_for_sort").agg(*values).orderBy("quarter_for_sort")
 
 
 def available_periods(metrics: DataFrame) -> DataFrame:
-    """Distinct (year, month) present; order by year and month for a selector."""
-    return with_calendar(metrics.filter(F.col("date").isNotNull())).select("year", "month").distinct()
+    """Distinct (year, month) present, in order."""
+    months = with_calendar(metrics.filter(F.col("date").isNotNull())).select("year", "month").distinct()
+    return months.orderBy("year", "month")
 
 
 def available_years(metrics: DataFrame, descending: bool = False) -> DataFrame:

@@ -8,16 +8,10 @@ the reduced rows rather than to the lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmeter.functions.numbers import (
-    fixed_point,
-    fixed_sum,
-    from_fixed,
-    round_even,
-    zero_sum,
-)
+from shopmeter.functions.numbers import PLACES, exact, exact_sum, round_even, zero_sum
 
 DAY_KEY = ["date", "store_id"]
 
@@ -38,20 +32,16 @@ def _by_product(sales: DataFrame) -> DataFrame:
         .groupBy(F.col("sale_date").alias("date"), "store_id", "product_id")
         .agg(
             zero_sum(F.col("quantity")).alias("quantity"),
-            F.coalesce(F.sum(fixed_point(F.col("sale_amount"))), F.lit(0)).alias("amount"),
+            F.coalesce(F.sum(exact(F.col("sale_amount"))), F.lit(0)).alias("amount"),
         )
     )
 
 
 def _named_products(products: DataFrame) -> DataFrame:
-    """One row per (id, name) with its cost; ``copies`` is 1 for a clean snapshot.
-
-    Partitioned by id alone so that grouping by id again needs no new shuffle.
-    """
+    """One row per (id, name) with its cost; ``copies`` is 1 for a clean snapshot."""
     return (
         products.filter(F.col("id").isNotNull())
-        .select(F.col("id").alias("product_id"), "name", fixed_point(F.col("cost")).alias("cost"))
-        .repartition("product_id")
+        .select(F.col("id").alias("product_id"), "name", exact(F.col("cost")).alias("cost"))
         .groupBy("product_id", "name")
         .agg(F.count("*").alias("copies"), F.sum("cost").alias("cost"))
     )
@@ -81,19 +71,25 @@ def daily_sales(sales: DataFrame) -> DataFrame:
         .groupBy(F.col("sale_date").alias("date"), "store_id")
         .agg(
             zero_sum(F.col("quantity")).alias("total_quantity"),
-            fixed_sum(F.col("sale_amount")).alias("total_revenue"),
+            exact_sum(F.col("sale_amount")).alias("total_revenue"),
         )
     )
 
 
+def _cost() -> Column:
+    """Cost of the lines of a group, multiplied and summed exactly."""
+    unit = F.col("unit_cost").cast(f"decimal(27,{PLACES})")
+    return F.coalesce(F.sum(F.col("quantity").cast("decimal(10,0)") * unit), F.lit(0)).cast("double")
+
+
 def daily_cost(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Cost of known products per (date, store), to two decimals."""
-    cost = F.coalesce(F.sum(F.col("quantity") * F.col("unit_cost")), F.lit(0))
+    cost = _cost()
     return (
         _by_product(sales)
         .join(_catalogue(products), "product_id")
         .groupBy(*DAY_KEY)
-        .agg(round_even(from_fixed(cost)).alias("total_cost"))
+        .agg(round_even(cost).alias("total_cost"))
     )
 
 
@@ -152,13 +148,13 @@ def sales_day(sales: DataFrame, products: DataFrame) -> DataFrame:
         F.col("product_id"),
         F.col("label.name").alias("name"),
     )
-    cost = F.coalesce(F.sum(F.col("quantity") * F.col("unit_cost")), F.lit(0))
+    cost = _cost()
     return (
         sold.groupBy(*DAY_KEY)
         .agg(
             F.sum("quantity").alias("total_quantity"),
-            from_fixed(F.sum("amount")).alias("total_revenue"),
-            round_even(from_fixed(cost)).alias("total_cost"),
+            F.sum("amount").cast("double").alias("total_revenue"),
+            round_even(cost).alias("total_cost"),
             F.max(F.when(F.col("label").isNotNull(), top)).alias("top"),
         )
         .select(

@@ -6,19 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmeter.functions.numbers import fixed_point, zero_sum
+from shopmeter.functions.numbers import zero_sum
 
 MAX_VISITORS = 5000
 DAY_KEY = ["date", "store_id"]
-_HOUR_SLOTS = 128
+# Hours of a day; a row with another hour counts in totals but is no peak.
+HOURS = 24
+_HOUR_SLOTS = 32
 
 
-def whole_counts(traffic: DataFrame) -> DataFrame:
-    """Visitors and sales as whole numbers; a feed that passed through floats has NaN gaps."""
-    for measure in ("visitors", "sales"):
-        if not isinstance(traffic.schema[measure].dataType, T.IntegralType):
-            traffic = traffic.withColumn(measure, fixed_point(F.col(measure), 0))
-    return traffic
+def has_whole_counts(traffic: DataFrame) -> bool:
+    return all(isinstance(traffic.schema[m].dataType, T.IntegralType) for m in ("visitors", "sales"))
 
 
 def drop_unmeasured(traffic: DataFrame) -> DataFrame:
@@ -101,7 +99,11 @@ def _pack(value: str) -> str:
     A maximum over longs stays a hash aggregate; over a struct it would sort
     the whole feed.
     """
-    return f"CAST({value} AS BIGINT) * {_HOUR_SLOTS} + ({_HOUR_SLOTS - 1} - hour)"
+    packed = f"CAST({value} AS BIGINT) * {_HOUR_SLOTS} + ({_HOUR_SLOTS - 1} - hour)"
+    return f"CASE WHEN {_IS_HOUR} THEN {packed} END"
+
+
+_IS_HOUR = f"hour BETWEEN 0 AND {HOURS - 1}"
 
 
 def _packed_hour(packed: str) -> str:
@@ -117,7 +119,7 @@ def _peak_hour(traffic: DataFrame, measure: str) -> Column:
     if isinstance(traffic.schema[measure].dataType, T.IntegralType):
         return F.expr(_packed_hour(f"max({_pack(measure)})"))
     value, hour = F.col(measure), F.col("hour")
-    measured = _measured(traffic, measure)
+    measured = _measured(traffic, measure) & F.expr(_IS_HOUR)
     return F.max_by(F.when(measured, hour), F.when(measured, F.struct(value, -hour))).cast("int")
 
 
@@ -153,7 +155,10 @@ def traffic_day_parts(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> D
     Because the repair rate is one number per store, a day's repaired visitors
     follow from figures kept apart for usual and outlier hours. So the feed is
     read once and shuffled once, already reduced to a row per (date, store).
+    Counts must be whole numbers; ``daily_traffic_repaired`` takes others.
     """
+    if not has_whole_counts(traffic):
+        raise TypeError("visitors and sales must be whole numbers")
     outlier = _is_outlier(max_visitors)
     usual_visitors = f"CASE WHEN NOT {outlier} THEN visitors END"
     outlier_visitors = f"CASE WHEN {outlier} THEN visitors END"
@@ -167,10 +172,10 @@ def traffic_day_parts(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> D
         "raw_peak": f"max({_pack(outlier_visitors)})",
         "outlier_sales": f"coalesce(sum(CAST({sold} AS BIGINT)), 0L)",
         "outlier_peak": f"max({_pack(sold)})",
-        "outlier_first_hour": f"min(CASE WHEN {outlier} AND sales IS NOT NULL THEN hour END)",
+        "outlier_first_hour": f"min(CASE WHEN {outlier} AND sales IS NOT NULL AND {_IS_HOUR} THEN hour END)",
     }
     return (
-        _keyed(drop_unmeasured(whole_counts(traffic)))
+        _keyed(drop_unmeasured(traffic))
         .groupBy(*DAY_KEY)
         .agg(
             *[F.expr(value).alias(name) for name, value in parts.items()],
@@ -234,6 +239,9 @@ def daily_traffic_repaired(
 ) -> DataFrame:
     """Clean, repair and total the hourly feed in one pass over it.
 
-    Same rows as ``daily_traffic(repair_outliers(drop_unmeasured(traffic)))``.
+    Same rows as ``daily_traffic(repair_outliers(drop_unmeasured(traffic)))``, which is
+    what a feed of fractional counts goes through.
     """
+    if not has_whole_counts(traffic):
+        return daily_traffic(repair_outliers(drop_unmeasured(traffic), max_visitors, mode))
     return finish_traffic_days(traffic_day_parts(traffic, max_visitors), mode)

@@ -17,17 +17,18 @@ from shopmeter.operators.metrics import (
 from shopmeter.operators.sales import sales_day
 from shopmeter.operators.traffic import (
     MAX_VISITORS,
+    daily_traffic_repaired,
     finish_traffic_days,
+    has_whole_counts,
     traffic_day_parts,
 )
 from shopmeter.schemas import PRODUCTS, RETAIL_DATA, SALES, TRAFFIC_METRICS
 from shopmeter.sinks.upsert import upsert_metrics
-from shopmeter.sources.incremental import (
-    history_before,
-    processed_days,
-    read_unprocessed,
-)
-from shopmeter.sources.tables import read_table
+from shopmeter.sources.incremental import new_days
+from shopmeter.sources.tables import day_folders, read_days, read_table
+
+# The averages of a batch reach back so far.
+HISTORY = dt.timedelta(weeks=4)
 
 
 def daily_feeds(
@@ -44,6 +45,9 @@ def daily_feeds(
     partitioned by its key, and the one shuffle by store that the repair rate
     needs also serves the averages.
     """
+    if not has_whole_counts(traffic):
+        days = daily_traffic_repaired(traffic, max_visitors, mode)
+        return fill_missing(days.join(sales_day(sales, products), DAY_KEY, "full_outer"))
     parts = traffic_day_parts(traffic, max_visitors)
     merged = parts.join(sales_day(sales, products), DAY_KEY, "full_outer")
     return fill_missing(finish_traffic_days(merged, mode))
@@ -80,26 +84,38 @@ def run_daily_metrics(
     max_visitors: int = MAX_VISITORS,
     mode: str = "reference",
     full_history: bool = False,
-    skip_unreadable: bool = True,
+    both_feeds: bool = False,
 ) -> bool:
     """Process the dates missing from the metrics table and upsert them into it.
 
     Returns False, with nothing written, when a feed or the product snapshot
-    has no new rows. Errors are raised, never swallowed. A row that arrives for
-    a date already published is not picked up again. ``full_history`` averages
-    over all published rows instead of the four weeks before the batch.
+    has no new rows. Errors are raised, never swallowed; a file that can't be read
+    keeps its date unpublished. A row that arrives for a date already published is
+    not picked up again. ``both_feeds`` leaves dates for later that one feed lacks.
+    ``full_history`` averages over all published rows instead of the four weeks
+    before the batch.
     """
-    metrics = read_table(spark, metrics_path, TRAFFIC_METRICS)
-    done = processed_days(metrics)
-    traffic = read_unprocessed(spark, traffic_path, RETAIL_DATA, "date", done, skip_unreadable)
-    sales = read_unprocessed(spark, sales_path, SALES, "sale_date", done, skip_unreadable)
+    done = day_folders(spark, metrics_path, "date")
+    days = new_days(spark, traffic_path, "date", done)
+    sale_days = new_days(spark, sales_path, "sale_date", done)
+    if both_feeds:
+        days = sale_days = sorted(set(days) & set(sale_days))
+    traffic = read_days(spark, traffic_path, RETAIL_DATA, "date", days)
+    sales = read_days(spark, sales_path, SALES, "sale_date", sale_days)
     products = read_table(spark, products_path, PRODUCTS)
     if traffic.isEmpty() or sales.isEmpty() or products.isEmpty():
         return False
-    start = batch_start(traffic, sales)
-    if start is None:
-        return False
-    history = metrics if full_history else history_before(metrics, start)
+    start = min([*days, *sale_days])
+    recent = done if full_history else [d for d in done if start - HISTORY <= d < start]
+    history = read_days(spark, metrics_path, TRAFFIC_METRICS, "date", recent)
     batch = daily_metrics(traffic, sales, products, history, max_visitors, mode)
     upsert_metrics(batch, metrics_path)
     return True
+
+
+def pending_days(spark: SparkSession, traffic_path: str, sales_path: str, metrics_path: str) -> list[dt.date]:
+    """Unpublished dates that only one of the feeds has."""
+    done = day_folders(spark, metrics_path, "date")
+    return sorted(
+        set(new_days(spark, traffic_path, "date", done)) ^ set(new_days(spark, sales_path, "sale_date", done))
+    )

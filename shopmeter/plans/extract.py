@@ -6,24 +6,27 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopmeter.functions.dates import parse_day
 from shopmeter.schemas import CLIENTS, PRODUCTS, RETAIL_DATA, SALES, STORES
+from shopmeter.session import durable
 from shopmeter.sinks.merges import write_merged_day
 from shopmeter.sinks.writers import require_rows, write_snapshot
 from shopmeter.sources.tables import drop_error_rows, read_json_feed
 
 
 def extract_sales(
-    spark: SparkSession, feed: str, target: str, day: str | dt.date, lines: bool = False
+    spark: SparkSession, feed: str, target: str, day: str | dt.date, lines: bool = True
 ) -> bool:
     """Merge one day's sale lines, of all stores at once, into the sales dataset.
 
-    A day without any line writes nothing and returns False.
+    A feed without a line of that day writes nothing and returns False. A missing feed or
+    one that is no JSON is an error, here as in all extractions, and leaves the target alone.
     """
     rows = drop_error_rows(read_json_feed(spark, feed, SALES, lines), ["sale_id", "store_id"])
     day = parse_day(day)
-    rows = rows.filter(F.col("sale_date") == F.lit(day))
+    rows = durable(rows.filter(F.col("sale_date") == F.lit(day)))
     if rows.isEmpty():
         return False
     write_merged_day(spark, rows, target, SALES, "sale_date", day)
@@ -31,27 +34,35 @@ def extract_sales(
 
 
 def extract_traffic(
-    spark: SparkSession, feed: str, target: str, day: str | dt.date, lines: bool = False
+    spark: SparkSession, feed: str, target: str, day: str | dt.date, lines: bool = True
 ) -> None:
     """Merge one day's hourly rows into the traffic dataset; no row is an error."""
     rows = drop_error_rows(read_json_feed(spark, feed, RETAIL_DATA, lines), ["store_id"])
     day = parse_day(day)
-    rows = require_rows(rows.filter(F.col("date") == F.lit(day)), f"traffic on {day}")
+    rows = require_rows(durable(rows.filter(F.col("date") == F.lit(day))), f"traffic on {day}")
     write_merged_day(spark, rows, target, RETAIL_DATA, "date", day)
 
 
-def extract_clients(spark: SparkSession, feed: str, target: str, lines: bool = False) -> None:
-    """Replace the client snapshot."""
-    write_snapshot(drop_error_rows(read_json_feed(spark, feed, CLIENTS, lines), ["id"]), target)
+def _replace(
+    spark: SparkSession, feed: str, target: str, schema: T.StructType, lines: bool, allow_empty: bool
+) -> None:
+    """Replace a snapshot by a feed that was read to its end before."""
+    rows = durable(drop_error_rows(read_json_feed(spark, feed, schema, lines), ["id"]))
+    write_snapshot(rows if allow_empty else require_rows(rows, feed), target)
+
+
+def extract_clients(
+    spark: SparkSession, feed: str, target: str, lines: bool = True, allow_empty: bool = False
+) -> None:
+    """Replace the client snapshot; an empty feed is an error unless ``allow_empty``."""
+    _replace(spark, feed, target, CLIENTS, lines, allow_empty)
 
 
-def extract_stores(spark: SparkSession, feed: str, target: str, lines: bool = False) -> None:
+def extract_stores(spark: SparkSession, feed: str, target: str, lines: bool = True) -> None:
     """Replace the store snapshot; an empty feed is an error."""
-    rows = drop_error_rows(read_json_feed(spark, feed, STORES, lines), ["id"])
-    write_snapshot(require_rows(rows, "stores"), target)
+    _replace(spark, feed, target, STORES, lines, False)
 
 
-def extract_products(spark: SparkSession, feed: str, target: str, lines: bool = False) -> None:
+def extract_products(spark: SparkSession, feed: str, target: str, lines: bool = True) -> None:
     """Replace the product snapshot; an empty feed is an error."""
-    rows = drop_error_rows(read_json_feed(spark, feed, PRODUCTS, lines), ["id"])
-    write_snapshot(require_rows(rows, "products"), target)
+    _replace(spark, feed, target, PRODUCTS, lines, False)

@@ -33,14 +33,14 @@ o AS (
   FROM orders),
 stores_v AS (
   SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, r_name AS location,
-         100 + 140 * n_nationkey AS capacity, CAST(7 + n_nationkey % 3 AS VARCHAR) AS opening_hour,
-         CAST(19 + n_nationkey % 4 AS VARCHAR) AS closing_hour
+         100 + 140 * n_nationkey AS capacity, CASE WHEN n_nationkey % 5 = 0 THEN '0' ELSE CAST(7 + n_nationkey % 3 AS VARCHAR) END AS opening_hour,
+         CASE WHEN n_nationkey % 5 = 0 THEN '24' ELSE CAST(19 + n_nationkey % 4 AS VARCHAR) END AS closing_hour
   FROM nation JOIN region ON n_regionkey = r_regionkey),
 products_v AS (
   SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS category,
          p_retailprice AS price,
          round_even(p_retailprice * CAST(0.65 AS DOUBLE) * 100, 0) / 100 AS cost
-  FROM part),
+  FROM part WHERE p_partkey % 10 <> 0),
 clients_v AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name,
          CAST(floor(abs(c_acctbal) / 40) AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS gender,
@@ -57,7 +57,12 @@ traffic_v AS (
   SELECT store_id, 'NATION_' || store_id AS store_name, hour,
          sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 9500 AS visitors, count(*) AS sales,
          day AS date
-  FROM o GROUP BY store_id, hour, day),
+  FROM o WHERE NOT (store_id = '3' AND day(day) = 13) GROUP BY store_id, hour, day),
+flawed_v AS (
+  SELECT id, location, CASE WHEN id <> '12' THEN capacity END AS capacity,
+         CASE WHEN id <> '13' THEN CAST(opening_hour AS INTEGER) END AS opening_hour,
+         CAST(closing_hour AS INTEGER) AS closing_hour
+  FROM stores_v WHERE id <> '11'),
 gappy_v AS (
   SELECT store_id, store_name, hour, date,
          CASE WHEN hour NOT IN (3, 5) THEN visitors END AS visitors,
@@ -70,12 +75,17 @@ def even(expression: str, places: int) -> str:
     return f"round_even(CAST({expression} AS DOUBLE) * {scale}, 0) / {scale}"
 
 
+def shown(metric: str) -> str:
+    """A number as the decimal that its text shows, not the nearest to its binary value."""
+    return f"CAST(CAST(CAST({metric} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10))"
+
+
 def total(metric: str) -> str:
-    return f"CAST(coalesce(sum(CAST({metric} AS DECIMAL(28,6))), 0) AS DOUBLE)"
+    return f"CAST(coalesce(sum({shown(metric)}), 0) AS DOUBLE)"
 
 
 def mean(metric: str) -> str:
-    return f"CAST(sum(CAST({metric} AS DECIMAL(28,8))) AS DOUBLE) / count({metric})"
+    return f"CAST(sum({shown(metric)}) AS DOUBLE) / count({metric})"
 
 
 def output(columns: str) -> str:
@@ -262,15 +272,15 @@ add("table_inventory",
     "table_name:s records:i")
 add("file_inventory",
     " UNION ALL ".join(
-        f"SELECT '{t}.parquet' AS file, count(*) AS records FROM {t}" for t in TABLES),
-    "file:s records:i")
+        f"SELECT '{t}.parquet' AS file, count(*) AS records, true AS readable FROM {t}" for t in TABLES),
+    "file:s records:i readable:b")
 add("clients_by_city", "FROM clients_v WHERE lower(city) = 'asia'", CLIENT_COLUMNS)
 add("distinct_cities", "SELECT DISTINCT city FROM clients_v", "city:s")
 add("distinct_stores", "SELECT DISTINCT id FROM stores_v", "id:s")
 add("sales_by_date_store",
     "FROM sales_v WHERE sale_date = DATE '1998-02-25' AND store_id = '2'", SALE_COLUMNS)
 add("sales_by_hour",
-    "FROM sales_v WHERE sale_date = DATE '1998-02-25' AND CAST(sale_time[1:2] AS INTEGER) = 9",
+    "FROM sales_v WHERE sale_date = DATE '1998-02-25' AND CAST(sale_time[1:2] AS INTEGER) = 19",
     SALE_COLUMNS)
 add("traffic_by_date", "FROM traffic_v WHERE date = DATE '1998-02-25'", TRAFFIC_COLUMNS)
 add("traffic_by_date_store",
@@ -403,6 +413,7 @@ add("series_quarterly",
     "quarter:s quarter_for_sort:i " + VALUES, [*METRICS, QUARTERS])
 add("available_periods", "SELECT DISTINCT year(date) AS year, month(date) AS month FROM traffic_v",
     "year:i month:i")
+add("available_years", "SELECT DISTINCT year(date) AS year FROM traffic_v", "year:i")
 
 
 def long_form(wide: str, names: list[str]) -> str:
@@ -537,15 +548,19 @@ add("reconcile_sales_traffic",
     f"FROM ({BASKETS}) b FULL JOIN ({OPEN_HOURS}) t USING (store_id)",
     "store_id:s basket_sales:i traffic_sales:i matches:b")
 add("dq_closed_hours",
-    "SELECT t.*, s.opening_hour, s.closing_hour FROM traffic_v t JOIN stores_v s "
-    "ON t.store_id = s.id WHERE (visitors > 0 OR sales > 0) AND NOT (hour >= "
-    "CAST(opening_hour AS INTEGER) AND hour < CAST(closing_hour AS INTEGER))",
-    "date:t store_id:s hour:i visitors:i sales:i opening_hour:i closing_hour:i")
+    "SELECT * FROM (SELECT t.*, opening_hour, closing_hour, CASE WHEN s.id IS NULL THEN 'unknown store' "
+    "WHEN opening_hour IS NULL THEN 'unreadable hours' "
+    "WHEN NOT (hour >= opening_hour AND hour < closing_hour) THEN 'closed' END AS reason "
+    "FROM traffic_v t LEFT JOIN flawed_v s ON t.store_id = s.id WHERE visitors > 0 OR sales > 0) "
+    "WHERE reason IS NOT NULL",
+    "date:t store_id:s hour:i visitors:i sales:i opening_hour:i closing_hour:i reason:s")
 add("dq_over_capacity",
-    "SELECT * FROM (SELECT t.*, CASE WHEN isodow(date) >= 6 THEN floor(capacity * 1.25) "
-    "ELSE capacity END AS visitor_limit FROM traffic_v t JOIN stores_v s ON t.store_id = s.id) "
-    "WHERE visitors > visitor_limit",
-    "date:t store_id:s hour:i visitors:i visitor_limit:i")
+    "SELECT *, CASE WHEN store IS NULL THEN 'unknown store' WHEN visitor_limit IS NULL "
+    "THEN 'missing capacity' ELSE 'over capacity' END AS reason FROM ("
+    "SELECT t.*, s.id AS store, CASE WHEN isodow(date) >= 6 THEN floor(capacity * 1.25) "
+    "ELSE capacity END AS visitor_limit FROM traffic_v t LEFT JOIN flawed_v s ON t.store_id = s.id) "
+    "WHERE visitors > 0 AND coalesce(visitors > visitor_limit, true)",
+    "date:t store_id:s hour:i visitors:i visitor_limit:i reason:s")
 add("dq_traffic_profile",
     "SELECT *, null_hours / hours AS null_rate, outlier_hours / hours AS outlier_rate FROM ("
     "SELECT store_id, count(*) AS hours, "
@@ -553,10 +568,13 @@ add("dq_traffic_profile",
     "count(*) FILTER (WHERE visitors > 5000) AS outlier_hours FROM gappy_v GROUP BY store_id)",
     "store_id:s hours:i null_hours:i outlier_hours:i null_rate:d outlier_rate:d")
 add("dq_line_amount",
-    "SELECT * FROM (SELECT s.*, round_even(price * quantity * 100, 0) / 100 AS expected_amount "
-    "FROM sales_v s JOIN products_v p ON s.product_id = p.id) "
+    "SELECT *, CASE WHEN expected_amount IS NULL THEN 'unknown product' ELSE 'other amount' END AS reason "
+    "FROM (SELECT s.* EXCLUDE (sale_amount), round_even(price * quantity * 100, 0) / 100 AS expected_amount, "
+    "CASE WHEN CAST(sale_id AS BIGINT) % 2 = 0 THEN round_even(price * quantity * 100, 0) / 100 "
+    "ELSE sale_amount END AS sale_amount "
+    "FROM sales_v s LEFT JOIN products_v p ON s.product_id = p.id) "
     "WHERE coalesce(abs(sale_amount - expected_amount) > CAST(0.005 AS DOUBLE), true)",
-    "sale_id:s product_id:s quantity:i sale_amount:d expected_amount:d")
+    "sale_id:s product_id:s quantity:i sale_amount:d expected_amount:d reason:s")
 add("dq_basket_size",
     "SELECT sale_id, max(nb_type_product) AS declared, count(DISTINCT product_id) AS found "
     "FROM sales_v GROUP BY sale_id "
@@ -564,10 +582,12 @@ add("dq_basket_size",
     "OR max(nb_type_product) IS DISTINCT FROM count(DISTINCT product_id)",
     "sale_id:s declared:i found:i")
 add("dq_client_city",
-    "SELECT client_id, store_id, city, location, count(*) AS lines FROM sales_v "
-    "JOIN clients_v c ON client_id = c.id JOIN stores_v s ON store_id = s.id "
-    "WHERE city IS DISTINCT FROM location GROUP BY ALL",
-    "client_id:s store_id:s city:s location:s lines:i")
+    "SELECT client_id, store_id, city, location, count(*) AS lines, CASE WHEN any_value(c.id) IS NULL "
+    "THEN 'unknown client' WHEN any_value(s.id) IS NULL THEN 'unknown store' ELSE 'other city' END AS reason "
+    "FROM sales_v LEFT JOIN (SELECT * FROM clients_v WHERE CAST(id AS BIGINT) % 10 <> 0) c "
+    "ON client_id = c.id LEFT JOIN flawed_v s ON store_id = s.id "
+    "WHERE c.id IS NULL OR s.id IS NULL OR city <> location GROUP BY ALL",
+    "client_id:s store_id:s city:s location:s lines:i reason:s")
 add("dq_client_age", "FROM clients_v WHERE age >= 200", CLIENT_COLUMNS)
 add("dq_feed_errors",
     "SELECT count(*) AS rows, count(*) FILTER (WHERE nb_type_product = 5) AS error_rows, "

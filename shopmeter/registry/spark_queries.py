@@ -80,7 +80,7 @@ def table_inventory(spark, sf_dir):
 def file_inventory(spark, sf_dir):
     """Records per file of the whole folder."""
     name = F.regexp_extract("file", "([^/]+)$", 1)
-    return tables.file_inventory(spark, sf_dir).select(name.alias("file"), "records")
+    return tables.file_inventory(spark, sf_dir).select(name.alias("file"), "records", "readable")
 
 
 @query
@@ -105,7 +105,7 @@ def sales_by_date_store(spark, sf_dir):
 
 @query
 def sales_by_hour(spark, sf_dir):
-    return lookups.sales_by_hour(views.sales(spark, sf_dir), "1998-02-25", "9")
+    return lookups.sales_by_hour(views.sales(spark, sf_dir), "1998-02-25", "19")
 
 
 @query
@@ -327,6 +327,11 @@ def available_periods(spark, sf_dir):
     return rollups.available_periods(traffic.daily_traffic(views.traffic(spark, sf_dir)))
 
 
+@query
+def available_years(spark, sf_dir):
+    return rollups.available_years(traffic.daily_traffic(views.traffic(spark, sf_dir)))
+
+
 @query
 def theme_series(spark, sf_dir):
     return reports.detail_page(
@@ -490,12 +495,12 @@ def reconcile_sales_traffic(spark, sf_dir):
 
 @query
 def dq_closed_hours(spark, sf_dir):
-    return quality.closed_hours(views.traffic(spark, sf_dir), views.stores(spark, sf_dir))
+    return quality.closed_hours(views.traffic(spark, sf_dir), views.flawed_stores(spark, sf_dir))
 
 
 @query
 def dq_over_capacity(spark, sf_dir):
-    return quality.over_capacity(views.traffic(spark, sf_dir), views.stores(spark, sf_dir))
+    return quality.over_capacity(views.traffic(spark, sf_dir), views.flawed_stores(spark, sf_dir))
 
 
 @query
@@ -505,7 +510,7 @@ def dq_traffic_profile(spark, sf_dir):
 
 @query
 def dq_line_amount(spark, sf_dir):
-    return quality.line_amount_errors(views.sales(spark, sf_dir), views.products(spark, sf_dir))
+    return quality.line_amount_errors(views.priced_sales(spark, sf_dir), views.products(spark, sf_dir))
 
 
 @query
@@ -516,7 +521,9 @@ def dq_basket_size(spark, sf_dir):
 @query
 def dq_client_city(spark, sf_dir):
     return quality.client_city_errors(
-        views.sales(spark, sf_dir), views.clients(spark, sf_dir), views.stores(spark, sf_dir)
+        views.sales(spark, sf_dir),
+        views.clients(spark, sf_dir).filter(F.col("id").cast("long") % 10 != 0),
+        views.flawed_stores(spark, sf_dir),
     )
 
 

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmeter.functions.numbers import fixed_point, round_even
+from shopmeter.functions.numbers import round_even
 from shopmeter.plans.daily import daily_metrics
 from shopmeter.sources.incremental import history_before
 
@@ -53,13 +53,15 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("name"),
         F.col("r_name").alias("location"),
         (100 + 140 * key).cast("int").alias("capacity"),
-        (7 + key % 3).cast("string").alias("opening_hour"),
-        (19 + key % 4).cast("string").alias("closing_hour"),
+        F.when(key % 5 == 0, "0").otherwise((7 + key % 3).cast("string")).alias("opening_hour"),
+        F.when(key % 5 == 0, "24").otherwise((19 + key % 4).cast("string")).alias("closing_hour"),
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
+    """Every tenth part is a product that the snapshot lacks."""
+    part = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 10 != 0)
+    return part.select(
         F.col("p_partkey").cast("string").alias("id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("category"),
@@ -68,6 +70,23 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores without number 11, without the capacity of 12 and the hours of 13."""
+    return stores(spark, sf_dir).filter("id <> '11'").selectExpr(
+        "id", "name", "location", "if(id = '12', null, capacity) AS capacity",
+        "if(id = '13', 'late', opening_hour) AS opening_hour", "closing_hour",
+    )
+
+
+def priced_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales whose lines of even baskets carry price times quantity, if the product is known."""
+    lines, prices = sales(spark, sf_dir), products(spark, sf_dir).select(F.col("id").alias("product_id"), "price")
+    amount = F.when(
+        F.col("sale_id").cast("long") % 2 == 0, round_even(F.col("price") * F.col("quantity"))
+    ).otherwise(F.col("sale_amount"))
+    return lines.join(prices, "product_id", "left").withColumn("sale_amount", amount).select(*lines.columns)
+
+
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -113,10 +132,15 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A visitor per 95 currency units; busy hours exceed the outlier limit."""
-    cents = F.sum(fixed_point(F.col("o_totalprice"), 2))
+    """A visitor per 95 currency units; busy hours exceed the outlier limit.
+
+    The counters of store 3 fail on every 13th of a month.
+    """
+    cents = F.sum(F.rint(F.col("o_totalprice") * 100).cast("long"))
+    failed = (F.col("store_id") == "3") & (F.dayofmonth("day") == 13)
     hourly = (
         _orders(spark, sf_dir)
+        .filter(~failed)
         .groupBy(F.col("day").alias("date"), "store_id", "hour")
         .agg(cents.alias("cents"), F.count("*").cast("int").alias("sales"))
     )

@@ -25,7 +25,7 @@ CLIENTS = _schema(
 )
 PRODUCTS = _schema("id:string name:string category:string price:double cost:double")
 STORES = _schema(
-    "id:string name:string location:string capacity:int opening_hour:int closing_hour:int"
+    "id:string name:string location:string capacity:int opening_hour:string closing_hour:string"
 )
 SALES = _schema(
     "sale_id:string nb_type_product:int product_id:string client_id:string store_id:string "
@@ -68,19 +68,26 @@ def parse_date(column: Column) -> Column:
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: cast what differs, add what is missing as null.
 
-    Feeds disagree on some types (hours and dates arrive as text). A value that
-    does not fit its declared type becomes null instead of failing the job.
+    Stored files disagree on some types: counts turn into floats where a day has gaps
+    (NaN is such a gap), hours and dates may be text. A value that its declared type
+    can't hold is an error, never a silent null.
     """
     columns = []
     for field in schema.fields:
         if field.name not in df.columns:
-            value = F.lit(None).cast(field.dataType)
-        else:
-            found = df.schema[field.name].dataType
-            value = F.col(field.name)
-            if isinstance(field.dataType, T.DateType) and isinstance(found, T.StringType):
-                value = parse_date(value)
-            elif found != field.dataType:
-                value = value.try_cast(field.dataType)
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        found, raw = df.schema[field.name].dataType, F.col(field.name)
+        value = raw
+        if isinstance(found, T.FractionalType) and isinstance(field.dataType, T.IntegralType):
+            raw = F.when(~F.isnan(raw.cast("double")), raw)
+            value = F.when(raw == F.floor(raw), raw.try_cast(field.dataType))
+        elif isinstance(field.dataType, T.DateType) and isinstance(found, T.StringType):
+            value = parse_date(raw)
+        elif found != field.dataType:
+            value = raw.try_cast(field.dataType)
+        if value is not raw:
+            misfit = F.concat(F.lit(f"{field.name} can't hold "), raw.cast("string"))
+            value = F.when(raw.isNotNull() & value.isNull(), F.raise_error(misfit).cast(field.dataType)).otherwise(value)
         columns.append(value.alias(field.name))
     return df.select(*columns)

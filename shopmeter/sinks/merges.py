@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from shopmeter.schemas import conform
-from shopmeter.sinks.writers import write_partitions
+from shopmeter.sinks.writers import replace_days
 from shopmeter.sources.tables import read_days
 
 
@@ -27,9 +27,10 @@ def write_merged_day(
 ) -> None:
     """Merge the rows of one ``day`` into a dataset partitioned by ``column``.
 
-    Only that day's folder is listed, read and replaced. Only a missing folder
-    counts as empty. Any other read error is raised, so a failed read can never
-    replace a stored day by the new rows alone.
+    Only that day's folder is listed, read and replaced, after the merged day is safely
+    written. Only a missing folder counts as empty: any other read error, a stored column
+    that ``schema`` lacks or a stored value that it can't hold is raised, so a stored day
+    never loses anything.
     """
-    existing = read_days(spark, path, schema, column, [day], skip_unreadable=False)
-    write_partitions(merge_days(existing, conform(new, schema)), path, column)
+    existing = read_days(spark, path, schema, column, [day], all_columns=True)
+    replace_days(merge_days(existing, conform(new, schema)), path, column, [day])

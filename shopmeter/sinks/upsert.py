@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shopmeter.schemas import TRAFFIC_METRICS
 from shopmeter.session import durable
 from shopmeter.sinks.writers import write_metrics
-from shopmeter.sources.tables import read_table
+from shopmeter.sources.tables import read_days
 
 KEY = ["date", "store_id"]
 
@@ -22,15 +21,15 @@ def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
 def upsert_metrics(new: DataFrame, path: str) -> None:
     """Upsert ``new`` (unique per date and store) into the table at ``path``.
 
-    The batch is computed once, then only the date partitions it touches are
-    read and replaced; a store absent from the batch keeps its row. Running the
+    The batch is computed once, then only the date partitions it touches are read, and
+    replaced after the new ones are safely written; a store absent from the batch keeps its row. Running the
     same batch again leaves the table as it is. Only the batch's distinct dates
     come to the driver, at most one per calendar day.
     """
     spark = new.sparkSession
     new = durable(new)
-    days = [row[0] for row in new.select("date").distinct().collect()]
+    days = sorted(row[0] for row in new.select("date").distinct().collect())
     if not days:
         return
-    touched = read_table(spark, path, TRAFFIC_METRICS).filter(F.col("date").isin(days))
-    write_metrics(upsert(touched, new), path)
+    touched = read_days(spark, path, TRAFFIC_METRICS, "date", days, all_columns=True)
+    write_metrics(upsert(touched, new), path, days)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shopmeter.schemas import PARTITION_COLUMN
 
@@ -26,13 +30,11 @@ def write_partitions(
     compression: str = "zstd",
     order: tuple[str, ...] = ("store_id",),
 ) -> None:
-    """Replace exactly the ``column`` partitions present in ``df``.
+    """Replace exactly the ``column`` partitions present in ``df``, which isn't read from them.
 
-    The rebalance hint gives a small date one file and splits a large date into
-    several, so neither tiny files nor one overloaded writer result. Rows are
-    ordered by store within a file: a lookup by date and store then skips row
-    groups. Tasks write to a staging folder and partitions are swapped in when
-    the job commits.
+    The rebalance hint gives a small date one file and splits a large date into several,
+    so neither tiny files nor one overloaded writer result. Rows are ordered by store
+    within a file: a lookup by date and store then skips row groups.
     """
     (
         df.hint("rebalance", column)
@@ -45,8 +47,49 @@ def write_partitions(
     )
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    write_partitions(df, path, PARTITION_COLUMN["traffic_metrics"], compression="snappy")
+def replace_days(
+    df: DataFrame,
+    path: str,
+    column: str,
+    days: list[dt.date],
+    compression: str = "zstd",
+    order: tuple[str, ...] = ("store_id",),
+) -> None:
+    """Replace the folders of ``days`` in a dataset partitioned by ``column``.
+
+    ``df`` holds the complete rows of these days and may have been read from them: it is
+    written to a folder beside the table first, its rows are counted there, and only then
+    are the day folders exchanged one by one. A failed write leaves the table as it was.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    staged = f"{root}.staged-{uuid.uuid4().hex}"
+    in_days = df.filter(F.col(column).isin(days))
+    if not df.filter(~F.coalesce(F.col(column).isin(days), F.lit(False))).isEmpty():
+        raise ValueError(f"rows of other days than {column} in {days}")
+    file = spark._jvm.org.apache.hadoop.fs.Path
+    store = file(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        write_partitions(in_days, staged, column, compression, order)
+        written, expected = spark.read.schema(df.schema).parquet(staged).count(), in_days.count()
+        if written != expected:
+            raise RuntimeError(f"{written} rows written of {expected}")
+        store.mkdirs(file(root))
+        for day in days:
+            name = f"{column}={day.isoformat()}"
+            new, old, kept = file(f"{staged}/{name}"), file(f"{root}/{name}"), file(f"{staged}/_old-{name}")
+            if not store.exists(new):
+                continue
+            if store.exists(old) and not store.rename(old, kept):
+                raise RuntimeError(f"{name} can't be replaced")
+            if not store.rename(new, old):
+                store.rename(kept, old)
+                raise RuntimeError(f"{name} can't be put in place")
+    finally:
+        store.delete(file(staged), True)
+
+
+def write_metrics(df: DataFrame, path: str, days: list[dt.date]) -> None:
+    replace_days(df, path, PARTITION_COLUMN["traffic_metrics"], days, compression="snappy")
 
 
 def export_name(period: str, store_id: str | None = None, year: int | None = None,

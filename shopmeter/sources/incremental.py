@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmeter.schemas import parse_date
-from shopmeter.sources.tables import empty, list_files, read_days, read_mixed
-
-# Dates beyond this many are anti-joined instead of listed in the filter: 27 years.
-MAX_LISTED_DAYS = 10_000
+from shopmeter.sources.tables import _names, day_folders, read_days, read_mixed
 
 
 def processed_dates(metrics: DataFrame) -> DataFrame:
@@ -22,90 +19,54 @@ def processed_dates(metrics: DataFrame) -> DataFrame:
     return metrics.select("date").filter(F.col("date").isNotNull()).distinct()
 
 
-def processed_days(metrics: DataFrame) -> list[dt.date] | DataFrame:
-    """Processed dates as a driver list while they are few, else as a DataFrame.
+def processed_days(metrics: DataFrame) -> list[dt.date]:
+    """Processed dates as a list on the driver, at most one per calendar day."""
+    return sorted(row[0] for row in processed_dates(metrics).collect())
 
-    A list turns into a static partition filter, so processed folders are not
-    even listed for reading. One more date than the limit is fetched at most.
-    """
-    dates = processed_dates(metrics)
-    listed = [row[0] for row in dates.limit(MAX_LISTED_DAYS + 1).collect()]
-    return sorted(listed) if len(listed) <= MAX_LISTED_DAYS else dates
 
+def not_processed(feed: DataFrame, column: str, processed: DataFrame) -> DataFrame:
+    """Rows of dates that are not processed yet; rows without a date are none of them."""
+    done = processed.select(F.col("date").alias(column)).distinct()
+    return feed.join(done, column, "left_anti")
 
-def not_processed(
-    feed: DataFrame, column: str, processed: Sequence[dt.date] | DataFrame
-) -> DataFrame:
-    """Rows of dates that are not processed yet."""
-    if isinstance(processed, DataFrame):
-        # Distinct dates fit a broadcast whatever the feed holds: the calendar has
-        # 3.7 million of them up to the year 9999, four bytes each.
-        done = processed.select(F.col("date").alias(column)).distinct()
-        return feed.join(F.broadcast(done), column, "left_anti")
-    return feed.filter(~F.col(column).isin(list(processed))) if processed else feed
+
+def new_days(spark: SparkSession, path: str, column: str, processed: Sequence[dt.date]) -> list[dt.date]:
+    """Dates of a dataset's folders that are not processed yet."""
+    done = set(processed)
+    return [day for day in day_folders(spark, path, column) if day not in done]
 
 
 def read_unprocessed(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    column: str,
-    processed: Sequence[dt.date] | DataFrame,
-    skip_unreadable: bool = True,
+    spark: SparkSession, path: str, schema: T.StructType, column: str, processed: Sequence[dt.date]
 ) -> DataFrame:
     """New dates of a dataset partitioned by ``column``; a missing dataset has none.
 
-    One listing finds the new dates, one per calendar day at most; only their
-    folders are read. Files without a readable footer are logged and skipped.
-    Their date still counts as processed once other files of it are, so pass
-    ``skip_unreadable=False`` to fail instead, which also saves the footer check.
+    The names of the day folders tell the new dates; only their folders are listed and
+    read. A file that can't be read is an error: its date would count as processed.
     """
-    try:
-        files = list_files(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return empty(spark, schema)
-        raise
-    if column not in files.columns:
-        if files.isEmpty():
-            return empty(spark, schema)
-        raise ValueError(f"{path} is not partitioned by {column}")
-    new = not_processed(files, column, processed).select(column).distinct().collect()
-    days = sorted(row[0] for row in new if row[0] is not None)
-    return read_days(spark, path, schema, column, days, skip_unreadable)
+    return read_days(spark, path, schema, column, new_days(spark, path, column, processed))
+
+
+_FILE_DAY = r"_(\d{4}-\d{2}-\d{2})\.parquet$"
 
 
 def read_unprocessed_files(
-    spark: SparkSession,
-    folder: str,
-    schema: T.StructType,
-    processed: Sequence[dt.date],
-    skip_unreadable: bool = True,
+    spark: SparkSession, folder: str, schema: T.StructType, processed: Sequence[dt.date]
 ) -> DataFrame:
     """New files of a flat folder named ``<anything>_YYYY-MM-DD.parquet``.
 
-    The date comes from the file name; other files are ignored. That layout has
-    a file per day, so the names of the new ones fit on the driver.
+    The date comes from the file name; other files are ignored. However many files a day
+    has, the driver keeps its date only and reads them by a pattern.
     """
-    listed = [day.isoformat() for day in processed]
-    try:
-        files = list_files(spark, folder, recursiveFileLookup="true")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return empty(spark, schema)
-        raise
-    new = files.filter((_file_day() != "") & ~_file_day().isin(listed))
-    paths = [row[0] for row in new.select("_metadata.file_path").collect()]
-    return read_mixed(spark, sorted(paths), schema, skip_unreadable=skip_unreadable)
-
-
-def _file_day() -> Column:
-    return F.regexp_extract("_metadata.file_name", r"_(\d{4}-\d{2}-\d{2})\.parquet$", 1)
+    found = (re.search(_FILE_DAY, name) for name in _names(spark, folder))
+    days = {match[1] for match in found if match} - {day.isoformat() for day in processed}
+    patterns = [f"{folder.rstrip('/')}/*_{day}.parquet" for day in sorted(days)]
+    return read_mixed(spark, patterns, schema)
 
 
 def date_of_file(name: Column) -> Column:
     """Date in a file name column, null when it carries none."""
-    text = F.regexp_extract(name, r"_(\d{4}-\d{2}-\d{2})\.parquet$", 1)
+    text = F.regexp_extract(name, _FILE_DAY, 1)
     return parse_date(F.nullif(text, F.lit("")))
 
 

@@ -4,48 +4,47 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
-import json
-import logging
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmeter.schemas import conform
+from shopmeter.schemas import conform, parse_date
 
-log = logging.getLogger(__name__)
-# More broken files than this are no longer an accident.
-MAX_BROKEN_FILES = 1_000
 PARTITIONED_FEEDS = ["sales", "retail_data"]
 NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+# Names of suspect files that the driver holds at once.
+NAMES_AT_ONCE = 1_000
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_table(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    merge_schema: bool = False,
-    **options: str,
-) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
     """A Parquet dataset in its declared types; a missing or empty path has no rows.
 
-    Any other read error is raised. ``merge_schema`` reads every footer and is
-    meant for datasets whose files differ in columns.
+    Files may differ in columns and in numeric types. Any other read error is raised.
     """
-    reader = spark.read.options(mergeSchema=str(merge_schema).lower(), **options)
     try:
-        found = reader.parquet(path)
+        return read_dataset(spark, path, schema, **options)
     except AnalysisException as error:
         if error.getCondition() in NOTHING_THERE:
             return empty(spark, schema)
         raise
+
+
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """Like :func:`read_table`, but a missing or empty path is an error too."""
+    try:
+        found = spark.read.options(mergeSchema="true", **options).parquet(path)
+    except (PySparkException, Py4JJavaError) as error:
+        if not _is_conflict(error):
+            raise
+        return read_mixed(spark, _members(spark, [path], **options), schema, **{"basePath": path, **options})
     return conform(found, schema)
 
 
@@ -54,122 +53,152 @@ def list_files(spark: SparkSession, path: str | list[str], **options: str) -> Da
     return spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", **options).load(path)
 
 
-def unreadable_files(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
-    """Parquet files whose footer gives no row. Only names and footers are read, in parallel."""
-    file = F.col("_metadata.file_path").alias("file")
-    footers = spark.read.schema("any string").options(
-        pathGlobFilter="*.parquet", ignoreCorruptFiles="true", **options
-    )
-    readable = footers.parquet(*paths).select(file).distinct()
-    return list_files(spark, paths, **options).select(file).join(readable, "file", "left_anti")
-
-
 def read_mixed(
-    spark: SparkSession,
-    paths: list[str],
-    schema: T.StructType,
-    partition: str | None = None,
-    skip_unreadable: bool = True,
-    **options: str,
-) -> DataFrame:
-    """Folders or files that may differ in column types, as one frame of declared types.
+    spark: SparkSession, paths: list[str], schema: T.StructType, partition: str | None = None,
+    all_columns: bool = False, **options: str,
+) -> DataFrame:
+    """Folders or files that may differ in columns and types, as one frame of declared types.
 
     A count column is whole on one day and floating on a day with gaps when the
-    writer infers types. Spark reads a dataset with one schema and rejects such
-    files, or drops them unseen under its switch for corrupt files. Here paths
-    are grouped by the schema found in them, a footer each, and every group is
-    read strictly with its own. ``skip_unreadable`` leaves out, by name, the
-    files without a readable footer and logs them.
+    writer infers types, and a file may lack a column that others have. The columns
+    of all files are united from their footers in one distributed pass; a column is
+    null only in files without it. Spark can't unite columns of different types, so
+    paths are halved until each part agrees, and every part is read strictly. A file
+    without a readable footer is an error; with ``all_columns`` so is a column that
+    ``schema`` lacks.
     """
-    with ThreadPoolExecutor(8) as pool:
-        found = list(pool.map(lambda path: _found_schema(spark, path, skip_unreadable), paths))
-    groups: dict[str, list[str]] = {}
-    for path, layout in zip(paths, found):
-        if layout is not None:
-            groups.setdefault(layout.json(), []).append(path)
-    if not groups:
-        return empty(spark, schema)
-    present = [path for path, layout in zip(paths, found) if layout is not None]
-    names = _broken_names(spark, present, **options) if skip_unreadable else []
     frames = []
-    for layout, members in groups.items():
-        fields = [f for f in T.StructType.fromJson(json.loads(layout)) if f.name != partition]
-        if partition:
-            fields.append(schema[partition])
-        rows = spark.read.schema(T.StructType(fields)).options(**options).parquet(*members)
-        if names:
-            rows = rows.filter(~F.col("_metadata.file_path").isin(names))
-        frames.append(conform(rows, schema))
-    return functools.reduce(DataFrame.unionByName, frames)
+    for members, found in _agreeing(spark, paths, **options):
+        unknown = set(found.names) - set(schema.names) - {partition}
+        if all_columns and unknown:
+            raise ValueError(f"columns that would be lost: {', '.join(sorted(unknown))}")
+        frames.append(conform(_typed(spark, members, found, schema, partition, **options), schema))
+    return functools.reduce(DataFrame.unionByName, frames) if frames else empty(spark, schema)
 
 
-def read_days(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    column: str,
-    days: Iterable[dt.date],
-    skip_unreadable: bool = True,
+def _typed(
+    spark: SparkSession, paths: list[str], found: T.StructType, schema: T.StructType, partition: str | None, **options: str
 ) -> DataFrame:
-    """Some days of a dataset partitioned by ``column``; only their folders are listed."""
-    root = path.rstrip("/")
-    folders = [f"{root}/{column}={day.isoformat()}" for day in days]
-    return read_mixed(spark, folders, schema, column, skip_unreadable, basePath=root)
+    fields = [f for f in found if f.name != partition]
+    if partition:
+        fields.append(schema[partition])
+    return spark.read.schema(T.StructType(fields)).options(**options).parquet(*paths)
 
 
-def _broken_names(spark: SparkSession, paths: list[str], **options: str) -> list[str]:
-    broken = unreadable_files(spark, paths, **options).limit(MAX_BROKEN_FILES + 1).collect()
-    if len(broken) > MAX_BROKEN_FILES:
-        raise RuntimeError(f"more than {MAX_BROKEN_FILES} unreadable files")
-    names = [row["file"] for row in broken]
-    if names:
-        log.warning("skipping unreadable files: %s", ", ".join(names))
-    return names
+def _is_conflict(error: Exception) -> bool:
+    return "CANNOT_MERGE_SCHEMAS" in str(error)
 
 
-def _found_schema(spark: SparkSession, path: str, skip_unreadable: bool) -> T.StructType | None:
-    """Schema of one folder or file; None when it is missing or no footer can be read."""
-    # One footer tells; all of them are tried where broken ones may be skipped.
-    for merge in ("false", "true") if skip_unreadable else ("false",):
-        reader = spark.read.options(
-            ignoreCorruptFiles=str(skip_unreadable).lower(), mergeSchema=merge
-        )
-        try:
-            return reader.parquet(path).schema
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+def _agreeing(spark: SparkSession, paths: list[str], **options: str) -> Iterator[tuple[list[str], T.StructType]]:
+    """Parts of the paths with the columns of all their files; missing paths are left out."""
+    if not paths:
+        return
+    reader = spark.read.options(mergeSchema="true", **options)
+    try:
+        yield paths, reader.parquet(*paths).schema
+        return
+    except (PySparkException, Py4JJavaError) as error:
+        condition = error.getCondition() if isinstance(error, AnalysisException) else None
+        if len(paths) == 1 and condition in NOTHING_THERE:
+            # Files of no schema are broken; no file at all is no data.
+            if condition == "UNABLE_TO_INFER_SCHEMA" and not list_files(spark, paths, **options).isEmpty():
                 raise
-    return None
+            return
+        if condition not in NOTHING_THERE and not _is_conflict(error):
+            raise
+    if len(paths) == 1:
+        paths = _members(spark, paths, **options)
+        if len(paths) < 2:
+            raise ValueError(f"{paths} can't be read with one schema")
+    half = len(paths) // 2
+    yield from _agreeing(spark, paths[:half], **options)
+    yield from _agreeing(spark, paths[half:], **options)
+
+
+def _members(spark: SparkSession, paths: list[str], **options: str) -> list[str]:
+    """The files of one folder whose files disagree in types."""
+    return sorted(r[0] for r in list_files(spark, paths, **options).select("_metadata.file_path").collect())
+
+
+def day_folders(spark: SparkSession, path: str, column: str) -> list[dt.date]:
+    """Dates of a dataset's folders named ``column=YYYY-MM-DD``, at most one per calendar day.
+
+    Only the first level below ``path`` is listed; a missing path has none. A folder or
+    file of another name is an error, unless it is hidden (``_`` or ``.``).
+    """
+    days = []
+    for name in _names(spark, path):
+        if name[:1] in "_.":
+            continue
+        if not name.startswith(f"{column}="):
+            raise ValueError(f"{path} is not partitioned by {column}: {name}")
+        value = name.partition("=")[2]
+        if value != "__HIVE_DEFAULT_PARTITION__":
+            days.append(dt.date.fromisoformat(value))
+    return sorted(set(days))
+
+
+def _names(spark: SparkSession, path: str) -> Iterator[str]:
+    """Names directly below a folder, one after the other."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(folder):
+        entries = store.listStatusIterator(folder)
+        while entries.hasNext():
+            yield entries.next().getPath().getName()
+
+
+def read_days(
+    spark: SparkSession, path: str, schema: T.StructType, column: str, days: Iterable[dt.date], all_columns: bool = False
+) -> DataFrame:
+    """Some days of a dataset partitioned by ``column``; only their folders are listed."""
+    root = path.rstrip("/")
+    folders = [f"{root}/{column}={day.isoformat()}" for day in days]
+    return read_mixed(spark, folders, schema, column, all_columns, basePath=root)
 
 
 def read_json_feed(
-    spark: SparkSession, path: str, schema: T.StructType, lines: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, lines: bool = True
 ) -> DataFrame:
     """A JSON feed, error rows included, so that they can be counted.
 
-    A whole-file array cannot be split, so one task reads one file: deliver
-    large feeds as many files or as JSON lines (``lines=True``).
+    A missing path is an error, and so is a line or file that is no JSON, found when the
+    rows are read: no feed is taken for an empty one. Numbers may come as ``5.0`` or as
+    text. A value that doesn't fit its column makes an error row, which names the column.
+
+    ``lines`` is the layout to use: a file of JSON lines is split between tasks. A whole
+    file that is one array is read by one task.
     """
-    loose = T.StructType([_as_delivered(f) for f in schema.fields] + [_ERROR])
-    try:
-        found = spark.read.schema(loose).option("multiLine", str(not lines).lower()).json(path)
-    except AnalysisException as error:
-        if error.getCondition() not in NOTHING_THERE:
-            raise
-        found = empty(spark, loose)
-    return conform(found, T.StructType([*schema.fields, _ERROR]))
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in [*schema.fields, _ERROR, _BROKEN]])
+    reader = spark.read.schema(as_text).option("multiLine", str(not lines).lower())
+    found = reader.option("columnNameOfCorruptRecord", _BROKEN.name).json(path)
+    broken = F.raise_error(F.concat(F.lit("no JSON: "), F.substring(_BROKEN.name, 1, 200)))
+    misfit, columns = F.lit(None).cast("string"), []
+    for field in schema.fields:
+        value = _from_text(field)
+        given = F.col(field.name).isNotNull()
+        misfit = F.coalesce(misfit, F.when(given & value.isNull(), F.lit(f"unfit {field.name}")))
+        columns.append(value.alias(field.name))
+    # The check rides on the error column, which every use of a feed reads.
+    error = F.when(F.col(_BROKEN.name).isNotNull(), broken).otherwise(F.coalesce("error", misfit))
+    return found.select(*columns, error.alias("error"))
 
 
 _ERROR = T.StructField("error", T.StringType())
-_HOURS_AS_TEXT = {"opening_hour", "closing_hour"}
+_BROKEN = T.StructField("_broken", T.StringType())
 
 
-def _as_delivered(field: T.StructField) -> T.StructField:
-    """Feeds send dates and opening hours as text; the rest in its declared type."""
-    as_text = isinstance(field.dataType, T.DateType) or field.name in _HOURS_AS_TEXT
-    return T.StructField(field.name, T.StringType() if as_text else field.dataType)
+def _from_text(field: T.StructField) -> Column:
+    """A value sent as text in its declared type, null where it doesn't fit."""
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    if isinstance(field.dataType, T.DateType):
+        return parse_date(text)
+    if isinstance(field.dataType, T.IntegralType):
+        exact = text.try_cast("decimal(38,10)")
+        return F.when(exact == F.floor(exact), exact.try_cast(field.dataType))
+    return text.try_cast(field.dataType)
 
 
 def error_rows(feed: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,17 +220,51 @@ def cached_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Record count per Parquet file below a folder; unreadable files are left out.
+    """``file, records, readable`` of every Parquet file below a folder.
 
-    Counting needs footers only, so one reader serves files of any schema.
+    Records are counted from footers, so one reader serves files of any schema. Files
+    that gave no row are looked at one by one: one that begins and ends as Parquet files
+    do is counted again, strictly, the others are not readable and have null records.
     """
-    return (
-        spark.read.schema("any string")
-        .options(ignoreCorruptFiles="true", recursiveFileLookup="true", pathGlobFilter="*.parquet")
-        .parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.count("*").alias("records"))
-    )
+    below = {"recursiveFileLookup": "true"}
+    name = F.col("_metadata.file_path").alias("file")
+    listed = list_files(spark, path, **below).select(name)
+    loose = spark.read.schema("any string").options(pathGlobFilter="*.parquet", **below)
+    counted = loose.options(ignoreCorruptFiles="true").parquet(path).groupBy(name).agg(F.count("*").alias("records"))
+    known = listed.join(counted, "file", "left")
+    parts = [known.filter("records is not null").withColumn("readable", F.lit(True))]
+    for names in _portions(known.filter("records is null").select("file")):
+        content = spark.read.format("binaryFile").load(names)
+        mark = F.lit("PAR1").cast("binary")
+        whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+        looked = content.select(name, whole.alias("readable")).collect()
+        for readable in (True, False):
+            found = [(r["file"], 0 if readable else None, readable) for r in looked if r["readable"] == readable]
+            if found:
+                rows = spark.createDataFrame(found, "file string, records long, readable boolean")
+                if readable:
+                    again = spark.read.schema("any string").parquet(*[f[0] for f in found])
+                    again = again.groupBy(name).agg(F.count("*").alias("again"))
+                    rows = rows.join(again, "file", "left").select("file", F.coalesce("again", "records").alias("records"), "readable")
+                parts.append(rows)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _portions(names: DataFrame) -> Iterator[list[str]]:
+    """File names in lists of bounded length."""
+    portion: list[str] = []
+    for row in names.toLocalIterator():
+        portion.append(row[0])
+        if len(portion) == NAMES_AT_ONCE:
+            yield portion
+            portion = []
+    if portion:
+        yield portion
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the Parquet files below a folder that can't be read."""
+    return file_inventory(spark, path).filter("not readable").select("file")
 
 
 def extract_inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -217,7 +280,11 @@ def extract_inventory(spark: SparkSession, root: str) -> DataFrame:
         file_inventory(spark, root)
         .withColumn("dataset", F.when(top.isin(*PARTITIONED_FEEDS), day_folder).otherwise(top))
         .groupBy("dataset")
-        .agg(F.count("*").alias("files"), F.sum("records").alias("records"))
+        .agg(
+            F.count("*").alias("files"),
+            F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+            F.count_if(~F.col("readable")).alias("unreadable_files"),
+        )
     )
 
 

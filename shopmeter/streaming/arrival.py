@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from shopmeter.plans.daily import run_daily_metrics
+from shopmeter.plans.daily import pending_days, run_daily_metrics
 from shopmeter.schemas import RETAIL_DATA
 
 
+class FeedPending(Exception):
+    """A date has arrived in one feed only."""
+
+
 def run_on_arrival(
     spark: SparkSession,
     traffic_path: str,
@@ -23,13 +27,17 @@ def run_on_arrival(
     The stream's checkpoint remembers which traffic files were seen, so a call
     without new files starts no job. Which dates are processed is still decided
     by the metrics table, and the upsert is idempotent: a batch replayed after a
-    failure changes nothing.
+    failure changes nothing. Dates that one feed lacks stay unprocessed and fail
+    the batch with :class:`FeedPending`, so the next call takes it up again.
     """
 
     def process(arrived: DataFrame, batch_id: int) -> None:
         run_daily_metrics(
-            spark, traffic_path, sales_path, products_path, metrics_path, **options
+            spark, traffic_path, sales_path, products_path, metrics_path, both_feeds=True, **options
         )
+        missing = pending_days(spark, traffic_path, sales_path, metrics_path)
+        if missing:
+            raise FeedPending(f"one feed lacks {', '.join(map(str, missing))}")
 
     return (
         spark.readStream.schema(RETAIL_DATA)

@@ -1,5 +1,6 @@
 """Reading, writing and the jobs end to end, on folders of their own."""
 
+import contextlib
 import datetime as dt
 import json
 import os
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shopmeter.operators import lookups
+from shopmeter.operators import lookups, quality
 from shopmeter.plans import daily, extract
 from shopmeter.schemas import CLIENTS, PRODUCTS, RETAIL_DATA, SALES, STORES, TRAFFIC_METRICS
 from shopmeter.sinks import merges, upsert, writers
@@ -146,12 +147,11 @@ def test_processed_dates_and_history(spark, tmp_path):
     assert [r["date"] for r in records(history, "date")] == ["2023-11-03", "2023-11-15"]
 
 
-def test_many_processed_dates_are_anti_joined(spark, write_feeds, monkeypatch):
+def test_processed_dates_are_anti_joined(spark, write_feeds):
     paths, write = write_feeds
     write(range(4))
     feed = tables.read_table(spark, paths["retail_data"], RETAIL_DATA)
-    monkeypatch.setattr(incremental, "MAX_LISTED_DAYS", 1)
-    done = incremental.processed_days(feed.filter(F.col("date") < F.lit(dt.date(2023, 11, 4))))
+    done = incremental.processed_dates(feed.filter(F.col("date") < F.lit(dt.date(2023, 11, 4))))
     left = incremental.not_processed(feed, "date", done)
     assert {r["date"] for r in records(left, "date")} == {"2023-11-04"}
 
@@ -166,16 +166,34 @@ def test_processed_partitions_are_not_read(spark, write_feeds):
     assert len(left.inputFiles()) == 2
 
 
-def test_unreadable_file_is_skipped_or_raised(spark, write_feeds):
+def test_processed_folders_are_not_even_listed(spark, write_feeds):
+    paths, write = write_feeds
+    write(range(3))
+    os.chmod(paths["retail_data"] + "/date=2023-11-01", 0)
+    spoilt = paths["retail_data"] + "/date=2023-11-02/bad.parquet"
+    with open(spoilt, "w") as file:
+        file.write("not parquet")
+    done = [FIRST, FIRST + dt.timedelta(days=1)]
+    left = incremental.read_unprocessed(spark, paths["retail_data"], RETAIL_DATA, "date", done)
+    os.chmod(paths["retail_data"] + "/date=2023-11-01", 0o755)
+    assert {r["date"] for r in records(left, "date")} == {"2023-11-03"}
+    assert incremental.new_days(spark, paths["retail_data"], "date", done) == [FIRST + dt.timedelta(days=2)]
+
+
+def test_a_file_that_cannot_be_read_keeps_its_date_unpublished(spark, write_feeds):
     paths, write = write_feeds
     write(range(2))
-    with open(paths["sales"] + "/sale_date=2023-11-01/bad.parquet", "w") as file:
+    bad = paths["sales"] + "/sale_date=2023-11-01/bad.parquet"
+    with open(bad, "w") as file:
         file.write("not parquet")
-    assert incremental.read_unprocessed(spark, paths["sales"], SALES, "sale_date", []).count() == 12
     with pytest.raises(Exception):
-        incremental.read_unprocessed(
-            spark, paths["sales"], SALES, "sale_date", [], skip_unreadable=False
-        ).count()
+        incremental.read_unprocessed(spark, paths["sales"], SALES, "sale_date", []).count()
+    with pytest.raises(Exception):
+        run(spark, paths)
+    assert not os.path.exists(paths["metrics"])
+    assert [r["file"].rpartition("/")[2] for r in records(tables.unreadable_files(spark, paths["sales"]), "file")] == ["bad.parquet"]
+    os.remove(bad)
+    assert run(spark, paths)
 
 
 def test_partition_value_wins_over_the_column_in_the_file(spark, tmp_path):
@@ -219,16 +237,73 @@ def test_days_of_other_types_are_read_together(spark, tmp_path):
     write_day(tmp_path, "2023-12-01", [5, 6])
     write_day(tmp_path, "2023-12-02", [7, None])
     write_day(tmp_path, "2023-12-03", [8, 9])
-    for skip in (True, False):
-        found = incremental.read_unprocessed(
-            spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 3)], skip
-        )
-        assert found.schema == RETAIL_DATA
-        assert [(r["date"], r["visitors"]) for r in records(found, "date", "hour")] == [
+    found = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 3)])
+    assert found.schema == RETAIL_DATA
+    whole = tables.read_table(spark, str(tmp_path), RETAIL_DATA).filter(F.col("date") < F.lit(dt.date(2023, 12, 3)))
+    for frame_ in (found, whole):
+        assert [(r["date"], r["visitors"]) for r in records(frame_, "date", "hour")] == [
             ("2023-12-01", 5), ("2023-12-01", 6), ("2023-12-02", 7), ("2023-12-02", None),
         ]
 
 
+def test_files_of_other_columns_are_read_complete(spark, tmp_path):
+    """One file of a day has sales, the other has not; a later day has them as floats."""
+    write_day(tmp_path, "2023-12-01", [5, 6], "a")
+    folder = tmp_path / "date=2023-12-01"
+    pd.DataFrame({"store_id": ["t"], "hour": [9], "sales": [7], "date": ["2023-12-01"]}).to_parquet(folder / "b.parquet")
+    (tmp_path / "date=2023-12-02").mkdir()
+    pd.DataFrame({"store_id": ["t"], "hour": [9], "sales": [3.0], "date": ["2023-12-02"]}).to_parquet(
+        tmp_path / "date=2023-12-02" / "c.parquet")
+    for found in (
+        tables.read_table(spark, str(tmp_path), RETAIL_DATA),
+        incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []),
+    ):
+        assert [(r["date"], r["store_id"], r["visitors"], r["sales"]) for r in records(found, "date", "store_id", "hour")] == [
+            ("2023-12-01", "s", 5, None), ("2023-12-01", "s", 6, None), ("2023-12-01", "t", None, 7), ("2023-12-02", "t", None, 3),
+        ]
+    new = tables.read_days(spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 2)])
+    merges.write_merged_day(spark, new.withColumn("date", F.lit(dt.date(2023, 12, 1))), str(tmp_path), RETAIL_DATA, "date", dt.date(2023, 12, 1))
+    merged = tables.read_days(spark, str(tmp_path), RETAIL_DATA, "date", [dt.date(2023, 12, 1)])
+    assert sorted(r["sales"] for r in merged.collect() if r["sales"] is not None) == [3, 7]
+    assert merged.filter("visitors is not null").count() == 2
+
+
+def test_a_stored_day_loses_nothing(spark, tmp_path):
+    """Unknown columns and values that the schema can't hold stop the merge."""
+    day_ = dt.date(2023, 12, 1)
+    new = spark.createDataFrame([("s", "n", 1, 1, 1, day_)], "store_id string, store_name string, hour int, visitors int, sales int, date date")
+    for name, extra in (("a", {"staff": [4]}), ("b", {"visitors": [2.5]})):
+        folder = tmp_path / name / "date=2023-12-01"
+        folder.mkdir(parents=True)
+        pd.DataFrame({"store_id": ["s"], "hour": [9], "sales": [7], **extra}).to_parquet(folder / "x.parquet")
+        before = sorted(os.listdir(folder))
+        with pytest.raises(Exception, match="staff|can't hold"):
+            merges.write_merged_day(spark, new, str(tmp_path / name), RETAIL_DATA, "date", day_)
+        assert sorted(os.listdir(folder)) == before
+        assert not [x for x in os.listdir(tmp_path) if "staged" in x]
+
+
+def test_a_write_that_fails_half_way_leaves_the_old_day(spark, write_feeds):
+    paths, write = write_feeds
+    write(range(2))
+    stored_ = tables.read_table(spark, paths["retail_data"], RETAIL_DATA)
+    before = records(stored_, "date", "store_id", "hour")
+    failing = stored_.withColumn("visitors", F.when(F.col("hour") == 18, F.raise_error("half way").cast("int")).otherwise(1))
+    with pytest.raises(Exception, match="half way"):
+        writers.replace_days(failing, paths["retail_data"], "date", [FIRST, FIRST + dt.timedelta(days=1)])
+    assert records(tables.read_table(spark, paths["retail_data"], RETAIL_DATA), "date", "store_id", "hour") == before
+    with pytest.raises(ValueError, match="other days"):
+        writers.replace_days(stored_, paths["retail_data"], "date", [FIRST])
+
+
+def test_a_missing_dataset_can_be_an_error(spark, tmp_path, write_feeds):
+    paths, write = write_feeds
+    write([0])
+    assert tables.read_dataset(spark, paths["products"], PRODUCTS).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_dataset(spark, str(tmp_path / "none"), PRODUCTS)
+
+
 def test_missing_days_and_unpartitioned_folders(spark, tmp_path):
     write_day(tmp_path / "", "2023-12-01", [5])
     some = tables.read_days(
@@ -244,11 +319,11 @@ def test_missing_days_and_unpartitioned_folders(spark, tmp_path):
         incremental.read_unprocessed(spark, flat, RETAIL_DATA, "day", [])
 
 
-def test_other_types_within_a_day_fail_loudly(spark, tmp_path):
+def test_other_types_within_a_day_are_read_together(spark, tmp_path):
     write_day(tmp_path, "2023-12-01", [5, 6], "a")
     write_day(tmp_path, "2023-12-01", [7, None], "b")
-    with pytest.raises(Exception, match="(?i)mismatch|convert"):
-        incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []).collect()
+    found = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [])
+    assert sorted(str(r["visitors"]) for r in found.collect()) == ["5", "6", "7", "None"]
 
 
 def test_a_stored_day_of_other_types_can_be_merged(spark, tmp_path):
@@ -295,14 +370,12 @@ def test_flat_files_are_chosen_by_name(spark, tmp_path):
     for name in ("a_2023-12-01.parquet", "a_2023-12-02.parquet", "undated.parquet"):
         pd.DataFrame({"store_id": ["s"], "hour": [1], "date": [name[2:12]]}).to_parquet(tmp_path / name)
     (tmp_path / "a_2023-12-03.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        incremental.read_unprocessed_files(spark, str(tmp_path), RETAIL_DATA, [dt.date(2023, 12, 1)]).collect()
     found = incremental.read_unprocessed_files(
-        spark, str(tmp_path), RETAIL_DATA, [dt.date(2023, 12, 1)]
+        spark, str(tmp_path), RETAIL_DATA, [dt.date(2023, 12, 1), dt.date(2023, 12, 3)]
     )
     assert [r["date"] for r in records(found, "date")] == ["2023-12-02"]
-    with pytest.raises(Exception):
-        incremental.read_unprocessed_files(
-            spark, str(tmp_path), RETAIL_DATA, [dt.date(2023, 12, 1)], skip_unreadable=False
-        ).collect()
     nothing = incremental.read_unprocessed_files(spark, str(tmp_path / "none"), RETAIL_DATA, [])
     assert nothing.isEmpty()
 
@@ -320,8 +393,8 @@ def test_merge_drops_full_repeats_only(frame):
 
 
 def dump(path, rows):
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(rows, file)
+    """A feed as JSON lines."""
+    path.write_text("".join(json.dumps(row) + "\n" for row in rows), encoding="utf-8")
     return str(path)
 
 
@@ -361,7 +434,7 @@ def test_traffic_extraction(spark, tmp_path):
         assert [(r["hour"], r["visitors"]) for r in found] == [(10, None), (11, 5)]
     with pytest.raises(ValueError):
         extract.extract_traffic(spark, feed, target, "2023-12-02")
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         extract.extract_traffic(spark, str(tmp_path / "missing.json"), target, "2023-12-01")
 
 
@@ -382,12 +455,27 @@ def test_snapshot_extraction(spark, tmp_path):
     (client,) = records(tables.read_table(spark, str(tmp_path / "clients"), CLIENTS), "id")
     assert (client["age"], client["loyalty_card"]) == (30, True)
     (store,) = records(tables.read_table(spark, str(tmp_path / "stores"), STORES), "id")
-    assert (store["opening_hour"], store["closing_hour"]) == (9, 18)
+    assert (store["opening_hour"], store["closing_hour"]) == ("9", "18")
     assert tables.read_table(spark, str(tmp_path / "products"), PRODUCTS).count() == 1
-    empty = dump(tmp_path / "e.json", [])
-    for job in (extract.extract_stores, extract.extract_products):
-        with pytest.raises(ValueError):
-            job(spark, empty, str(tmp_path / "stores"))
+    broken = tmp_path / "broken.json"
+    broken.write_text('[{"id": "2", "name": "B"}, {"id": "3", "na')
+    jobs = {"clients": extract.extract_clients, "stores": extract.extract_stores, "products": extract.extract_products}
+    for name, job in jobs.items():
+        for feed in (str(tmp_path / "none.json"), str(broken), dump(tmp_path / "e.json", [])):
+            for lines in (True, False):
+                with pytest.raises(Exception):
+                    job(spark, feed, str(tmp_path / name), lines=lines)
+                assert spark.read.parquet(str(tmp_path / name)).count() == 1
+    whole = tmp_path / "whole.json"
+    whole.write_text(json.dumps([{"id": "7"}, {"id": "8"}]))
+    assert tables.read_json_feed(spark, str(whole), CLIENTS, lines=False).count() == 2
+    for lines in (True, False):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|no JSON"):
+            extract.extract_sales(spark, str(broken), str(tmp_path / "sales"), "2023-12-01", lines=lines)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|no JSON"):
+            extract.extract_sales(spark, str(tmp_path / "none.json"), str(tmp_path / "sales"), "2023-12-01", lines=lines)
+    extract.extract_clients(spark, dump(tmp_path / "e.json", []), str(tmp_path / "clients"), allow_empty=True)
+    assert spark.read.parquet(str(tmp_path / "clients")).count() == 0
 
 
 @pytest.mark.parametrize("codec", ["zstd", "snappy"])
@@ -401,21 +489,34 @@ def test_parquet_round_trip(spark, tmp_path, codec):
     assert tables.cached_table(spark, str(tmp_path / "t"), df.schema).count() == 2
 
 
-def test_conform_casts_fills_and_forgives(spark):
-    found = spark.createDataFrame(
-        [("a", "9", "bad", 3.0)], "id string, opening_hour string, closing_hour string, capacity double"
-    )
+def test_conform_casts_fills_and_refuses(spark):
+    found = spark.createDataFrame([("a", 9, 3.0)], "id string, opening_hour int, capacity double")
     (row,) = records(tables.conform(found, STORES), "id")
-    assert (row["opening_hour"], row["closing_hour"], row["capacity"], row["name"]) == (9, None, 3, None)
+    assert (row["opening_hour"], row["closing_hour"], row["capacity"], row["name"]) == ("9", None, 3, None)
     nan = spark.createDataFrame([("s", float("nan"))], "store_id string, visitors double")
     assert records(tables.conform(nan, RETAIL_DATA), "store_id")[0]["visitors"] is None
+    for value, kind in ((2.5, "double"), ("many", "string"), (2**40, "long")):
+        with pytest.raises(Exception, match="capacity can't hold"):
+            tables.conform(spark.createDataFrame([("a", value)], f"id string, capacity {kind}"), STORES).collect()
+
+
+def test_numbers_of_a_feed_in_any_form(spark, tmp_path):
+    rows = [sale("1", "2023-12-01") | {"quantity": 5.0}, sale("2", "2023-12-01") | {"quantity": "3", "sale_amount": "5.5"},
+            sale("3", "2023-12-01") | {"quantity": 2.5}, sale("4", "2023-12-01") | {"sale_amount": "much"},
+            sale("5", "1st of May"), sale("6", "2023-12-01") | {"quantity": None}]
+    feed = tables.read_json_feed(spark, dump(tmp_path / "n.json", rows), SALES)
+    found = {r["sale_id"]: (r["quantity"], r["sale_amount"], r["error"]) for r in records(feed, "sale_id")}
+    assert found["1"] == (5, 5.0, None) and found["2"] == (3, 5.5, None) and found["6"] == (None, 5.0, None)
+    assert [found[k][2] for k in "345"] == ["unfit quantity", "unfit sale_amount", "unfit sale_date"]
+    counts = quality.feed_quality(feed, ["sale_id"]).first()
+    assert (counts["rows"], counts["error_rows"], counts["usable_rows"]) == (6, 3, 3)
 
 
 def test_files_differing_in_columns_are_united(spark, tmp_path):
     path = str(tmp_path / "goods")
     spark.createDataFrame([("1", "A")], "id string, name string").write.parquet(path)
     spark.createDataFrame([("2", 3.5)], "id string, price double").write.mode("append").parquet(path)
-    rows = records(tables.read_table(spark, path, PRODUCTS, merge_schema=True), "id")
+    rows = records(tables.read_table(spark, path, PRODUCTS), "id")
     assert [(r["name"], r["price"]) for r in rows] == [("A", None), (None, 3.5)]
 
 
@@ -427,15 +528,20 @@ def test_json_lines_missing_file_and_error_rows(spark, tmp_path):
     feed = tables.read_json_feed(spark, str(path), SALES, lines=True)
     assert tables.error_rows(feed, ["sale_id"]).count() == 2
     assert tables.drop_error_rows(feed, ["sale_id"]).count() == 1
-    missing = tables.read_json_feed(spark, str(tmp_path / "none.json"), SALES)
-    assert missing.isEmpty() and "error" in missing.columns
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_json_feed(spark, str(tmp_path / "none.json"), SALES)
 
 
 def test_file_inventory(spark, write_feeds):
     paths, write = write_feeds
     write(range(3))
+    pd.DataFrame({"sale_id": pd.Series([], dtype="str")}).to_parquet(paths["sales"] + "/none.parquet")
+    with open(paths["sales"] + "/bad.parquet", "w") as file:
+        file.write("not parquet")
     counts = records(tables.file_inventory(spark, paths["sales"]), "file")
-    assert sum(r["records"] for r in counts) == 18 and len(counts) == 3
+    assert sum(r["records"] or 0 for r in counts) == 18 and len(counts) == 5
+    special = {r["file"].rpartition("/")[2]: (r["records"], r["readable"]) for r in counts if "=" not in r["file"]}
+    assert special == {"none.parquet": (0, True), "bad.parquet": (None, False)}
 
 
 def test_extract_inventory(spark, write_feeds, tmp_path):
@@ -445,6 +551,7 @@ def test_extract_inventory(spark, write_feeds, tmp_path):
     (tmp_path / "sales" / "sale_date=2023-11-01" / "bad.parquet").write_text("not parquet")
     (tmp_path / "notes.txt").write_text("ignored")
     rows = records(tables.extract_inventory(spark, str(tmp_path)), "dataset")
+    assert [r["dataset"] for r in rows if r["unreadable_files"]] == ["sales/sale_date=2023-11-01"]
     assert [(r["dataset"], r["records"]) for r in rows] == [
         ("products", 3), ("retail_data/date=2023-11-01", 6), ("retail_data/date=2023-11-02", 6),
         ("sales/sale_date=2023-11-01", 6), ("sales/sale_date=2023-11-02", 6), ("stores.parquet", 2),
@@ -497,3 +604,25 @@ def test_files_on_arrival(spark, write_feeds, tmp_path):
     write(range(3, 5))
     follow()
     assert len(stored(spark, paths)) == 10
+
+
+def test_a_date_waits_for_its_second_feed(spark, write_feeds, tmp_path):
+    paths, write = write_feeds
+    write(range(2))
+    late = paths["sales"] + "/sale_date=2023-11-02"
+    os.rename(late, str(tmp_path / "late"))
+
+    def follow():
+        query = arrival.run_on_arrival(
+            spark, paths["retail_data"], paths["sales"], paths["products"], paths["metrics"], str(tmp_path / "stream")
+        )
+        with contextlib.suppress(Exception):
+            query.awaitTermination(120)
+        return query.exception()
+
+    for _ in range(2):
+        assert "2023-11-02" in str(follow())
+        assert {r["date"] for r in stored(spark, paths)} == {"2023-11-01"}
+    os.rename(str(tmp_path / "late"), late)
+    assert follow() is None
+    assert {r["date"] for r in stored(spark, paths)} == {"2023-11-01", "2023-11-02"}

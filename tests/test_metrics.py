@@ -130,7 +130,9 @@ def test_merging_before_the_repair_equals_merging_after(frame):
     lines = frame(LINES, [("2023-12-03", "a", "p", 1, 5.0), ("2023-12-03", "c", "p", 1, 5.0)])
     goods = frame(GOODS, [("p", "P", 1.0)])
     fused = daily.daily_feeds(traffic, lines, goods)
-    stepwise = ops.merge_feeds(daily_traffic_repaired(traffic), sales_day(lines, goods))
+    stepwise = ops.fill_missing(
+        daily_traffic_repaired(traffic).join(sales_day(lines, goods), ["date", "store_id"], "full_outer")
+    )
     assert records(fused, "date", "store_id") == records(stepwise.select(*fused.columns), "date", "store_id")
     assert [r["total_visitors"] for r in records(fused, "date", "store_id")] == [220, 8000, 50, 0, 0]
 
