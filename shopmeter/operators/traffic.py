@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmeter.functions.numbers import zero_sum
+from shopmeter.functions.numbers import PLACES, exact, zero_sum
 
 MAX_VISITORS = 5000
 DAY_KEY = ["date", "store_id"]
@@ -49,21 +49,31 @@ def _repaired(sales: str, valid_sales: str, valid_visitors: str, mode: str) -> s
     raise ValueError(f"unknown repair mode: {mode}")
 
 
-def _valid_sums(max_visitors: int) -> list[Column]:
+def _valid_sums(max_visitors: int, whole: bool = True) -> list[Column]:
     """Sums over the valid hours; null for a store without any, which is left as it is."""
     valid = f"visitors > 0 AND visitors <= {int(max_visitors)}"
+    # Fractional counts are summed as decimals, so that the order of rows doesn't matter.
+    kind, shown = ("BIGINT", "BIGINT") if whole else (f"DECIMAL(27,{PLACES})", "DOUBLE")
     return [
-        F.expr(f"sum(CASE WHEN {valid} THEN CAST(coalesce(sales, 0) AS BIGINT) END)").alias("valid_sales"),
-        F.expr(f"sum(CASE WHEN {valid} THEN CAST(visitors AS BIGINT) END)").alias("valid_visitors"),
+        F.expr(f"CAST(sum(CASE WHEN {valid} THEN CAST({value} AS {kind}) END) AS {shown})").alias(name)
+        for name, value in (("valid_sales", "coalesce(sales, 0)"), ("valid_visitors", "visitors"))
     ]
 
 
+def _without_nan(traffic: DataFrame) -> DataFrame:
+    """Fractional counts with gaps as nulls."""
+    for measure in ("visitors", "sales"):
+        if isinstance(traffic.schema[measure].dataType, T.FractionalType):
+            traffic = traffic.withColumn(measure, F.nullif(F.col(measure), F.lit(float("nan"))))
+    return traffic
+
+
 def store_ratio(traffic: DataFrame, max_visitors: int = MAX_VISITORS) -> DataFrame:
     """Sales per 100 visitors of each store over the valid hours of the batch."""
     return (
         traffic.filter(F.col("store_id").isNotNull())
         .groupBy("store_id")
-        .agg(*_valid_sums(max_visitors))
+        .agg(*_valid_sums(max_visitors, has_whole_counts(traffic)))
         .withColumn("ratio", F.col("valid_sales") * 100 / F.col("valid_visitors"))
     )
 
@@ -77,7 +87,7 @@ def repair_outliers(
     rows meet the per-store rates in a join; the bulk of the feed is neither
     shuffled nor grouped by store, so one store holding most rows costs nothing.
     """
-    traffic = traffic.filter("store_id IS NOT NULL")
+    traffic = _without_nan(traffic.filter("store_id IS NOT NULL"))
     outlier = _is_outlier(max_visitors)
     as_double = F.expr("CAST(visitors AS DOUBLE)")
     implied = _repaired("sales", "valid_sales", "valid_visitors", mode)
@@ -137,9 +147,7 @@ def daily_traffic(traffic: DataFrame) -> DataFrame:
         _keyed(traffic)
         .groupBy(*DAY_KEY)
         .agg(
-            F.coalesce(F.sum(F.when(_measured(traffic, "visitors"), F.col("visitors"))), F.lit(0))
-            .cast("double")
-            .alias("total_visitors"),
+            F.coalesce(F.sum(exact(F.col("visitors"))), F.lit(0)).cast("double").alias("total_visitors"),
             zero_sum(F.when(_measured(traffic, "sales"), F.col("sales"))).alias(
                 "total_transactions"
             ),

@@ -361,6 +361,11 @@ add("metrics_upsert",
     "AS total_visitors, total_transactions, peak_hour_sales, peak_hour_visitors FROM traffic_day",
     DAY_COLUMNS, PLAIN_DAYS)
 
+add("mixed_feed_read", "SELECT * EXCLUDE (sales), CASE WHEN hour >= 12 THEN sales END AS sales FROM traffic_v",
+    TRAFFIC_COLUMNS)
+add("json_feed_read", "FROM traffic_v", TRAFFIC_COLUMNS)
+add("stored_day_merge", "FROM traffic_v WHERE date = DATE '1998-02-25'", TRAFFIC_COLUMNS)
+
 # Calendar series
 RATIO = {
     "conversion_rate": f"100 * {total('total_transactions')} / nullif({total('total_visitors')}, 0)",

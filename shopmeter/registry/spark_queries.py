@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from shopmeter.operators import kpi, lookups, metrics, quality, rollups, sales,
 from shopmeter.operators.themes import ANNUAL, DAILY, MONTHLY, QUARTERLY
 from shopmeter.plans import daily, reports
 from shopmeter.registry import views
-from shopmeter.sinks.merges import merge_days
+from shopmeter.schemas import RETAIL_DATA
+from shopmeter.session import shared_folder
+from shopmeter.sinks.merges import merge_days, write_merged_day
 from shopmeter.sinks.upsert import upsert
 from shopmeter.sources import incremental, tables
 
@@ -293,6 +296,42 @@ def metrics_upsert(spark, sf_dir):
     return upsert(existing, new)
 
 
+# Stored feeds, written to the shared folder and read back
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+@query
+def mixed_feed_read(spark, sf_dir):
+    """Traffic in two parts: mornings with visitors as doubles and without sales, the rest complete."""
+    rows, folder = views.traffic(spark, sf_dir), _folder(spark)
+    morning = rows.filter("hour < 12").withColumn("visitors", F.col("visitors").cast("double")).drop("sales")
+    morning.write.parquet(f"{folder}/a")
+    rows.filter("hour >= 12").write.parquet(f"{folder}/b")
+    return tables.read_mixed(spark, [f"{folder}/a", f"{folder}/b"], RETAIL_DATA)
+
+
+@query
+def json_feed_read(spark, sf_dir):
+    """Traffic as JSON lines whose counts come as text or with a decimal point."""
+    rows, folder = views.traffic(spark, sf_dir), _folder(spark)
+    sent = rows.withColumns({"visitors": F.col("visitors").cast("double"), "sales": F.col("sales").cast("string")})
+    sent.write.json(folder)
+    return tables.drop_error_rows(tables.read_json_feed(spark, folder, RETAIL_DATA), ["store_id"])
+
+
+@query
+def stored_day_merge(spark, sf_dir):
+    """One stored day of traffic, merged with a later extract that overlaps it."""
+    day, folder = dt.date(1998, 2, 25), _folder(spark)
+    rows = lookups.traffic_by_date(views.traffic(spark, sf_dir), day.isoformat())
+    for part in ("hour < 16", "hour >= 12"):
+        write_merged_day(spark, rows.filter(part), folder, RETAIL_DATA, "date", day)
+    return tables.read_days(spark, folder, RETAIL_DATA, "date", [day])
+
+
 # Calendar series
 
 

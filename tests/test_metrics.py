@@ -153,7 +153,7 @@ def test_plan_of_the_daily_job(spark, frame, tmp_path):
     shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
     keys = sorted(re.sub(r"#\d+", "", keys) for keys in shuffles)
     assert keys == [
-        "date, store_id", "date, store_id", "product_id", "sale_date, store_id, product_id", "store_id",
+        "date, store_id", "date, store_id", "product_id", "product_id, name", "sale_date, store_id, product_id", "store_id",
     ]
 
 

@@ -51,13 +51,17 @@ def test_line_basket_and_client_checks(frame):
     ])
     goods = frame("id string, price double", [("p", 9.99), ("q", 5.0)])
     wrong = records(ops.line_amount_errors(sales, goods), "sale_id")
-    assert [(r["sale_id"], r["expected_amount"]) for r in wrong] == [("2", 19.98)]
+    assert [(r["sale_id"], r["expected_amount"], r["reason"]) for r in wrong] == [
+        ("2", 19.98, "other amount"), ("3", None, "unknown product"),
+    ]
     baskets = records(ops.basket_size_errors(sales), "sale_id")
     assert baskets == [{"sale_id": "2", "declared": 2, "found": 1}]
     clients = frame("id string, city string, age int", [("c1", "Paris", 30), ("c2", "Lyon", 250)])
     stores = frame(STORES, [("s1", "Paris", 1, "9", "18")])
-    (pair,) = records(ops.client_city_errors(sales, clients, stores), "client_id")
-    assert (pair["client_id"], pair["city"], pair["location"], pair["lines"]) == ("c2", "Lyon", "Paris", 1)
+    pairs = records(ops.client_city_errors(sales, clients, stores), "client_id")
+    assert [(r["client_id"], r["city"], r["location"], r["lines"], r["reason"]) for r in pairs] == [
+        ("c2", "Lyon", "Paris", 1, "other city"), ("c9", None, "Paris", 1, "unknown client"),
+    ]
     assert [r["id"] for r in records(ops.unrealistic_ages(clients), "id")] == ["c2"]
 
 
@@ -79,3 +83,22 @@ def test_missing_values_do_not_pass_a_check(frame):
     clients = frame("id string, city string", [("c1", "Paris"), ("c2", None)])
     stores = frame(STORES, [("s1", "Paris", 1, "9", "18")])
     assert [r["client_id"] for r in records(ops.client_city_errors(sales, clients, stores), "client_id")] == ["c2"]
+
+
+def test_what_cannot_be_judged_is_reported_with_a_reason(frame):
+    stores = frame(STORES, [("1", "x", None, "10", "18"), ("2", "x", 50, "late", "18"), ("3", "x", 50, "10", "18")])
+    traffic = frame(HOURS, [
+        ("2023-12-01", "9", 11, 5, 0), ("2023-12-01", "1", 11, 5, 0), ("2023-12-01", "2", 11, 5, 0),
+        ("2023-12-01", "3", 11, 5, 0), ("2023-12-01", "3", 9, 51, None), ("2023-12-01", "3", None, 1, 1),
+        (None, "3", 12, 1, 1), ("2023-12-01", None, 12, 1, 1), ("2023-12-01", "9", 11, None, None),
+    ])
+    closed = ops.closed_hours(traffic, stores)
+    assert sorted((r["store_id"] or "", r["hour"] or 0, r["reason"]) for r in closed.collect()) == [
+        ("", 12, "unknown store"), ("2", 11, "unreadable hours"), ("3", 0, "unreadable hours"), ("3", 9, "closed"),
+        ("9", 11, "unknown store"),
+    ]
+    over = ops.over_capacity(traffic, stores)
+    assert sorted((r["store_id"] or "", r["hour"] or 0, r["reason"]) for r in over.collect()) == [
+        ("", 12, "unknown store"), ("1", 11, "missing capacity"), ("3", 9, "over capacity"), ("3", 12, "missing date"),
+        ("9", 11, "unknown store"),
+    ]

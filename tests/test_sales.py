@@ -129,3 +129,13 @@ def test_best_seller_needs_no_window(feed, goods):
     """A window would gather a whole store-day in one task."""
     for result in (ops.best_selling(feed, goods), ops.best_selling_ties(feed, goods)):
         assert "Window" not in result._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_and_large_amounts_are_not_cut(frame):
+    lines = frame(LINES, [("2023-12-01", "s", "p", 100_000, 0.00004)] * 10 + [("2023-12-01", "t", "p", 1, 9.0e13)])
+    goods = frame(GOODS, [("p", "P", 0.00004)])
+    whole = records(ops.daily_cost(lines, goods), "store_id")
+    assert whole[0]["total_cost"] == 40.0
+    days = records(ops.daily_sales(lines), "store_id")
+    assert [r["total_revenue"] for r in days] == [0.0004, 9.0e13]
+    assert [(r["total_cost"], r["total_revenue"]) for r in records(ops.sales_day(lines, goods), "store_id")][0] == (40.0, 0.0004)

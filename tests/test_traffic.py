@@ -158,3 +158,27 @@ def test_counts_that_passed_through_floats(frame):
     }
     assert records(ops.daily_traffic(rows), "date") == [expected]
     assert records(ops.daily_traffic_repaired(rows), "date") == [expected]
+
+
+def test_fractional_visitors_are_not_rounded(frame):
+    rows = frame(HOURS.replace("visitors int", "visitors double"), [
+        ("2023-12-01", "s", 10.4, 2, 1), ("2023-12-01", "s", 10.4, 3, 2), ("2023-12-01", "t", 9000.5, 3, 2),
+        ("2023-12-01", "t", 100.5, 10, 3),
+    ])
+    whole = records(ops.daily_traffic(ops.repair_outliers(ops.drop_unmeasured(rows))), "store_id")
+    found = records(ops.daily_traffic_repaired(rows), "store_id")
+    assert found == whole
+    assert (found[0]["total_visitors"], found[0]["peak_hour_visitors"]) == (20.8, 1)
+    assert found[1]["total_visitors"] == pytest.approx(100.5 + 3 * (10 * 100 / 100.5), abs=1e-9)
+
+
+def test_an_impossible_hour_is_no_peak(frame):
+    rows = frame(HOURS, [
+        ("2023-12-01", "s", 900, 90, -1), ("2023-12-01", "s", 800, 80, 200), ("2023-12-01", "s", 7, 7, 9),
+        ("2023-12-01", "s", 6, 6, None), ("2023-12-02", "s", 5, 5, 24), ("2023-12-03", "s", 7000, 5, 24),
+    ])
+    stepwise = records(ops.daily_traffic(ops.repair_outliers(ops.drop_unmeasured(rows))), "date")
+    found = records(ops.daily_traffic_repaired(rows), "date")
+    assert [dict(r, total_visitors=pytest.approx(r["total_visitors"])) for r in stepwise] == found
+    assert [(r["peak_hour_visitors"], r["peak_hour_sales"]) for r in found] == [(9, 9), (None, None), (None, None)]
+    assert found[0]["total_visitors"] == 1713.0
