@@ -16,49 +16,23 @@ from shopmeter.operators.rollups import (
 # Period names.
 ANNUAL, QUARTERLY, MONTHLY, DAILY = "Annuel", "Trimestriel", "Mensuel", "Quotidien"
 
-# Theme, chart title, axis label, metrics of every period, metrics
-# shown by the daily view only.
-CHARTS = [
-    ("Performance des visiteurs", "Affluence visiteurs", "Nombre de visiteurs",
-     ["total_visitors"], ["avg_visitors_last_4_weeks"]),
-    ("Performance des visiteurs", "Évolution de l'affluence", "Variation (%)",
-     [], ["visitors_variation_vs_avg_4w_percent"]),
-    ("Performance des transactions", "Volume des transactions", "Nombre de transactions",
-     ["total_transactions"], ["avg_sales_last_4_weeks"]),
-    ("Performance des transactions", "Évolution des transactions", "Variation (%)",
-     [], ["transactions_variation_vs_avg_4w_percent"]),
-    ("Quantité et revenus", "Chiffre d'affaires", "Revenus (€)",
-     ["total_revenue"], ["avg_revenue_last_4_weeks"]),
-    ("Quantité et revenus", "Quantités vendues", "Quantité",
-     ["total_quantity"], ["revenue_variation_vs_avg_4w_percent"]),
-    ("Marges et coûts", "Marges et coûts", "Euros (€)",
-     ["total_cost", "total_margin"], []),
-    ("Efficacité des ventes", "Taux de conversion", "Taux (%)",
-     ["conversion_rate"], []),
-    ("Efficacité des ventes", "Panier moyen", "Valeur moyenne (€)",
-     ["avg_transaction_value"], []),
-    ("Indicateurs spécifiques par visiteur", "Performance par visiteur",
-     "Euros par visiteur (€)", ["revenue_per_visitor", "margin_per_visitor"], []),
+# Theme, metrics of every period, metrics of the daily view only.
+THEMES = [
+    ("Performance des visiteurs", ["total_visitors"],
+     ["avg_visitors_last_4_weeks", "visitors_variation_vs_avg_4w_percent"]),
+    ("Performance des transactions", ["total_transactions"],
+     ["avg_sales_last_4_weeks", "transactions_variation_vs_avg_4w_percent"]),
+    ("Quantité et revenus", ["total_revenue", "total_quantity"],
+     ["avg_revenue_last_4_weeks", "revenue_variation_vs_avg_4w_percent"]),
+    ("Marges et coûts", ["total_cost", "total_margin"], []),
+    ("Efficacité des ventes", ["conversion_rate", "avg_transaction_value"], []),
+    ("Indicateurs spécifiques par visiteur", ["revenue_per_visitor", "margin_per_visitor"], []),
 ]
 
 
-def chart_groups(theme: str, period: str) -> list[dict]:
-    """The charts of a theme: title, axis label and metrics; empty charts are left out."""
-    groups = []
-    for name, title, label, always, daily_only in CHARTS:
-        metrics = always + (daily_only if period == DAILY else [])
-        if name == theme and metrics:
-            groups.append({"title": title, "label": label, "metrics": metrics})
-    return groups
-
-
 def themes(period: str) -> dict[str, list[str]]:
     """All themes of a period with their metrics."""
-    names = list(dict.fromkeys(chart[0] for chart in CHARTS))
-    return {
-        name: [metric for group in chart_groups(name, period) for metric in group["metrics"]]
-        for name in names
-    }
+    return {name: always + (daily_only if period == DAILY else []) for name, always, daily_only in THEMES}
 
 
 def series(metrics: DataFrame, period: str, names: list[str]) -> DataFrame:

@@ -114,10 +114,6 @@ def test_themes_per_period():
         "revenue_variation_vs_avg_4w_percent",
     }
     assert set(monthly["Quantité et revenus"]) == {"total_quantity", "total_revenue"}
-    assert [g["title"] for g in themes.chart_groups("Performance des visiteurs", themes.MONTHLY)] == [
-        "Affluence visiteurs"
-    ]
-    assert themes.chart_groups("inconnu", themes.DAILY) == []
 
 
 def test_detail_page(metrics, stores):
