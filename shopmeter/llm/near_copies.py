@@ -1,13 +1,16 @@
 """Near copies by MinHash: an inverted join on signature coordinates, confirmed on full sets.
 
-Texts of equal shingle sets are one class. A class is posted under its (coordinate, value)
+A coordinate of a signature is several least hashes together, so that texts which share
+common word pairs only hardly ever agree in one. Texts of equal shingle sets are one class. A class is posted under its (coordinate, value)
 pairs; two classes that agree in ``least`` of all coordinates must share a posting among
 the rarest ``coordinates - least + 1`` of each, so only these are merged and the long lists
 of common values are skipped. Agreement is then counted over the whole signatures, and
 what reaches the threshold is compared set by set.
 
-A posting list is never turned into all its pairs. Its classes are first compared with
-the least of them; only classes of different components are then compared with each other.
+A posting list is never turned into all its pairs. Its classes are first compared with the
+most central of them, whose values are the commonest in all its lists: of a group of edited
+copies that is the original or what is nearest to it. Only classes of different components
+and similar size are then compared with each other.
 """
 
 from __future__ import annotations
@@ -25,18 +28,22 @@ from shopmeter.llm.components import components
 from shopmeter.llm.words import mix, sets
 from shopmeter.session import durable
 
-#: Words of a shingle, least similarity in hundredths, coordinates of a signature, and the
-#: chance with which a pair just as similar as that may agree in too few coordinates.
-SHINGLE, PERCENT, COORDINATES, MISS = 5, 80, 64, 1e-6
+#: Words of a shingle, least similarity in hundredths, coordinates of a signature, least
+#: hashes of a coordinate, and the chance with which a pair just as similar as that may
+#: agree in too few coordinates.
+SHINGLE, PERCENT, COORDINATES, TOGETHER, MISS = 5, 80, 40, 3, 1e-6
+#: Slots of the filter for texts whose sets are compared: 4 MB, whatever the corpus. It only
+#: saves work: texts that pass it are joined with the keys wanted.
+FILTER_SLOTS = 1 << 25
 
 _DRAW = np.random.default_rng(64064)
 _SEEDS = _DRAW.integers(0, 1 << 64, 256, np.uint64)
 _FACTORS = _DRAW.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def least_agreement(percent: int, coordinates: int, miss: float) -> int:
+def least_agreement(percent: int, coordinates: int, miss: float, together: int = TOGETHER) -> int:
     """The highest threshold that a pair of that similarity misses with at most that chance."""
-    p, below = percent / 100, 0.0
+    p, below = (percent / 100) ** together, 0.0
     for k in range(coordinates + 1):
         below += comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
         if below > miss:
@@ -44,20 +51,23 @@ def least_agreement(percent: int, coordinates: int, miss: float) -> int:
     return coordinates
 
 
-def signatures(hashes: np.ndarray, ends: np.ndarray, coordinates: int) -> np.ndarray:
-    """A row per text: the least hash of its set under each of the coordinates' functions."""
+def signatures(hashes: np.ndarray, ends: np.ndarray, coordinates: int, together: int = TOGETHER) -> np.ndarray:
+    """A row per text: its set's least hash under each function, ``together`` of them mixed to a coordinate."""
     counts = np.diff(np.concatenate([[0], ends]))
     some = np.flatnonzero(counts)
     out = np.zeros((len(ends), coordinates), np.int32)
     if len(some):
         starts = ends[some] - counts[some]
         for k in range(coordinates):
-            value = ((hashes ^ _SEEDS[k]) * _FACTORS[k]) >> np.uint64(32)
-            out[some, k] = np.minimum.reduceat(value, starts).astype(np.uint32).view(np.int32)
+            mixed = np.zeros(len(some), np.uint64)
+            for j in range(k * together, (k + 1) * together):
+                value = ((hashes ^ _SEEDS[j]) * _FACTORS[j]) >> np.uint64(32)
+                mixed = mix(mixed + np.minimum.reduceat(value, starts))
+            out[some, k] = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
-def _describe(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
+def _describe(docs: DataFrame, shingle: int, coordinates: int, together: int) -> DataFrame:
     """key, n (set size), d1, d2 (the set's 128-bit digest), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +79,7 @@ def _describe(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
                 mixed = mix(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
                 digests.append((total[ends] - total[ends - counts]).view(np.int64))
-            signed = signatures(hashes, ends, coordinates)
+            signed = signatures(hashes, ends, coordinates, together)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(ends) + 1, dtype=np.int32) * coordinates), pa.array(signed.ravel())
             )
@@ -81,15 +91,37 @@ def _describe(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, d1 long, d2 long, signature array<int>")
 
 
-def _set_table(docs: DataFrame, shingle: int) -> DataFrame:
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys' hashes; the driver gets its words, ``FILTER_SLOTS / 64`` at most."""
+    places = F.array(F.pmod("h", F.lit(FILTER_SLOTS)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(FILTER_SLOTS)))
+    slots = keys.select(F.xxhash64("key").alias("h")).select(F.explode(places).alias("slot"))
+    bit = F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")
+    words = slots.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_SLOTS // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _set_table(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """``key, set`` of the keys' texts: only sets travel, and hardly any but the wanted ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(keys))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            hashes, ends = sets(batch.column(1), shingle)
-            raw, starts = hashes.view(np.uint8), np.concatenate([[0], ends]).astype(np.int32) * 8
-            values = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["key", "set"])
+        words = sent.value
+        for batch in batches:
+            h = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            passes = np.ones(len(h), bool)
+            for slot in (h.view(np.int64) % FILTER_SLOTS, (h >> np.uint64(32)).astype(np.int64) % FILTER_SLOTS):
+                passes &= (words[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for part in chunks([batch.filter(pa.array(passes))]):
+                hashes, ends = sets(part.column(1), shingle)
+                raw, starts = hashes.view(np.uint8), np.concatenate([[0], ends]).astype(np.int32) * 8
+                values = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["key", "set"])
 
-    return docs.mapInArrow(run, "key long, set binary")
+    rows = docs.filter("key is not null").select("key", "text", F.xxhash64("key").alias("h"))
+    found = rows.mapInArrow(run, "key long, set binary").join(keys, "key", "left_semi")
+    return found.groupBy("key").agg(F.first("set").alias("set"))
 
 
 def _agreement(a: str, b: str) -> F.Column:
@@ -98,14 +130,16 @@ def _agreement(a: str, b: str) -> F.Column:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
     """Those of the distinct pairs (u, v) that agree in enough coordinates and are similar."""
-    mine = classes.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("signature").alias("su"))
-    other = classes.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("signature").alias("sv"))
+    mine = classes.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("short").alias("su"))
+    other = classes.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("short").alias("sv"))
     sized = pairs.join(mine, "u").join(other, "v")
     sized = sized.filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
     pairs = durable(sized.filter(_agreement("su", "sv") >= least).select("u", "v"))
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    texts = docs.join(needed, "key", "left_semi").dropDuplicates(["key"])
-    found = durable(_set_table(texts, shingle))
+    needed = durable(needed)
+    found = durable(_set_table(docs, needed, shingle))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +161,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
 def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    coordinates: int = COORDINATES, miss: float = MISS,
+    coordinates: int = COORDINATES, together: int = TOGETHER, miss: float = MISS,
 ) -> DataFrame:
     """``key, n_shingles, component, kept`` of every row.
 
@@ -140,12 +174,15 @@ def near_copies(
     ``percent`` is missed with a chance of at most ``miss``, more similar ones with less.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    described = durable(_describe(rows, shingle, coordinates))
+    described = durable(_describe(rows, shingle, coordinates, together))
     linkable = described.filter("n > 0 and key is not null")
-    classes = durable(
-        linkable.groupBy("d1", "d2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = linkable.groupBy("d1", "d2").agg(
+        F.min("key").alias("key"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
-    least = least_agreement(percent, coordinates, miss)
+    # Eight bits of a coordinate travel with the pairs: unlike ones seldom look alike, like ones always do.
+    short = F.transform("signature", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint"))
+    classes = durable(classes.withColumn("short", short))
+    least = least_agreement(percent, coordinates, miss, together)
     merged = coordinates - least + 1
 
     posts = classes.select("key", F.posexplode("signature").alias("at", "value"))
@@ -155,30 +192,40 @@ def near_copies(
     # meet, are the rarest of all and take up places of the prefix.
     ordered = F.sort_array(F.collect_list(F.struct("often", "at", "value")))
     places = F.greatest(F.lit(0), F.lit(merged) - (F.lit(coordinates) - F.size("posts")))
-    prefix = shared.groupBy("key").agg(ordered.alias("posts"))
-    prefix = durable(prefix.select("key", F.explode(F.slice("posts", 1, places)).alias("p")).select("key", "p.at", "p.value"))
-
-    # Every list's classes against the least of them.
-    first = prefix.groupBy("at", "value").agg(F.min("key").alias("v"))
-    stars = prefix.join(first, ["at", "value"]).filter("key <> v").select(F.col("key").alias("u"), "v").distinct()
-    stars = durable(stars)
-    links = _confirmed(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), classes, rows, shingle, percent, least)
+    prefix = shared.groupBy("key").agg(ordered.alias("posts"), F.sum("often").alias("central"))
+    prefix = prefix.select("key", "central", F.explode(F.slice("posts", 1, places)).alias("p"))
+    prefix = durable(prefix.select("key", "central", "p.at", "p.value"))
+
+    # Every list's classes against the most central of them.
+    listed = ["at", "value"]
+    hub = prefix.groupBy(listed).agg(F.max(F.struct("central", (-F.col("key")).alias("less"))).alias("hub"))
+    stars = prefix.join(hub.select(*listed, (-F.col("hub.less")).alias("u")), listed)
+    stars = durable(stars.filter("u <> key").select("u", F.col("key").alias("v")).distinct())
+    links = _confirmed(stars, classes, rows, shingle, percent, least)
     found = durable(components(links))
 
-    # Lists that hold several components: their classes against those of the others.
+    # Lists that hold several components: their classes against those of the others that are
+    # neither much smaller nor much larger. Sizes fall into classes of ratio 100 / percent, so
+    # sets similar enough are of one class or of neighbouring ones.
+    size = F.floor(F.log("n") / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n")
+    sized = classes.select("key", size.alias("size"))
     member = prefix.join(found.withColumnRenamed("node", "key"), "key", "left")
     member = member.withColumn("component", F.coalesce("component", "key"))
-    mixed = member.groupBy("at", "value").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    member = durable(member.join(mixed.select("at", "value"), ["at", "value"]))
-    groups = member.select("at", "value", "component").distinct()
-    other = groups.withColumnRenamed("component", "component2")
-    apart = groups.join(other, ["at", "value"]).filter("component < component2")
-    left = apart.join(member.withColumnRenamed("key", "u"), ["at", "value", "component"])
-    right = member.select("at", "value", F.col("component").alias("component2"), F.col("key").alias("v"))
-    pairs = left.join(right, ["at", "value", "component2"]).select("u", "v")
+    mixed = member.groupBy(listed).agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    member = member.join(mixed.select(listed), listed).join(sized, "key")
+    member = durable(member.select(*listed, "component", "size", "key"))
+    groups = member.select(*listed, "component", "size").distinct()
+    near = groups.withColumnsRenamed({"component": "component2", "size": "size2"})
+    near = near.select("*", F.explode(F.array(F.col("size2") - 1, F.col("size2"))).alias("size"))
+    # A pair of one size is met from both sides, of neighbouring sizes from the smaller's.
+    once = (F.col("size") < F.col("size2")) | (F.col("component") < F.col("component2"))
+    apart = groups.join(near, [*listed, "size"]).filter((F.col("component") != F.col("component2")) & once)
+    left = apart.join(member.select(*listed, "component", "size", F.col("key").alias("u")), [*listed, "component", "size"])
+    right = member.select(*listed, F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("key").alias("v"))
+    pairs = left.join(right, [*listed, "component2", "size2"])
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = pairs.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = _confirmed(pairs, classes, rows, shingle, percent, least)
+    known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = _confirmed(pairs.join(known, ["u", "v"], "left_anti"), classes, rows, shingle, percent, least)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

@@ -1,10 +1,10 @@
 """Repeated passages: bytes covered by strings of a given length that start twice or more.
 
-1. Anchors. Of every window of ``length`` bytes the least hash of its ``ANCHOR``-byte
-   strings is an anchor. Equal windows have equal anchors at equal places, so only
-   anchors that occur again can lie in a repeated window.
-2. Contexts. The bytes of all windows over an anchor are its context. Where anchor and
-   context both occur again, the whole context is repeated.
+1. Anchors. Of every window of ``length`` bytes the first one with the least hash of its
+   ``ANCHOR``-byte strings is its anchor. Equal windows have equal anchors at equal
+   places.
+2. Contexts. The windows of an anchor are its context. Where anchor and context both occur
+   again, the whole context is repeated; where the anchor occurs once, nothing is.
 3. Intervals. The other contexts of an anchor, each different one once, are joined with
    those of other anchors to blocks of bounded size. On a block's Burrows-Wheeler
    transform, intervals of equal strings are extended backwards breadth first, one byte
@@ -46,66 +46,104 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc, worst: int) -> np.n
 
 def anchors(
     raw: np.ndarray, low: np.ndarray, high: np.ndarray, first: int, stop: int, length: int = LENGTH, anchor: int = ANCHOR
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, anchor hash, context hash) in bytes of one or more texts, one after the other.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, context hash, first window's start, last one's) in bytes of texts in a row.
 
     ``low`` and ``high`` say for every byte where its text begins and ends; only windows
     that start from ``first`` to ``stop`` count.
     """
     reach, strings = length - anchor, len(raw) - anchor + 1
+    none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * powers(len(raw), _BASE), dtype=np.uint64)])
     inverse = powers(len(raw), _INVERSE)
-    hashes = mix((sums[anchor:] - sums[:strings]) * inverse[:strings]) | np.uint64(1)
+    hashes = mix((sums[anchor:] - sums[:strings]) * inverse[:strings])
     least = _sliding(hashes, reach + 1, np.minimum, np.iinfo(np.uint64).max)
-    starts = np.arange(strings)
-    least[(starts < first) | (starts >= stop) | (starts + length > high[:strings])] = 0
-    # The greatest of the minima of all windows over a place is its own hash if, and only
-    # if, it is the least of one of them.
-    greatest = _sliding(least[::-1], reach + 1, np.maximum, 0)[::-1]
-    at = np.flatnonzero(greatest == hashes)
-    left, right = np.maximum(at - reach, low[at]), np.minimum(at + length, high[at])
-    context = (sums[right] - sums[left]) * inverse[left]
-    shape = (at - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64)
-    return at, hashes[at], mix(context ^ mix(shape + np.uint64(1)))
+    starts = np.flatnonzero((np.arange(strings) + length <= high[:strings]) & (np.arange(strings) < stop))
+    starts = starts[starts >= first]
+    # Where a window's least hash is found: the place only moves on from window to window.
+    wanted = least[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (wanted[1:] != wanted[:-1]) | (starts[1:] != starts[:-1] + 1)
+    heads = np.flatnonzero(new)
+    runs = np.diff(np.append(heads, len(starts)))
+    # All places with a run's hash between its first window's start and its last one's end;
+    # more than one if strings repeat nearby.
+    at, mark, begin, end = [], [], [], []
+    sizes = runs + reach
+    step = max(1, 1_000_000 // max(1, int(sizes.max(initial=1))))
+    for part in range(0, len(heads), step):
+        head, run = starts[heads[part : part + step]], runs[part : part + step]
+        span = run + reach
+        of = np.repeat(np.arange(len(head)), span)
+        place = np.repeat(head, span) + np.arange(len(of)) - np.repeat(np.cumsum(span) - span, span)
+        same = np.flatnonzero(hashes[np.minimum(place, strings - 1)] == wanted[heads[part : part + step]][of])
+        of, place = of[same], place[same]
+        # The windows of a place start after the place before it with the same hash.
+        before = np.full(len(place), -1)
+        before[1:] = np.where(of[1:] == of[:-1], place[:-1], -1)
+        low_ = np.maximum(np.maximum(head[of], before + 1), place - reach)
+        high_ = np.minimum(head[of] + run[of] - 1, place)
+        some = low_ <= high_
+        at.append(place[some])
+        begin.append(low_[some])
+        end.append(high_[some])
+    at, begin, end = (np.concatenate(x) if x else none for x in (at, begin, end))
+    # Runs of one place that another text or part broke apart are one anchor's.
+    at, once, back = np.unique(at, return_index=True, return_inverse=True)
+    if len(back) != len(at):
+        low_, high_ = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), -1)
+        np.minimum.at(low_, back, begin)
+        np.maximum.at(high_, back, end)
+        begin, end = low_, high_
+    else:
+        begin, end = begin[once], end[once]
+    right = end + length
+    context = (sums[right] - sums[begin]) * inverse[begin]
+    shape = (at - begin).astype(np.uint64) * np.uint64(1 << 20) + (right - begin).astype(np.uint64)
+    return at, hashes[at], mix(context ^ mix(shape + np.uint64(1))), begin, end
 
 
 def text_anchors(texts: pa.Array, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text number, place, text size, anchor hash, context hash) of all anchors of the texts."""
+    """(text number, place, hash, context hash, first and last window's start) of all anchors."""
     raw, ends = flat_bytes(texts)
     sizes = np.diff(np.concatenate([[0], ends]))
     if len(raw) <= PART:
         of = np.repeat(np.arange(len(ends)), sizes)
         low, high = (ends - sizes)[of], ends[of]
-        at, marks, contexts = anchors(raw, low, high, 0, len(raw), length)
-        return of[at], at - low[at], sizes[of[at]], marks, contexts
+        at, marks, contexts, begin, end = anchors(raw, low, high, 0, len(raw), length)
+        of, base = of[at], low[at]
+        return of, at - base, marks, contexts, begin - base, end - base
     found = []
     reach = length - ANCHOR
-    for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-        text, parts = raw[end - size : end], []
-        for begin in range(0, max(1, size - length + 1), PART):
-            start, stop = max(0, begin - reach), min(size, begin + PART + length + reach)
+    for i, (size, stop_) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+        text, parts = raw[stop_ - size : stop_], []
+        for first in range(0, max(1, size - length + 1), PART):
+            start, stop = max(0, first - reach), min(size, first + PART + length + reach)
             edge = np.full(stop - start, 0)
-            at, marks, contexts = anchors(
-                text[start:stop], edge - start, edge + size - start, begin - start, begin - start + PART, length
+            at, marks, contexts, begin, end = anchors(
+                text[start:stop], edge - start, edge + size - start, first - start, first - start + PART, length
             )
-            parts.append((at + start, marks, contexts))
-        at, marks, contexts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at, once = np.unique(at, return_index=True)  # windows of two parts can have one anchor
-        found.append((np.full(len(at), i), at, np.full(len(at), size), marks[once], contexts[once]))
+            parts.append((at + start, marks, contexts, begin + start, end + start))
+        at, marks, contexts, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # An anchor of windows of two parts has two contexts, told apart by their windows.
+        found.append((np.full(len(at), i), at, marks, contexts, begin, end))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """id, th, place (with the text's size in its low half), anchor, context."""
+    """id, th, place, anchor, context.
+
+    ``place`` holds where the first window starts and how many bytes all windows cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2):
-            of, at, size, marks, contexts = text_anchors(batch.column(2), length)
+            of, _, marks, contexts, begin, end = text_anchors(batch.column(2), length)
             of = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(at << 32 | size),
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(begin << 32 | (end - begin + length)),
                  pa.array(marks.view(np.int64)), pa.array(contexts.view(np.int64))],
                 names=["id", "th", "place", "anchor", "context"],
             )
@@ -113,21 +151,21 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("id", "th", "text").mapInArrow(run, "id long, th long, place long, anchor long, context long")
 
 
-def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffix array of strings that end at ``ends``, and ranks by their first 7, 14, ... symbols.
+def suffix_order(symbols: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Suffixes of strings in the order of their first ``depth`` symbols, and their ranks by
+    the first few, twice as many and so on.
 
-    ``symbols`` are bytes plus one, with a 0 after every string. Equal suffixes of
-    different strings are in the strings' order, as if each had an end sign of its own.
+    ``symbols`` are small numbers from 1, with a 0 after every string; ``last`` is where a
+    symbol's string has its 0. Suffixes that agree in ``depth`` symbols are in any order.
     """
-    n = len(symbols)
-    last = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))).astype(np.int64)  # own end sign's place
-    here = np.arange(n)
+    n, here = len(symbols), np.arange(len(symbols))
+    bits = int(symbols.max(initial=1)).bit_length()
+    known = min(63 // bits, depth)
     key = np.zeros(n, np.int64)
-    for i in range(7):
+    for i in range(known):
         place = here + i
-        inside = place <= last
-        key = key << 9 | np.where(inside, symbols[np.minimum(place, n - 1)], 0)
-    known, ranks = 7, {}
+        key = key << bits | np.where(place <= last, symbols[np.minimum(place, n - 1)], 0)
+    ranks = {}
     while True:
         order = np.argsort(key)
         sorted_ = key[order]
@@ -137,40 +175,41 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.
         rank[order] = np.cumsum(fresh)
         ranks[known] = rank
         if known >= depth or fresh.all():
-            break
+            return order, ranks
         place = here + known
         key = rank << 32 | np.where(place <= last, rank[np.minimum(place, n - 1)], 0)
         known *= 2
-    return np.argsort(rank << 32 | here), ranks
 
 
-def repeated_starts(strings: list[bytes], length: int, begin: int = 112) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(strings: list[bytes], length: int, begin: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(string number, offset) rows in groups of equal ``length``-byte strings.
 
-    Returns places in the joined strings, grouped, and where each group starts.
+    Returns places in the joined strings, grouped, and where each group starts. Intervals
+    start with common prefixes of ``begin`` symbols or fewer, as sorting has found them.
     """
     flat = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes + 1) - 1
+    used = np.zeros(256, np.int64)
+    used[np.unique(flat)] = 1
+    code = np.cumsum(used) * used
     symbols = np.zeros(len(flat) + len(strings), np.int64)
-    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(strings)), sizes)] = flat.astype(np.int64) + 1
-    order, ranks = suffix_order(symbols, ends, int(sizes.max(initial=0)) + 1)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(strings)), sizes)] = code[flat]
+    last = np.repeat(ends, sizes + 1)
+    order, ranks = suffix_order(symbols, last, length)
     n = len(symbols)
-    # The transform: the symbol before each suffix, and the row of the suffix it begins.
+    # The transform: the row of the suffix that begins with the symbol before each suffix.
     row_of = np.empty(n, np.int32)
     row_of[order] = np.arange(n, dtype=np.int32)
-    previous = np.where(order > 0, row_of[order - 1], -1)
-    before = np.where(order > 0, symbols[order - 1], 0)
-    previous[before == 0] = -1
-    initial = symbols[order]
-    # Intervals of suffixes with a common prefix of ``value`` symbols, none an end sign.
-    value = max((k for k in ranks if k <= min(begin, length)), default=0)
-    room = np.repeat(ends, sizes + 1)[order] - order
-    if value:
-        group = ranks[value][order]
-    else:
-        group, value = initial, 1
-    rows = np.flatnonzero(room >= value).astype(np.int32)
+    previous = np.where(order > 0, row_of[order - 1], -1).astype(np.int32)
+    previous[(order == 0) | (symbols[order - 1] == 0)] = -1
+    initial = symbols[order].astype(np.int16)
+    value = max((k for k in ranks if k < min(begin or length, length)), default=0)
+    group, value = (ranks[value][order], value) if value else (initial, 1)
+    # Rows whose string can still grow backwards to ``length`` symbols, none an end sign.
+    into = order - (last - np.repeat(sizes, sizes + 1))[order]
+    room = last[order] - order
+    rows = np.flatnonzero((room >= value) & (into >= length - value)).astype(np.int32)
     parent = group[rows]
     owner = np.full(n, -1, np.int32)
     while True:
@@ -274,9 +313,8 @@ def repeats(
     found = _anchor_rows(rows, length)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     again = durable(found.join(often, "anchor"))
-    place, size = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF)
-    low = F.greatest(F.lit(0).cast("long"), place - reach).alias("low")
-    high = F.least(size, place + length).alias("high")
+    begin = F.shiftright("place", 32)
+    low, high = begin.alias("low"), (begin + F.col("place").bitwiseAND(0xFFFFFFFF)).alias("high")
 
     # Every different context of an anchor, once, with one of its places.
     kinds = again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "place")).alias("at"))
@@ -284,30 +322,35 @@ def repeats(
     whole = again.join(kinds.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("id", "th", low, high)
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     differing = kinds.join(several, "anchor").select(
-        "anchor", "id", "th", low, high, (F.col("n") == 1).alias("once"), (F.col("kinds") > contexts).alias("wide")
+        "id", "th", F.struct("anchor", "place", (F.col("n") == 1).alias("once"), (F.col("kinds") > contexts).alias("wide")).alias("w")
     )
 
     # The texts are dealt by their row once, for cutting the contexts out and for the end.
     dealt = rows.repartition("id", "th")
-    wanted = F.collect_list(F.struct("anchor", "low", "high", "once", "wide")).alias("wanted")
-    cut = dealt.select("id", "th", "text").join(differing.groupBy("id", "th").agg(wanted), ["id", "th"])
+    wanted = differing.groupBy("id", "th").agg(F.collect_list("w").alias("wanted"))
+    # All columns, so that both uses share one shuffle.
+    cut = dealt.join(wanted, ["id", "th"]).select(*rows.columns, "wanted")
 
     def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 2):
-            out: dict[str, list] = {n: [] for n in ("anchor", "id", "th", "low", "once", "wide", "bytes")}
-            for i, (id_, th, text_) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
-                raw = text_.encode()
-                for w in batch.column(3)[i].as_py():
-                    out["anchor"].append(w["anchor"])
-                    out["id"].append(id_)
-                    out["th"].append(th)
-                    out["low"].append(w["low"])
-                    out["once"].append(w["once"])
-                    out["wide"].append(w["wide"])
-                    out["bytes"].append(raw[w["low"] : w["high"]])
-            kinds_ = (pa.int64(),) * 4 + (pa.bool_(),) * 2 + (pa.binary(),)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds_, strict=True)], names=list(out))
-
+        kinds_ = {"anchor": pa.int64(), "id": pa.int64(), "th": pa.int64(), "low": pa.int64(),
+                  "once": pa.bool_(), "wide": pa.bool_(), "bytes": pa.binary()}
+        for batch in chunks(batches, batch_text):
+            out: dict[str, list] = {n: [] for n in kinds_}
+            for i in range(batch.num_rows):
+                wanted = batch.column("wanted")[i].values
+                place = wanted.field("place").to_numpy(zero_copy_only=False)
+                lows = (place >> 32).tolist()
+                highs = ((place >> 32) + (place & 0xFFFFFFFF)).tolist()
+                raw = batch.column(batch_text)[i].as_buffer().to_pybytes()
+                out["low"] += lows
+                out["bytes"] += [raw[a:b] for a, b in zip(lows, highs, strict=True)]
+                for n in ("anchor", "once", "wide"):
+                    out[n] += wanted.field(n).to_pylist()
+                for n in ("id", "th"):
+                    out[n] += [batch.column(n)[i].as_py()] * len(lows)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds_.items()], names=list(kinds_))
+
+    batch_text = rows.columns.index("text")
     texts = cut.mapInArrow(contexts_of, "anchor long, id long, th long, low long, once boolean, wide boolean, bytes binary")
 
     def by_transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

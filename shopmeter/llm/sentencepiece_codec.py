@@ -21,7 +21,7 @@ from shopmeter.llm.common import chunks
 BLANK = "▁"
 NO_PAIR = np.int32(2**31 - 1)
 #: Words a worker remembers, and the longest word it does.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 150_000, 64
 #: Longer texts are taken in parts, cut at a single blank between two words.
 PART_CHARS = 2_000_000
 

@@ -25,8 +25,8 @@ from shopmeter.llm.common import chunks
 FREQUENT, FREQUENT_CHARS, PROPOSED = 32_768, 32, 4_096
 #: Pre-tokens a task counts at once; beyond, its rarest half starts again from nothing.
 #: The table only saves work: what it lacks, or counts too low, is encoded by the library.
-COUNTED = 400_000
-CACHED = 500_000
+COUNTED = 200_000
+CACHED = 200_000
 #: Longer texts are taken in parts, cut where a pre-token is sure to begin.
 PART_CHARS = 2_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")

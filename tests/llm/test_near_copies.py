@@ -84,19 +84,20 @@ def test_signatures_estimate_resemblance():
         a = draw.choice(pool, 400, replace=False)
         b = np.concatenate([a[:355], draw.choice(pool, 45)])
         hashes, ends = sets(pa.array([" ".join(a), " ".join(b)]), 1)
-        one, two = signatures(hashes, ends, 64)
+        one, two = signatures(hashes, ends, 40, 3)
         real = len(set(a) & set(b)) / len(set(a) | set(b))
-        shares.append((one == two).mean() - real)
-    assert abs(np.mean(shares)) < 0.02 and np.std(shares) < 0.08
+        shares.append((one == two).mean() - real**3)
+    assert abs(np.mean(shares)) < 0.04 and np.std(shares) < 0.12
 
 
-def test_threshold_of_agreement():
+@pytest.mark.parametrize(("coordinates", "together"), [(64, 1), (40, 3)])
+def test_threshold_of_agreement(coordinates, together):
     from math import comb
 
-    k = least_agreement(80, 64, 1e-6)
-    below = [comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(64)]
+    k, p = least_agreement(80, coordinates, 1e-6, together), 0.8**together
+    below = [comb(coordinates, i) * p**i * (1 - p) ** (coordinates - i) for i in range(coordinates)]
     assert sum(below[:k]) <= 1e-6 < sum(below[: k + 1])
-    assert least_agreement(100, 64, 1e-6) == 64
+    assert least_agreement(100, coordinates, 1e-6, together) == coordinates
 
 
 def test_components_by_brute_force(spark):

@@ -86,26 +86,28 @@ def test_small_blocks_wide_anchors_and_parts(spark, monkeypatch):
     texts = passages(3)
     check(spark, texts, contexts=1)  # every anchor goes by digests
     check(spark, texts, contexts=4)
-    assert module.text_anchors.__defaults__
+    check_parts(texts)
     monkeypatch.setattr(module, "PART", 300)
     check_parts(texts)
 
 
 def check_parts(texts):
-    """Anchors of texts in parts are those of whole texts."""
+    """Texts in parts have the anchors of whole texts, and every window has one."""
     import pyarrow as pa
 
     from shopmeter.llm.repeats import anchors, text_anchors
 
-    of, at, size, marks, contexts = text_anchors(pa.array(texts, pa.string()))
-    found = {}
-    for i, *rest in zip(of.tolist(), at.tolist(), size.tolist(), marks.tolist(), contexts.tolist(), strict=True):
-        found.setdefault(i, []).append(tuple(rest))
+    of, at, marks, _, first, last = text_anchors(pa.array(texts, pa.string()))
+    found, windows = {}, {}
+    for i, p, m, a, b in zip(of.tolist(), at.tolist(), marks.tolist(), first.tolist(), last.tolist(), strict=True):
+        found.setdefault(i, set()).add((p, m))
+        windows.setdefault(i, []).extend(range(a, b + 1))
     for i, t in enumerate(texts):
         raw = np.frombuffer((t or "").encode(), np.uint8)
         low, high = np.zeros(len(raw), np.int64), np.full(len(raw), len(raw))
-        a, m, c = anchors(raw, low, high, 0, len(raw))
-        assert found.get(i, []) == [(x, len(raw), y, z) for x, y, z in zip(a.tolist(), m.tolist(), c.tolist(), strict=True)]
+        a, m, *_ = anchors(raw, low, high, 0, len(raw))
+        assert found.get(i, set()) == set(zip(a.tolist(), m.tolist(), strict=True))
+        assert sorted(windows.get(i, [])) == list(range(len(raw) - 199))
 
 
 def test_other_lengths(spark):
