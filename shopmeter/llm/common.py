@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a longest run of characters other than blanks and ASCII line characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of about so many bytes are worked on at once inside a task.
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 256_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

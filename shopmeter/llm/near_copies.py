@@ -187,7 +187,8 @@ def near_copies(
 
     posts = classes.select("key", F.posexplode("signature").alias("at", "value"))
     counts = posts.groupBy("at", "value").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = posts.join(counts, ["at", "value"])
+    # Written first: a join of two plain shuffles can split a value that many rows have.
+    shared = posts.join(durable(counts), ["at", "value"])
     # A class's rarest postings come first; those of its own only, which no join can
     # meet, are the rarest of all and take up places of the prefix.
     ordered = F.sort_array(F.collect_list(F.struct("often", "at", "value")))

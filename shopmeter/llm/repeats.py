@@ -312,7 +312,8 @@ def repeats(
     )
     found = _anchor_rows(rows, length)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    again = durable(found.join(often, "anchor"))
+    # Written first: a join of two plain shuffles can split an anchor that many rows have.
+    again = durable(found.join(durable(often), "anchor"))
     begin = F.shiftright("place", 32)
     low, high = begin.alias("low"), (begin + F.col("place").bitwiseAND(0xFFFFFFFF)).alias("high")
 
