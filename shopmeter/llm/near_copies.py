@@ -167,7 +167,8 @@ def near_copies(
 
     Texts are linked whose sets of lower-cased word shingles share at least ``percent``
     hundredths of their union; ``component`` is the least key reachable over links, and
-    ``kept`` says whether the row has it. A text with fewer words than a shingle has one
+    ``kept`` says whether the row has it. Rows that share a key count as copies of one
+    document. A text with fewer words than a shingle has one
     shingle, all of them; texts without words, empty and null ones are linked with nothing.
     Rows with a null key take no part in links and are kept, with a null component.
     Repeated rows share their component and are all kept or not. A pair of exactly
@@ -208,7 +209,8 @@ def near_copies(
     # Lists that hold several components: their classes against those of the others that are
     # neither much smaller nor much larger. Sizes fall into classes of ratio 100 / percent, so
     # sets similar enough are of one class or of neighbouring ones.
-    size = F.floor(F.log("n") / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n")
+    # (The small addend keeps whole powers of the ratio from falling short by rounding.)
+    size = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
     sized = classes.select("key", size.alias("size"))
     member = prefix.join(found.withColumnRenamed("node", "key"), "key", "left")
     member = member.withColumn("component", F.coalesce("component", "key"))
