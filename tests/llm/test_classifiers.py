@@ -84,3 +84,33 @@ def test_sample_is_bounded_and_weighs_classes(spark):
     by = {y: [r.weight for r in rows if r.label == y] for y in (0, 1)}
     assert len(by[0]) == 30 and len(by[1]) == 50
     assert sum(by[0]) == pytest.approx(30) and sum(by[1]) == pytest.approx(270)
+
+
+def test_toxic_words_of_any_spelling_and_length_enter_the_list(spark):
+    # With digits and signs inside, of two letters, and in text without blanks.
+    common = "".join(chr(0x4E00 + i) for i in range(200))
+    bad = ["l0s3r99", "tr@shy", "욕설", "zornig"]
+    rows = []
+    for i in range(400):
+        toxic = i % 2
+        text = " ".join(f"w{(i * 7 + j) % 50}ord" for j in range(30)) + " " + common[i % 100 : i % 100 + 80]
+        if toxic:
+            text += f" {bad[i // 2 % 4]} " + common[:40] + "毒毒罵罵毒毒" + common[40:60]
+        rows.append((text, toxic))
+    words = toxicity.vocabulary(spark.createDataFrame(rows, "text string, label int"), {0: 200, 1: 200})
+    assert {f" {word} " for word in bad} <= set(words) and any("毒毒罵罵" in word for word in words)
+    assert max(map(len, words)) <= toxicity.LONGEST_WORD + 2
+
+
+def test_list_has_no_fixed_size():
+    words = [f" word{i:04d} " for i in range(2_000)]
+    tried = toxicity.endings(words)
+    assert all(w.encode() in tried[0] for w in words) and len(tried[0]) == 20_000 and tried[0].endswith(words[0].encode())
+    assert len(tried[1]) == 10_000 and toxicity.endings([]) == [b" " * toxicity.LEAST_BYTES]
+
+
+def test_longest_list_that_is_not_clearly_worse_is_taken():
+    draw = np.random.default_rng(3)
+    y = (np.arange(400) % 2).astype(float)
+    good, noise = (y + draw.normal(0, 0.5, 400))[:, None], draw.normal(0, 1, (400, 1))
+    assert toxicity.longest([noise, good, good], y, np.ones(400)) == 1
