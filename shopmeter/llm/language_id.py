@@ -22,7 +22,7 @@ from shopmeter.llm.common import chunks
 
 #: N-gram lengths, slots of the filters (a power of two) and slots of one n-gram.
 GRAMS, SLOTS, PROBES = (2, 3, 4), 1 << 19, 4
-#: Learning reads about so many documents of each language, picked by their id's hash.
+#: Learning reads about so many documents of each language, picked by a hash of id and text.
 SAMPLE = 2_000
 #: An n-gram belongs to a language whose documents hold it at least so often as the
 #: language with the highest share does, and at least one in a thousand of them.
@@ -93,22 +93,35 @@ def positions(keys: np.ndarray) -> Iterator[np.ndarray]:
         at = at + step
 
 
+def drawn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame]:
+    """The languages of ``rows`` (key, text, lang) and about ``sample`` different rows of each, or all it has.
+
+    Rows are drawn by a hash of key and text, so that texts without a key have places of their
+    own; rows that repeat count once.
+    """
+    place = F.xxhash64("key", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(place, 0.02).alias("different"))
+    counts = {r.lang: r.n if r.n <= sample else min(r.n, r.different) for r in counts.collect()}
+    languages = sorted(counts)
+    if not languages:
+        return languages, rows.select("lang", "text")
+    share = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, sample / max(1, counts[name])))))
+    draw = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
+    return languages, rows.filter(draw < share[F.col("lang")]).dropDuplicates(["lang", "key", "text"]).select("lang", "text")
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filters:
     """The filters of all languages in ``lang``; rows without text or language teach nothing.
 
-    Of each language about ``sample`` documents are read, or all it has. The driver gets
+    Of each language about ``sample`` different documents are read, or all it has. The driver gets
     a row per language and per filled slot, ``SLOTS`` at most for 64 languages.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    languages, picked = drawn(rows, sample)
     if not languages:
         return Filters([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
     number = {name: i for i, name in enumerate(languages)}
-    share = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, sample / counts[name]))))
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

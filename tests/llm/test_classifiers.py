@@ -114,3 +114,13 @@ def test_longest_list_that_is_not_clearly_worse_is_taken():
     y = (np.arange(400) % 2).astype(float)
     good, noise = (y + draw.normal(0, 0.5, 400))[:, None], draw.normal(0, 1, (400, 1))
     assert toxicity.longest([noise, good, good], y, np.ones(400)) == 1
+
+
+def test_sample_holds_one_text_of_a_key(spark):
+    rows = [(1, f"text {i}") for i in range(300)] + [(2, "same")] * 300 + [(3, "once"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = labels(spark, [(i, i % 2, 0) for i in range(1, 5)])
+    got = {r.key: r.text for r in labelled.sample(docs, marked, "quality", 50).collect()}
+    again = labelled.sample(docs.repartition(7), marked, "quality", 50)
+    assert set(got) == {1, 2, 3} and got[1].startswith("text ") and again.count() == 3
+    assert {r.key: r.text for r in again.collect()} == got

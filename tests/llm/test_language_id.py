@@ -76,3 +76,12 @@ def test_order_of_rows_does_not_matter(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = learn(docs), learn(docs.orderBy(F.desc("doc_id")).repartition(5))
     assert (a.slots == b.slots).all()
+
+
+def test_rows_without_key_and_repeats_keep_to_the_sample(spark):
+    rows = [(None, f"text {i}", "aa") for i in range(3000)] + [(7, "same", "aa")] * 1500 + [(i, "few", "bb") for i in range(20)]
+    languages, picked = language_id.drawn(spark.createDataFrame(rows, "key long, text string, lang string"), 300)
+    got = [(r.lang, r.text) for r in picked.collect()]
+    texts = [text for lang, text in got if lang == "aa"]
+    assert languages == ["aa", "bb"] and got.count(("bb", "few")) == 20
+    assert 200 < len(texts) < 400 and len(set(texts)) == len(texts)
