@@ -133,7 +133,7 @@ class Heaps:
 
 def nearest(
     vectors: DataFrame, queries: Column, key: str = "vec_id", embedding: str = "embedding", k: int = 20,
-    block: int = BLOCK, query_block: int = QUERY_BLOCK,
+    block: int = BLOCK, query_block: int = QUERY_BLOCK, every_row: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest by inner product of every row for which ``queries`` holds.
 
@@ -142,7 +142,9 @@ def nearest(
     never near to itself or a row of its own key; vectors are compared with those of
     their own length only. Vectors that are null, empty, zero or hold a null or
     non-finite component take no part, nor do rows with a null key. Of the usable vectors
-    that share a key the least counts, as a query if any of its rows is one.
+    that share a key the least counts, as a query if any of its rows is one; with
+    ``every_row`` each of them is a candidate and, if its row asks, a query, and the ``k``
+    nearest of a key are those of all its queries, a near key once for every such pair.
     """
     rows = vectors.select(
         F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"),
@@ -153,8 +155,9 @@ def nearest(
     n_queries = max(1, -(-(counted.asked or 0) // query_block))
     slots = max(1, min(SLOTS, n_blocks))
 
-    # One vector per key: the least of those that share it.
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    if not every_row:
+        # One vector per key: the least of those that share it.
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
     candidates = rows.select("id", "v").repartition(n_blocks).mapInArrow(_pack(block), _BLOCK_SCHEMA)
     asking = rows.filter("asks").select("id", "v").repartition(n_queries).mapInArrow(_pack(query_block), _BLOCK_SCHEMA)
     payload = ["dim", "n", "ids", "vectors"]

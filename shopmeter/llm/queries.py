@@ -58,7 +58,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, every_row=True)
     return found.select("query_id", "rank", F.col("near_id").alias("vec_id"), "score")
 
 

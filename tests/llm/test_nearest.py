@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,13 @@ def test_empty_tables_and_no_queries(spark):
     assert nearest(empty, F.lit(True)).count() == 0
     one = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert nearest(one, F.lit(True)).count() == 0 and nearest(one, F.lit(False)).count() == 0
+
+
+def test_registered_query_keeps_every_vector_of_an_id(spark, agrees, tmp_path):
+    draw = random.Random(8)
+    rows = [(i % 45, [float(draw.randint(-9, 9)) for _ in range(4)]) for i in range(120)]
+    rows += rows[:50] + [(None, [1.0] * 4), (20, None), (40, [0.0] * 4), (20, [3.0, 4.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/parts")
+    table = pq.read_table(f"{tmp_path}/parts")
+    pq.write_table(table, f"{tmp_path}/embeddings.parquet")
+    assert len(agrees("op5_nearest", str(tmp_path), ["embeddings"])) == 3 * 20
