@@ -124,3 +124,24 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark):
     by = {r.doc_id: (r.n_shingles, r.component, r.kept) for r in got}
     assert by == {None: (1, None, True), 5: (1, 5, True), 3: (0, 3, True), 2: (0, 2, True), 8: (1, 8, True), 9: (1, 8, False)}
     assert near_copies(docs.limit(0)).count() == 0
+
+
+def test_an_id_with_two_texts_has_the_links_of_both(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (5, None), (8, a + " x"), (9, b + " y"), (3, "else where " * 9), (7, b), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component, r.kept) for r in near_copies(docs).collect()}
+    assert got == {(5, 5, True), (8, 5, False), (9, 5, False), (7, 5, False), (3, 3, True)}
+    assert near_copies(docs).count() == len(rows)
+
+
+def test_a_large_group_of_unlinked_edited_copies(spark):
+    """Copies edited apart: nearly no links, some between copies of copies, none lost."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    edit = lambda words, share, tag: [w if draw.random() > share else f"{tag}{draw.randrange(400)}" for w in words]
+    texts = [edit(base, draw.choice([0.01, 0.05, 0.06, 0.1]), "x") for _ in range(220)]
+    texts += [edit(draw.choice(texts), draw.choice([0.0, 0.01, 0.04]), "y") for _ in range(80)]
+    rows = [(i, " ".join(t[: draw.choice([120, 120, 110, 100])])) for i, t in enumerate(texts)]
+    for size in (2, 5):
+        assert found(spark, rows, shingle=size) == brute(rows, size)
