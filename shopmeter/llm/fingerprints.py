@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmeter.llm.common import chunks
 from shopmeter.llm.words import mix, shingles
+from shopmeter.session import durable
 
 SHINGLE, BINS, BITS = 5, 256, 4
 
@@ -85,6 +86,8 @@ _SCHEMA = (
     "n_chars long, edited_text string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
+#: Characters of a text that tell ranges apart, and rows looked at for each bound.
+PREFIX, LOOKED_AT = 200, 20
 #: Texts of about so many characters are fingerprinted at once.
 CHUNK_CHARS = 1_000_000
 
@@ -105,6 +108,34 @@ def _compare(keys: list, texts: list[str], kind: pa.DataType, key: str, settings
     )
 
 
+def _range_of(rows: DataFrame, ranges: int) -> Column:
+    """The number of the range that a row's (key, beginning of the text) falls in, ascending.
+
+    The bounds are picked once, by the driver, from a few rows for each; from then on a row's
+    range is a plain function of its values, however often a plan computes it.
+    """
+    place = F.struct("key", F.substring("text", 1, PREFIX).alias("begin"))
+    looked = rows.select(place.alias("p")).orderBy(F.rand(10)).limit(LOOKED_AT * ranges).orderBy("p")
+    found = [(r.p.key, r.p.begin) for r in looked.collect()]
+    bounds = list(dict.fromkeys(found[i * len(found) // ranges] for i in range(1, ranges))) if found else []
+    if not bounds:
+        return F.lit(0)
+    kind = rows.schema["key"].dataType.simpleString()
+    keys = F.array(*(F.lit(k).cast(kind) for k, _ in bounds))
+    begins = F.array(*(F.lit(b) for _, b in bounds))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        bound = F.struct(F.get(keys, middle).alias("key"), F.get(begins, middle).alias("begin"))
+        beyond = bound <= place
+        low = F.when((at["low"] < at["high"]) & beyond, middle + 1).otherwise(at["low"])
+        high = F.when((at["low"] < at["high"]) & ~beyond, middle).otherwise(at["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["low"]
+
+
 def fingerprint_neighbours(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bins: int = BINS, bits: int = BITS
 ) -> DataFrame:
@@ -116,18 +147,33 @@ def fingerprint_neighbours(
     text; both 0 to 1. A null text counts as empty. Rows with a null key come first;
     repeated rows follow one another. Alone in its table, a row is its own next.
 
-    The texts are dealt once, by ranges of keys, and sorted within each range; only a
-    range's last row needs the first row of the next one, which a small join brings.
+    The texts are dealt by ranges of key and text, so that rows of one key or none can lie in
+    several, and sorted within each range; only a range's last row needs the first row of the
+    next one, which a small join brings.
     """
     settings = {"shingle": shingle, "bins": bins, "bits": bits}
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    numbered = rows.withColumn("range", _range_of(rows, 2 * parts))
+    dealt = numbered.repartition(parts, "range").sortWithinPartitions("range", "key", "text")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+        """Pieces of one range each, and whether a piece goes on with the one before it."""
+        last = None
+        for batch in batches:
+            numbers = batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if high > low:
+                    yield numbers[low] == last, batch.slice(low, high - low)
+                    last = numbers[low]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, size = [], [], 0
-        for batch in chunks(batches, most=CHUNK_CHARS):
+        keys, texts = [], []
+        for goes_on, batch in runs(chunks(batches, most=CHUNK_CHARS)):
+            if not goes_on:
+                keys, texts = [], []
             kind_ = batch.column(0).type
             keys += batch.column(0).to_pylist()
             texts += batch.column(1).to_pylist()
@@ -136,33 +182,33 @@ def fingerprint_neighbours(
                 keys, texts = keys[-1:], texts[-1:]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(first: pa.RecordBatch, last: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [first.column(2), first.column(1), last.column(0), last.column(1)]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "first_text", "last_key", "last_text"])
+
         first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1)
-                last = batch.slice(batch.num_rows - 1, 1)
+        for goes_on, batch in runs(batches):
+            if not goes_on:
+                if first is not None:
+                    yield row(first, last)
+                first = batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1, 1)
         if first is not None:
-            yield pa.RecordBatch.from_arrays(
-                [first.column(0), first.column(1), last.column(0), last.column(1)],
-                names=["first_key", "first_text", "last_key", "last_text"],
-            )
+            yield row(first, last)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, text_, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield _compare([own], [text_, after], batch.column(0).type, key, settings)
 
-    schema = f"{key} {kind}, {_SCHEMA}"
-    ends = dealt.mapInArrow(edges, f"first_key {kind}, first_text string, last_key {kind}, last_text string")
-    # A row per range: its order needs no text.
-    order = Window.orderBy("first_key")
+    schema = f"`{key}` {kind}, {_SCHEMA}"
+    # A row per range, written: the texts are read once for it and once for all others.
+    ends = durable(dealt.mapInArrow(edges, f"range int, first_text string, last_key {kind}, last_text string"))
+    order = Window.orderBy("range")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.row_number().over(order) == F.count(F.lit(1)).over(everything)
-    chain = ends.select(
-        F.col("last_key").alias("own"),
-        F.when(last, F.first("first_key").over(everything)).otherwise(F.lead("first_key").over(order)).alias("after"),
-    )
-    tails = chain.join(ends.select("last_key", "last_text"), F.col("own").eqNullSafe(F.col("last_key")))
-    pairs = tails.join(ends.select("first_key", "first_text"), F.col("after").eqNullSafe(F.col("first_key")))
-    between = pairs.select("own", "last_text", "first_text").mapInArrow(across, schema)
+    after = F.coalesce(F.lead("range").over(order), F.first("range").over(everything))
+    chain = ends.select("range").select("range", after.alias("after"))
+    tails = chain.join(ends.select("range", "last_key", "last_text"), "range")
+    heads = ends.select(F.col("range").alias("after"), "first_text")
+    between = tails.join(heads, "after").select("last_key", "last_text", "first_text").mapInArrow(across, schema)
     return dealt.mapInArrow(within, schema).unionByName(between)

@@ -103,3 +103,19 @@ def test_nulls_repeats_long_texts_and_small_tables(spark):
     alone = fingerprint_neighbours(docs.filter("doc_id = 9")).collect()
     assert [(r.near_next, r.edited_text) for r in alone] == [(1.0, "tail eta")]
     assert fingerprint_neighbours(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_complete_whether_exchanges_are_reused_or_not(spark, reuse):
+    draw = random.Random(12)
+    key = lambda i: None if i % 3 == 0 else i // 4 if i % 5 else 77
+    rows = [(key(i), "same beginning " * (i % 4) + f"w{draw.randrange(900)} " * draw.randrange(6)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        got = sorted((repr(r.doc_id), r.n_chars, r.edited_text) for r in fingerprint_neighbours(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    following = ordered[1:] + ordered[:1]
+    assert got == sorted((repr(k), len(t), edited(t, f)) for (k, t), (_, f) in zip(ordered, following, strict=True))
