@@ -17,6 +17,8 @@ from shopmeter.session import durable
 
 #: The hash's bits, and those that one histogram tells apart.
 HASH_BITS, LEVEL_BITS = 48, 12
+#: Bits of the number by which rows of one hash, equal in key and text, are told apart.
+TURN_BITS = 36
 #: Up to so many sources, their thresholds (a few numbers each) travel to every task.
 BROADCAST_SOURCES = 50_000
 
@@ -26,10 +28,16 @@ def text_size(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(key: str = "doc_id", seed: str = "") -> Column:
-    """48 bits of the key's digest; rows of one key share it."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_hash(key: str = "doc_id", text: str = "text", seed: str = "") -> Column:
+    """48 bits of a digest of key and text: only rows equal in both share it."""
+    digest_of_text = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    named = F.concat(F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit("|"), digest_of_text)
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def row_turn() -> Column:
+    """36 bits that tell equal rows apart, by their place in the table."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TURN_BITS)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -63,26 +71,20 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
-def thresholds(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """Per source of ``rows`` (hash, size, source): its target, passes and hash threshold.
+_NAMES = ["source", "source_size", "target", "passes", "budget"]
 
-    ``passes`` rows are taken whole so many times; those with ``hash < threshold`` once
-    more. The threshold is the one whose words come nearest to the budget (the lower one
-    if two are as near), as far as rows of one hash, which go together, allow.
+
+def _narrowed(rows: DataFrame, state: DataFrame, column: str, bits: int, count: int) -> DataFrame:
+    """``state`` with the ``prefix`` of ``column`` at which each source's budget runs out.
+
+    ``below`` are the words before it, ``at`` those that share it. Every round cuts the bucket
+    that holds the end of the budget into finer ones.
     """
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sized = durable(targets(sizes, weights, most))
-    count = sized.count()
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = sized.withColumn("passes", passes.cast("long")).withColumn(
-        "budget", F.col("target") - F.col("passes") * F.col("source_size")
-    )
-    # prefix: the leading bits of the hash at which the budget runs out; below: words with less.
-    state = state.withColumns({"prefix": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
-    names, known = ["source", "source_size", "target", "passes", "budget"], 0
-    while known < HASH_BITS:
+    state = state.withColumns({"prefix": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
+    known = 0
+    while known < bits:
         known += LEVEL_BITS
-        bucket = F.shiftright("hash", HASH_BITS - known)
+        bucket = F.shiftright(column, bits - known)
         edge = state.select(F.col("source").alias("of"), F.col("prefix").alias("edge"))
         inside = rows.withColumn("bucket", bucket).join(
             _small(edge, count),
@@ -90,7 +92,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
         )
         histogram = inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         joined = histogram.withColumnRenamed("source", "of").join(
-            _small(state.select(*names, "below"), count), F.col("of").eqNullSafe(F.col("source"))
+            _small(state.select(*_NAMES, "below"), count), F.col("of").eqNullSafe(F.col("source"))
         )
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         summed = joined.withColumn("below", F.col("below") + F.coalesce(F.sum("words").over(run), F.lit(0)))
@@ -98,13 +100,36 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
         found = F.max(F.struct("bucket", "below", "words"))
         state = durable(
             summed.filter(F.col("below") <= F.col("budget"))
-            .groupBy(*names)
+            .groupBy(*_NAMES)
             .agg(found.alias("m"))
-            .select(*names, F.col("m.bucket").alias("prefix"), F.col("m.below").alias("below"), F.col("m.words").alias("at"))
+            .select(*_NAMES, F.col("m.bucket").alias("prefix"), F.col("m.below").alias("below"), F.col("m.words").alias("at"))
         )
+    return state
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """Per source of ``rows`` (hash, turn, size, source): its target, passes and thresholds.
+
+    ``passes`` rows are taken whole so many times; once more those with ``hash < threshold``
+    and, of the rows with that very hash, which are equal, those with ``turn < turns``. The
+    thresholds are the ones whose words come nearest to the budget (the lower if two are as near).
+    """
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sized = durable(targets(sizes, weights, most))
+    count = sized.count()
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    state = sized.withColumn("passes", passes.cast("long")).withColumn(
+        "budget", F.col("target") - F.col("passes") * F.col("source_size")
+    )
+    state = _narrowed(rows, state.withColumn("below", F.lit(0).cast("long")), "hash", HASH_BITS, count)
+    edge = state.select(F.col("source").alias("of"), F.col("prefix").alias("threshold"))
+    same = F.col("source").eqNullSafe(F.col("of"))
+    equal = rows.join(_small(edge, count), same & (F.col("hash") == F.col("threshold"))).drop("of", "threshold")
+    last = _narrowed(durable(equal), state.select(*_NAMES, "below"), "turn", TURN_BITS, count)
     nearer = 2 * (F.col("budget") - F.col("below")) > F.col("at")
-    threshold = F.col("prefix") + F.when(nearer, 1).otherwise(0)
-    return state.select("source", "source_size", "target", "passes", threshold.alias("threshold"))
+    turns = last.select(F.col("source").alias("of"), (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("turns"))
+    state = state.select("source", "source_size", "target", "passes", F.col("prefix").alias("threshold"))
+    return state.join(_small(turns, count), same).drop("of")
 
 
 def mix(
@@ -115,22 +140,26 @@ def mix(
 
     Returns all columns of ``docs`` in the struct ``row``, with ``size`` (words), ``source_size``, ``target`` (words wanted of the row's source)
     and ``times`` (0 to ``most``). Null texts have size 0; a null source is a source of its
-    own, the last; rows with one key, repeated or not, are taken together. The same rows
-    give the same mix, in any order and on any number of machines.
+    own, the last; rows that share a key, or have none, are taken each by its own text. Of rows
+    equal in key and text some can be taken once more than the others, told apart by their place
+    in the table: read ``docs`` from written data, not from a plan that deals rows anew. The same
+    rows give the same mix, in any order and on any number of machines.
     """
     keyed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        row_hash(key, seed).alias("hash"),
+        row_hash(key, text, seed).alias("hash"),
+        row_turn().alias("turn"),
         text_size(text).alias("size"),
-        F.col(source).alias("source"),
+        F.col(f"`{source}`").alias("source"),
     )
-    limits = thresholds(durable(keyed.select("hash", "size", "source")), weights, most)
+    limits = thresholds(durable(keyed.select("hash", "turn", "size", "source")), weights, most)
     return apply(keyed, limits)
 
 
 def apply(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """``rows`` (hash, size, source and any others) with their source's target and ``times``."""
+    """``rows`` (hash, turn, size, source and any others) with their source's target and ``times``."""
     limits = limits.withColumnRenamed("source", "of")
     joined = rows.join(_small(limits, limits.count()), F.col("source").eqNullSafe(F.col("of")))
-    times = F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return joined.withColumn("times", times).drop("of", "passes", "threshold", "hash")
+    equal = (F.col("hash") == F.col("threshold")) & (F.col("turn") < F.col("turns"))
+    times = F.col("passes") + F.when((F.col("hash") < F.col("threshold")) | equal, 1).otherwise(0)
+    return joined.withColumn("times", times).drop("of", "passes", "threshold", "turns", "hash", "turn")

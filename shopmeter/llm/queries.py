@@ -42,9 +42,9 @@ def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = durable(
-        docs.select("doc_id", "source", mixing.row_hash().alias("hash"), mixing.text_size().alias("size"))
+        docs.select("doc_id", "source", mixing.row_hash().alias("hash"), mixing.row_turn().alias("turn"), mixing.text_size().alias("size"))
     )
-    mixed = mixing.apply(rows, mixing.thresholds(rows.select("hash", "size", "source")))
+    mixed = mixing.apply(rows, mixing.thresholds(rows.select("hash", "turn", "size", "source")))
     taken = F.col("size") * F.col("times")
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
@@ -219,7 +219,8 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 WITH d AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h,
+         row_number() OVER (PARTITION BY source, h) AS j
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -240,16 +241,14 @@ WITH d AS (
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t
 ), r AS (
-  SELECT source, h, sum(size) AS words,
-         sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS below
-  FROM d GROUP BY source, h
+  SELECT source, h, j, size AS words, sum(size) OVER (PARTITION BY source ORDER BY h, j) - size AS below FROM d
 ), c AS (
-  SELECT p.source, max(r.h) AS last_h, arg_max(r.below, r.h) AS below, arg_max(r.words, r.h) AS words
+  SELECT p.source, max((r.h, r.j)) AS last, arg_max(r.below, (r.h, r.j)) AS below, arg_max(r.words, (r.h, r.j)) AS words
   FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source AND r.below <= p.target - p.passes * p.source_size
   GROUP BY p.source
 )
 SELECT d.doc_id, d.size, p.source_size, p.target,
-       (d.size * (p.passes + CASE WHEN d.h < c.last_h OR d.h = c.last_h
+       (d.size * (p.passes + CASE WHEN (d.h, d.j) < c.last OR (d.h, d.j) = c.last
           AND 2 * ((p.target - p.passes * p.source_size) - c.below) > c.words THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """,
