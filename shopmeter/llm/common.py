@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a longest run of characters other than blanks and ASCII line characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,3 +43,8 @@ def chunks(
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def schema_of(rows: DataFrame, first: str, added: str, last: str) -> T.StructType:
+    """Columns ``first`` and ``last`` of ``rows`` as they are, and those of ``added`` between them."""
+    return T.StructType([rows.schema[first], *T.StructType.fromDDL(added).fields, rows.schema[last]])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmeter.llm.common import chunks
+from shopmeter.llm.common import chunks, schema_of
 
 #: N-gram lengths, slots of the filters (a power of two) and slots of one n-gram.
 GRAMS, SLOTS, PROBES = (2, 3, 4), 1 << 19, 4
@@ -219,8 +219,7 @@ def identify(
 
     carried = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), carried.alias("carry"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = rows.mapInArrow(run, f"key {kinds['key']}, lang_pred string, score double, carry {kinds['carry']}")
+    found = rows.mapInArrow(run, schema_of(rows, "key", "lang_pred string, score double", "carry"))
     return found.select(
         F.col("key").alias(key), "lang_pred", "score", *(F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry))
     )

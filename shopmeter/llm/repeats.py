@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmeter.llm.common import CHUNK_BYTES, chunks
+from shopmeter.llm.common import CHUNK_BYTES, chunks, schema_of
 from shopmeter.llm.words import _BASE, _BYTE, _INVERSE, flat_bytes, mix, powers
 from shopmeter.session import durable
 
@@ -423,10 +423,8 @@ def repeats(
             )
 
     joined = dealt.join(packed, ["id", "th"], "left").select("key", "text", "spans", "carry")
-    kinds_ = {f.name: f.dataType.simpleString() for f in joined.schema}
-    cleared = joined.mapInArrow(
-        clear, f"key {kinds_['key']}, n_bytes long, spans array<struct<low:bigint,high:bigint>>, kept binary, carry {kinds_['carry']}"
-    )
+    added = "n_bytes long, spans array<struct<low:bigint,high:bigint>>, kept binary"
+    cleared = joined.mapInArrow(clear, schema_of(joined, "key", added, "carry"))
     return cleared.select(
         F.col("key").alias(key), "n_bytes", "spans", "kept", *(F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry))
     )

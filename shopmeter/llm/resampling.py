@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmeter.llm.checksums import crc32_joined, crc32_with_byte, crc32_words
-from shopmeter.llm.common import chunks
+from shopmeter.llm.common import chunks, schema_of
 from shopmeter.llm.words import flat_bytes
 from shopmeter.session import durable
 
@@ -123,8 +123,7 @@ def score(
             out = [batch.column(0), pa.array(words.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(weight), batch.column(2)]
             yield pa.RecordBatch.from_arrays(out, names=["key", "words", "n_features", "weight", "row"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"key long, words long, n_features long, weight long, row {kind}")
+    scored = rows.mapInArrow(run, schema_of(rows, "key", "words long, n_features long, weight long", "row"))
     return scored.select(
         F.col("key").alias(key), "words", "n_features", "weight", (F.col("weight") + gumbel("key", seed)).alias("score"),
         *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)),

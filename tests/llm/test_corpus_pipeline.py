@@ -104,3 +104,19 @@ def test_awkward_rows(spark, tmp_path):
     assert {r.doc_id for r in got} <= {None, 4, 5, 6, 7} and {4, 7} & {r.doc_id for r in got}
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_columns_with_names_that_stages_use(spark, tmp_path):
+    extra = "lang_pred score named_score kept spans n_bytes _turn turn row key hash size target times carry ids n_tokens id th a.b".split()
+    draw = random.Random(2)
+    rows = [(i, " ".join("".join(draw.choices("abcdefgh", k=4)) for _ in range(40)), "en", "s", 1, *extra) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = docs.collect()
+        assert got and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
+        assert all(list(r)[5:] == extra for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
