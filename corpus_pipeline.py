@@ -30,28 +30,31 @@ from shopmeter.session import shared_folder
 LEAST_LANGUAGE = 0.2
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row``: all columns travel in ``row``, so that no name of theirs can clash."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.learn(docs.filter(~held_out()))
-    columns = [c for c in docs.columns if c != "doc_id"]
-    named = language_id.identify(docs, filters, carry=tuple(columns))
-    fits = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("named_score") >= LEAST_LANGUAGE)
-    kept = named.toDF("doc_id", "lang_pred", "named_score", *columns).filter(fits)
-    return kept.select(*docs.columns)
+    named = language_id.identify(_carried(docs), filters, carry=("row",))
+    fits = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
+    return named.filter(fits).select("row.*")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = near_copies(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_turn", once).filter("_turn = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "row.source", "row.lang", "row.n_chars"))
+    kept = _carried(docs).join(first, "doc_id", "left_semi").withColumn("turn", once).filter("turn = 1")
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = repeats(docs, characters=True, carry=tuple(columns))
+    cut = repeats(_carried(docs), characters=True, carry=("row",))
     text = F.col("kept").cast("string")
-    cut = cut.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long"))
-    return cut.filter("n_bytes = 0 or n_chars > 0").select(*docs.columns)
+    left = cut.filter((F.col("n_bytes") == 0) | (F.length(text) > 0))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return left.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
