@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopmeter import journal
 from shopmeter.operators.metrics import (
     DAY_KEY,
     as_metrics_table,
@@ -85,6 +86,7 @@ def run_daily_metrics(
     mode: str = "reference",
     full_history: bool = False,
     both_feeds: bool = False,
+    table: str | None = None,
 ) -> bool:
     """Process the dates missing from the metrics table and upsert them into it.
 
@@ -93,8 +95,11 @@ def run_daily_metrics(
     keeps its date unpublished. A row that arrives for a date already published is
     not picked up again. ``both_feeds`` leaves dates for later that one feed lacks.
     ``full_history`` averages over all published rows instead of the four weeks
-    before the batch.
+    before the batch. Writes that were cut off, of any of the tables, are finished first.
+    ``table`` is the catalog's name of the metrics table, if any; the days written show there.
     """
+    for path in (traffic_path, sales_path, products_path, metrics_path):
+        journal.recover(spark, path)
     done = day_folders(spark, metrics_path, "date")
     days = new_days(spark, traffic_path, "date", done)
     sale_days = new_days(spark, sales_path, "sale_date", done)
@@ -109,7 +114,7 @@ def run_daily_metrics(
     recent = done if full_history else [d for d in done if start - HISTORY <= d < start]
     history = read_days(spark, metrics_path, TRAFFIC_METRICS, "date", recent)
     batch = daily_metrics(traffic, sales, products, history, max_visitors, mode)
-    upsert_metrics(batch, metrics_path)
+    upsert_metrics(batch, metrics_path, table)
     return True
 
 

@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopmeter import journal
 from shopmeter.schemas import PARTITION_COLUMN
+from shopmeter.sources.catalog import register_days
 
 
-def write_snapshot(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Replace a whole dataset (dimension snapshots)."""
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+def write_snapshot(df: DataFrame, path: str, compression: str = "zstd", table: str | None = None) -> None:
+    """Replace a whole dataset (dimension snapshots), which ``df`` may have been read from.
+
+    The new snapshot is written beside the old one and takes its place when it is complete, by
+    a journaled commit: until then the old one can be read, whatever fails. ``table`` is the
+    catalog's name of it, if any, whose readers then see the new files.
+    """
+    spark = df.sparkSession
+    commit = journal.begin(spark, path)
+    try:
+        df.write.option("compression", compression).parquet(journal.staged(commit))
+        journal.publish(spark, path, commit, [journal.WHOLE])
+    except Exception:
+        journal.abandon(spark, commit)
+        raise
+    if table:
+        spark.catalog.refreshTable(table)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -54,42 +69,43 @@ def replace_days(
     days: list[dt.date],
     compression: str = "zstd",
     order: tuple[str, ...] = ("store_id",),
+    table: str | None = None,
 ) -> None:
     """Replace the folders of ``days`` in a dataset partitioned by ``column``.
 
     ``df`` holds the complete rows of these days and may have been read from them: it is
     written to a folder beside the table first, its rows are counted there, and only then
-    are the day folders exchanged one by one. A failed write leaves the table as it was.
+    are the day folders exchanged, by a journaled commit. A failed write leaves the table as
+    it was; a driver killed in the midst of the exchange leaves one that the next call, or the next
+    daily job, finishes. ``table`` is the catalog's name of the dataset, if any: exactly
+    these days are registered there.
     """
-    spark, root = df.sparkSession, path.rstrip("/")
-    staged = f"{root}.staged-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    commit = journal.begin(spark, path)
     in_days = df.filter(F.col(column).isin(days))
     if not df.filter(~F.coalesce(F.col(column).isin(days), F.lit(False))).isEmpty():
         raise ValueError(f"rows of other days than {column} in {days}")
-    file = spark._jvm.org.apache.hadoop.fs.Path
-    store = file(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     try:
+        staged = journal.staged(commit)
         write_partitions(in_days, staged, column, compression, order)
         written, expected = spark.read.schema(df.schema).parquet(staged).count(), in_days.count()
         if written != expected:
             raise RuntimeError(f"{written} rows written of {expected}")
-        store.mkdirs(file(root))
-        for day in days:
-            name = f"{column}={day.isoformat()}"
-            new, old, kept = file(f"{staged}/{name}"), file(f"{root}/{name}"), file(f"{staged}/_old-{name}")
-            if not store.exists(new):
-                continue
-            if store.exists(old) and not store.rename(old, kept):
-                raise RuntimeError(f"{name} can't be replaced")
-            if not store.rename(new, old):
-                store.rename(kept, old)
-                raise RuntimeError(f"{name} can't be put in place")
-    finally:
-        store.delete(file(staged), True)
-
-
-def write_metrics(df: DataFrame, path: str, days: list[dt.date]) -> None:
-    replace_days(df, path, PARTITION_COLUMN["traffic_metrics"], days, compression="snappy")
+        found = set(journal.names(spark, staged))
+        changed = [day for day in days if f"{column}={day.isoformat()}" in found]
+        if changed:
+            journal.publish(spark, path, commit, [f"{column}={day.isoformat()}" for day in changed])
+        else:
+            journal.abandon(spark, commit)
+    except Exception:
+        journal.abandon(spark, commit)
+        raise
+    if table and changed:
+        register_days(spark, table, column, changed)
+
+
+def write_metrics(df: DataFrame, path: str, days: list[dt.date], table: str | None = None) -> None:
+    replace_days(df, path, PARTITION_COLUMN["traffic_metrics"], days, compression="snappy", table=table)
 
 
 def export_name(period: str, store_id: str | None = None, year: int | None = None,

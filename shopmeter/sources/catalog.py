@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 from shopmeter.schemas import PARTITION_COLUMN, TABLES
@@ -28,6 +31,17 @@ def create_external_tables(
     return names
 
 
+def register_days(spark: SparkSession, table: str, column: str, days: Iterable[dt.date]) -> None:
+    """Register some days of a table, new or written anew; no folder of it is listed."""
+    added = " ".join(f"PARTITION (`{column}` = DATE'{day.isoformat()}')" for day in days)
+    if added:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {added}")
+        spark.catalog.refreshTable(table)
+
+
 def refresh_partitions(spark: SparkSession, table: str) -> None:
-    """Register partition folders added since the table was declared."""
+    """Register partition folders that others added since the table was declared.
+
+    This lists the whole table; the sinks of this library register what they write themselves.
+    """
     spark.sql(f"MSCK REPAIR TABLE {table}")

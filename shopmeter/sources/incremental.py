@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopmeter import journal
 from shopmeter.schemas import parse_date
-from shopmeter.sources.tables import _names, day_folders, read_days, read_mixed
+from shopmeter.sources.tables import day_folders, read_days, read_mixed
 
 
 def processed_dates(metrics: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def read_unprocessed_files(
     The date comes from the file name; other files are ignored. However many files a day
     has, the driver keeps its date only and reads them by a pattern.
     """
-    found = (re.search(_FILE_DAY, name) for name in _names(spark, folder))
+    found = (re.search(_FILE_DAY, name) for name in journal.names(spark, folder))
     days = {match[1] for match in found if match} - {day.isoformat() for day in processed}
     patterns = [f"{folder.rstrip('/')}/*_{day}.parquet" for day in sorted(days)]
     return read_mixed(spark, patterns, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopmeter import journal
 from shopmeter.schemas import conform, parse_date
 
 PARTITIONED_FEEDS = ["sales", "retail_data"]
@@ -32,9 +33,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, **options:
     try:
         return read_dataset(spark, path, schema, **options)
     except AnalysisException as error:
-        if error.getCondition() in NOTHING_THERE:
-            return empty(spark, schema)
-        raise
+        if error.getCondition() not in NOTHING_THERE:
+            raise
+        # A snapshot is not in its place while a commit that was cut off holds it.
+        if journal.recover(spark, path):
+            return read_dataset(spark, path, schema, **options)
+        return empty(spark, schema)
 
 
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -127,7 +131,7 @@ def day_folders(spark: SparkSession, path: str, column: str) -> list[dt.date]:
     file of another name is an error, unless it is hidden (``_`` or ``.``).
     """
     days = []
-    for name in _names(spark, path):
+    for name in journal.names(spark, path):
         if name[:1] in "_.":
             continue
         if not name.startswith(f"{column}="):
@@ -138,16 +142,6 @@ def day_folders(spark: SparkSession, path: str, column: str) -> list[dt.date]:
     return sorted(set(days))
 
 
-def _names(spark: SparkSession, path: str) -> Iterator[str]:
-    """Names directly below a folder, one after the other."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if store.exists(folder):
-        entries = store.listStatusIterator(folder)
-        while entries.hasNext():
-            yield entries.next().getPath().getName()
-
-
 def read_days(
     spark: SparkSession, path: str, schema: T.StructType, column: str, days: Iterable[dt.date], all_columns: bool = False
 ) -> DataFrame:
@@ -214,9 +208,25 @@ def drop_error_rows(feed: DataFrame, keys: list[str]) -> DataFrame:
     return feed.filter(F.col("error").isNull()).dropna(subset=keys).drop("error")
 
 
+_CACHED: dict[tuple[str, str], tuple[str | None, DataFrame]] = {}
+
+
 def cached_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table kept in executor memory (spilling to disk) for a session of lookups."""
-    return read_table(spark, path, schema).cache()
+    """A table kept in executor memory (spilling to disk) for a session of lookups.
+
+    Ask for it at every lookup: the rows kept are used again until a sink of this library
+    commits to the table, from any session, and read anew then. Other writers go unnoticed.
+    """
+    root = path.rstrip("/")
+    key, now = (spark.sparkContext.applicationId, root), journal.version(spark, root)
+    kept = _CACHED.get(key)
+    if kept and kept[0] == now and kept[1].schema == schema:
+        return kept[1]
+    if kept:
+        kept[1].unpersist()
+        spark.catalog.refreshByPath(root)
+    _CACHED[key] = (now, read_table(spark, root, schema).cache())
+    return _CACHED[key][1]
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

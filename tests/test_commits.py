@@ -1,0 +1,218 @@
+"""Commits that are cut off at any step, snapshots, registered days and cached tables."""
+
+import datetime as dt
+import os
+
+import pytest
+
+from shopmeter import journal
+from shopmeter.plans import daily
+from shopmeter.schemas import PRODUCTS, RETAIL_DATA, TRAFFIC_METRICS
+from shopmeter.sinks import merges, upsert, writers
+from shopmeter.sources import catalog, tables
+from tests.conftest import records
+from tests.test_jobs import metric_rows, run, stored, write_feeds  # noqa: F401
+
+DAYS = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+
+
+class Killed(BaseException):
+    """The driver dies: no handler of errors runs."""
+
+
+@pytest.fixture
+def killed_at(monkeypatch):
+    """Let the driver die before or just after the n-th change of the store."""
+    real = {name: getattr(journal, name) for name in ("_move", "_delete", "_write")}
+
+    def arm(n, after):
+        left = [n]
+
+        def dying(name):
+            def step(*args):
+                left[0] -= 1
+                if left[0] == 0 and not after:
+                    raise Killed
+                real[name](*args)
+                if left[0] == 0:
+                    raise Killed
+
+            return step
+
+        for name in real:
+            monkeypatch.setattr(journal, name, dying(name))
+
+    def disarm():
+        for name, function in real.items():
+            monkeypatch.setattr(journal, name, function)
+
+    return arm, disarm
+
+
+def traffic(spark, days, visitors):
+    rows = [(s, f"Store {s}", 9, visitors, 1, d) for d in days for s in "ab"]
+    return spark.createDataFrame(rows, "store_id string, store_name string, hour int, visitors int, sales int, date date")
+
+
+def visitors(spark, path):
+    return {(r["date"], r["store_id"]): r["visitors"] for r in records(tables.read_table(spark, path, RETAIL_DATA), "date")}
+
+
+def everywhere(path):
+    """All day folders of a dataset, in place or kept by a commit."""
+    found = []
+    for top in (path, journal.commits_folder(path)):
+        for folder, _, files in os.walk(top):
+            if any(f.endswith(".parquet") for f in files):
+                found.append(os.path.basename(folder))
+    return found
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_a_killed_exchange_loses_no_day(spark, tmp_path, killed_at, after):
+    arm, disarm = killed_at
+    path = str(tmp_path / "feed")
+    writers.replace_days(traffic(spark, DAYS, 1), path, "date", DAYS)
+    old = visitors(spark, path)
+    new = {k: 2 if k[0] != "2024-01-03" else 1 for k in old}
+    outcomes, step = set(), 0
+    while True:
+        step += 1
+        arm(step, after)
+        try:
+            writers.replace_days(traffic(spark, DAYS[:2], 2), path, "date", DAYS[:2])
+            disarm()
+            break
+        except Killed:
+            disarm()
+        assert {f"date={d}" for d in DAYS} <= set(everywhere(path))
+        planned = journal.recover(spark, path)
+        found = visitors(spark, path)
+        assert found in (old, new) and (not planned or found == new), step
+        outcomes.add(found == new)
+        writers.replace_days(traffic(spark, DAYS, 1), path, "date", DAYS)
+        assert visitors(spark, path) == old
+    assert outcomes == {True, False} and step > 6
+    assert visitors(spark, path) == new
+
+
+def test_the_next_writer_and_the_daily_job_finish_a_commit(spark, tmp_path, killed_at, write_feeds):  # noqa: F811
+    arm, disarm = killed_at
+    paths, write = write_feeds
+    write(range(3))
+    assert run(spark, paths)
+    before = stored(spark, paths)
+    days = sorted(tables.day_folders(spark, paths["metrics"], "date"))
+    changed = tables.read_table(spark, paths["metrics"], TRAFFIC_METRICS)
+    arm(3, True)  # the plan is in place and the first day is out of it
+    with pytest.raises(Killed):
+        writers.write_metrics(changed, paths["metrics"], days)
+    disarm()
+    assert len(tables.day_folders(spark, paths["metrics"], "date")) == 2
+    write(range(4))
+    assert run(spark, paths)
+    assert stored(spark, paths)[:6] == before and len(stored(spark, paths)) == 8
+
+    path = str(tmp_path / "merged")
+    merges.write_merged_day(spark, traffic(spark, DAYS[:1], 1), path, RETAIL_DATA, "date", DAYS[0])
+    arm(3, True)
+    with pytest.raises(Killed):
+        merges.write_merged_day(spark, traffic(spark, DAYS[:1], 5), path, RETAIL_DATA, "date", DAYS[0])
+    disarm()
+    merges.write_merged_day(spark, traffic(spark, DAYS[:1], 7), path, RETAIL_DATA, "date", DAYS[0])
+    assert sorted(r["visitors"] for r in tables.read_table(spark, path, RETAIL_DATA).collect()) == [1, 1, 5, 5, 7, 7]
+
+
+def test_failed_writes_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "feed")
+    writers.replace_days(traffic(spark, DAYS, 1), path, "date", DAYS)
+    monkeypatch.setattr(writers, "write_partitions", lambda *_: (_ for _ in ()).throw(OSError("disk full")))
+    with pytest.raises(OSError, match="disk full"):
+        writers.replace_days(traffic(spark, DAYS, 2), path, "date", DAYS)
+    assert os.listdir(journal.commits_folder(path)) in (["version"], [".version.crc", "version"], ["version", ".version.crc"])
+    assert set(visitors(spark, path).values()) == {1}
+
+
+def test_staged_folders_of_a_dead_writer_go_when_they_are_old(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "feed")
+    left = f"{journal.commits_folder(path)}/dead/new"
+    os.makedirs(left)
+    assert not journal.recover(spark, path) and os.path.exists(left)
+    monkeypatch.setattr(journal, "STALE_HOURS", -1)
+    assert not journal.recover(spark, path) and not os.path.exists(left)
+
+
+def goods(spark, n):
+    rows = [(f"p{i}", f"Product {i}", "x", 2.0, 1.0) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, name string, category string, price double, cost double")
+
+
+def test_a_snapshot_is_readable_whatever_step_fails(spark, tmp_path, killed_at):
+    arm, disarm = killed_at
+    path, step, seen = str(tmp_path / "products"), 0, set()
+    writers.write_snapshot(goods(spark, 2), path)
+    while True:
+        step += 1
+        arm(step, step % 2 == 0)
+        try:
+            writers.write_snapshot(goods(spark, 5), path)
+            disarm()
+            break
+        except Killed:
+            disarm()
+        found = tables.read_table(spark, path, PRODUCTS).count()
+        assert found in (2, 5)
+        seen.add(found)
+        writers.write_snapshot(goods(spark, 2), path)
+        assert tables.read_table(spark, path, PRODUCTS).count() == 2
+    assert seen == {2, 5} and spark.read.parquet(path).count() == 5
+    failing = goods(spark, 3).selectExpr("id", "raise_error('half way') AS name")
+    with pytest.raises(Exception, match="half way"):
+        writers.write_snapshot(failing, path)
+    assert spark.read.parquet(path).count() == 5
+    own = tables.read_table(spark, path, PRODUCTS)
+    writers.write_snapshot(own.filter("id <> 'p0'"), path)
+    assert tables.read_table(spark, path, PRODUCTS).count() == 4
+
+
+def test_written_days_show_in_the_catalog_and_no_others_are_looked_for(spark, tmp_path):
+    path = str(tmp_path / "retail_data")
+    writers.replace_days(traffic(spark, DAYS[:2], 1), path, "date", DAYS[:2])
+    (name,) = catalog.create_external_tables(spark, {"retail_data": path}, "registered")
+    writers.replace_days(traffic(spark, DAYS[2:], 4), path, "date", DAYS[2:], table=name)
+    shown = [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+    assert shown == ["date=2024-01-03"]  # a listing would have found the other days
+    assert [r["visitors"] for r in spark.table(name).collect()] == [4, 4]
+    merges.write_merged_day(spark, traffic(spark, DAYS[2:], 6), path, RETAIL_DATA, "date", DAYS[2], name)
+    assert sorted(r["visitors"] for r in spark.table(name).collect()) == [4, 4, 6, 6]
+    catalog.refresh_partitions(spark, name)
+    assert spark.table(name).count() == 8
+
+
+def test_the_daily_job_registers_its_days(spark, write_feeds):  # noqa: F811
+    paths, write = write_feeds
+    write(range(2))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in TRAFFIC_METRICS.fields)
+    spark.sql(f"CREATE TABLE published ({columns}) USING parquet PARTITIONED BY (`date`) LOCATION '{paths['metrics']}'")
+    for days in (2, 3):
+        write(range(days))
+        assert daily.run_daily_metrics(
+            spark, paths["retail_data"], paths["sales"], paths["products"], paths["metrics"], table="published"
+        )
+        assert spark.table("published").count() == 2 * days
+
+
+def test_a_cached_table_shows_what_was_committed_since(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    upsert.upsert_metrics(metric_rows(spark, [("2023-11-01", "a", 1.0)]), path)
+    first = tables.cached_table(spark, path, TRAFFIC_METRICS)
+    assert first.count() == 1 and tables.cached_table(spark, path, TRAFFIC_METRICS) is first
+    upsert.upsert_metrics(metric_rows(spark, [("2023-11-01", "a", 5.0), ("2023-11-02", "a", 2.0)]), path)
+    again = tables.cached_table(spark, path + "/", TRAFFIC_METRICS)
+    assert sorted(r["total_visitors"] for r in again.collect()) == [2.0, 5.0]
+    assert again.storageLevel.useMemory
+    snapshot = str(tmp_path / "products")
+    writers.write_snapshot(goods(spark, 2), snapshot)
+    assert tables.cached_table(spark, snapshot, PRODUCTS).count() == 2
+    writers.write_snapshot(goods(spark, 3), snapshot)
+    assert tables.cached_table(spark, snapshot, PRODUCTS).count() == 3
