@@ -75,6 +75,11 @@ def names(spark: SparkSession, path: str) -> Iterator[str]:
             yield entries.next().getPath().getName()
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether there is anything of that name or pattern."""
+    return bool(store_of(spark, pattern).globStatus(_path(spark, pattern)))
+
+
 def commits_folder(path: str) -> str:
     """Where a dataset's commits are; Spark's readers pass over its name."""
     parent, _, name = path.rstrip("/").rpartition("/")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import json
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +18,7 @@ from pyspark.sql import types as T
 
 from shopmeter import journal
 from shopmeter.schemas import conform, parse_date
+from shopmeter.session import durable
 
 PARTITIONED_FEEDS = ["sales", "retail_data"]
 NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -48,7 +53,7 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType, **options
     except (PySparkException, Py4JJavaError) as error:
         if not _is_conflict(error):
             raise
-        return read_mixed(spark, _members(spark, [path], **options), schema, **{"basePath": path, **options})
+        return read_mixed(spark, [path], schema, **{"basePath": path, **options})
     return conform(found, schema)
 
 
@@ -66,10 +71,10 @@ def read_mixed(
     A count column is whole on one day and floating on a day with gaps when the
     writer infers types, and a file may lack a column that others have. The columns
     of all files are united from their footers in one distributed pass; a column is
-    null only in files without it. Spark can't unite columns of different types, so
-    paths are halved until each part agrees, and every part is read strictly. A file
-    without a readable footer is an error; with ``all_columns`` so is a column that
-    ``schema`` lacks.
+    null only in files without it. Spark can't unite columns of different types: a second
+    pass over the footers then groups the files by them, and there is one strict scan for each
+    set of types that disagree. A file without a readable footer is an error; with
+    ``all_columns`` so is a column that ``schema`` lacks.
     """
     frames = []
     for members, found in _agreeing(spark, paths, **options):
@@ -94,34 +99,97 @@ def _is_conflict(error: Exception) -> bool:
 
 
 def _agreeing(spark: SparkSession, paths: list[str], **options: str) -> Iterator[tuple[list[str], T.StructType]]:
-    """Parts of the paths with the columns of all their files; missing paths are left out."""
-    if not paths:
+    """Parts of the paths with the columns of all their files; missing paths are left out.
+
+    As many parts as there are sets of types that can't be united, in whatever order they come.
+    """
+    there = [path for path in paths if journal.matches(spark, path)]
+    if not there:
         return
-    reader = spark.read.options(mergeSchema="true", **options)
+    merged = spark.read.options(mergeSchema="true", **options)
     try:
-        yield paths, reader.parquet(*paths).schema
+        yield there, merged.parquet(*there).schema
         return
     except (PySparkException, Py4JJavaError) as error:
         condition = error.getCondition() if isinstance(error, AnalysisException) else None
-        if len(paths) == 1 and condition in NOTHING_THERE:
+        if condition == "UNABLE_TO_INFER_SCHEMA":
             # Files of no schema are broken; no file at all is no data.
-            if condition == "UNABLE_TO_INFER_SCHEMA" and not list_files(spark, paths, **options).isEmpty():
+            if not list_files(spark, there, **options).isEmpty():
                 raise
             return
-        if condition not in NOTHING_THERE and not _is_conflict(error):
+        if not _is_conflict(error):
             raise
-    if len(paths) == 1:
-        paths = _members(spark, paths, **options)
-        if len(paths) < 2:
-            raise ValueError(f"{paths} can't be read with one schema")
-    half = len(paths) // 2
-    yield from _agreeing(spark, paths[:half], **options)
-    yield from _agreeing(spark, paths[half:], **options)
-
-
-def _members(spark: SparkSession, paths: list[str], **options: str) -> list[str]:
-    """The files of one folder whose files disagree in types."""
-    return sorted(r[0] for r in list_files(spark, paths, **options).select("_metadata.file_path").collect())
+    for members in by_footer(spark, there, **options):
+        yield members, merged.parquet(*members).schema
+
+
+def by_footer(spark: SparkSession, paths: list[str], **options: str) -> list[list[str]]:
+    """The paths' folders, grouped so that no column has two types in a group.
+
+    One distributed pass reads every footer, in the tasks. The driver gets the different
+    schemas, each with the folders that hold it, and the files of those folders alone that hold
+    several. A file without a readable footer is an error.
+    """
+    listed = list_files(spark, paths, **options)
+    names = listed.select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("uri"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = names.repartition(tasks).withColumn("content", F.lit(None).cast("binary"))
+    try:
+        pa_fs.FileSystem.from_uri(names.first()["uri"])
+    except (pa.ArrowException, OSError, ValueError):
+        # A store that only Spark reaches: it hands over the files, footers and all.
+        files = listed.select(F.col("path").alias("file"), F.lit(None).cast("string").alias("uri"), "content")
+    footers = files.mapInArrow(_read_footers, "file string, columns string")
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    indexed = durable(footers.withColumn("folder", folder))
+    kinds = indexed.groupBy("folder").agg(F.collect_set("columns").alias("all"))
+    groups: list[tuple[dict[str, str], list[str]]] = []
+    mixed = []
+    for row in kinds.collect():
+        if len(row["all"]) == 1 or _united([json.loads(c) for c in row["all"]]) is not None:
+            _place(groups, [json.loads(c) for c in row["all"]], row["folder"])
+        else:
+            mixed.append(row["folder"])
+    if mixed:
+        for row in indexed.filter(F.col("folder").isin(mixed)).select("file", "columns").toLocalIterator():
+            _place(groups, [json.loads(row["columns"])], row["file"])
+    return [sorted(members) for _, members in groups]
+
+
+def _united(schemas: list[dict[str, str]]) -> dict[str, str] | None:
+    """The columns of several schemas in one; None if a column has two types."""
+    out: dict[str, str] = {}
+    for schema in schemas:
+        for column, kind in schema.items():
+            if out.setdefault(column, kind) != kind:
+                return None
+    return out
+
+
+def _place(groups: list[tuple[dict[str, str], list[str]]], schemas: list[dict[str, str]], member: str) -> None:
+    """Put a folder or file into the first group that it agrees with."""
+    for i, (known, members) in enumerate(groups):
+        united = _united([known, *schemas])
+        if united is not None:
+            members.append(member)
+            groups[i] = (united, members)
+            return
+    groups.append((_united(schemas) or {}, [member]))
+
+
+def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of every file, as text: their names and types."""
+    for batch in batches:
+        columns = []
+        for i, uri in enumerate(batch.column(1).to_pylist()):
+            if uri is None:
+                found = pq.read_schema(pa.BufferReader(batch.column(2)[i].as_buffer()))
+            else:
+                store, path = pa_fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as file:
+                    found = pq.read_schema(file)
+            columns.append(json.dumps({field.name: str(field.type) for field in found}, sort_keys=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns, pa.string())], names=["file", "columns"])
 
 
 def day_folders(spark: SparkSession, path: str, column: str) -> list[dt.date]:

@@ -1,0 +1,97 @@
+"""Reading days whose files differ in types: one scan for each set of types."""
+
+import datetime as dt
+
+import pandas as pd
+import pyarrow as pa
+import pytest
+
+from shopmeter.schemas import RETAIL_DATA
+from shopmeter.sources import incremental, tables
+from tests.conftest import records
+from tests.test_jobs import write_day
+
+FIRST = dt.date(2024, 2, 1)
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def days(n):
+    return [(FIRST + dt.timedelta(days=i)).isoformat() for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [2, 16])
+def test_alternating_days_take_two_scans(spark, tmp_path, n):
+    for i, day in enumerate(days(n)):
+        write_day(tmp_path, day, [i, None] if i % 2 else [i, i + 1])
+    found = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [])
+    assert scans(found) == 2
+    assert scans(tables.read_table(spark, str(tmp_path), RETAIL_DATA)) == 2
+    rows = [(r["date"], r["visitors"]) for r in records(found, "date", "hour")]
+    assert rows == [(d, v) for i, d in enumerate(days(n)) for v in ([i, None] if i % 2 else [i, i + 1])]
+
+
+def test_three_types_and_missing_columns_in_any_order(spark, tmp_path):
+    kinds = ["int64", "float64", "str", "int64", None, "float64", "str", "int64"]
+    for i, (day, kind) in enumerate(zip(days(8), kinds, strict=True)):
+        folder = tmp_path / f"date={day}"
+        folder.mkdir()
+        row = {"store_id": ["s"], "hour": [i], "date": [day]}
+        if kind:
+            row["visitors"] = pd.Series([i], dtype=kind)
+        pd.DataFrame(row).to_parquet(folder / "x.parquet")
+    found = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [])
+    assert scans(found) == 3  # the day without the column goes with any of the others
+    assert [r["visitors"] for r in records(found, "date")] == [0, 1, 2, 3, None, 5, 6, 7]
+
+
+def test_files_of_one_day_that_disagree(spark, tmp_path):
+    for i, day in enumerate(days(4)):
+        write_day(tmp_path, day, [1, 2], "a")
+        write_day(tmp_path, day, [3, None] if i == 2 else [3, 4], "b")
+    found = incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", [])
+    assert scans(found) == 2 and found.count() == 16
+    assert found.filter("visitors is null").count() == 1
+
+
+def test_agreeing_days_need_no_second_pass(spark, tmp_path, monkeypatch):
+    for day in days(3):
+        write_day(tmp_path, day, [1, 2])
+    monkeypatch.setattr(tables, "by_footer", lambda *_, **__: pytest.fail("footers were read again"))
+    assert incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []).count() == 6
+
+
+def test_broken_files_among_differing_ones_are_an_error(spark, tmp_path):
+    for i, day in enumerate(days(4)):
+        write_day(tmp_path, day, [1, None] if i % 2 else [1, 2])
+    (tmp_path / f"date={days(4)[3]}" / "bad.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        incremental.read_unprocessed(spark, str(tmp_path), RETAIL_DATA, "date", []).collect()
+
+
+def test_missing_and_empty_folders_are_left_out(spark, tmp_path):
+    write_day(tmp_path, days(1)[0], [1, 2])
+    (tmp_path / "date=2024-02-09").mkdir()
+    wanted = [FIRST, dt.date(2024, 2, 9), dt.date(2024, 2, 10)]
+    assert tables.read_days(spark, str(tmp_path), RETAIL_DATA, "date", wanted).count() == 2
+    assert tables.read_days(spark, str(tmp_path), RETAIL_DATA, "date", wanted[1:]).isEmpty()
+
+
+def test_stores_that_only_spark_reaches_and_names_with_blanks(spark, tmp_path, monkeypatch):
+    for name in ("plain", "with blanks & more"):
+        folder = tmp_path / name
+        folder.mkdir()
+        for i, day in enumerate(days(4)):
+            write_day(folder, day, [i, None] if i % 2 else [i, i + 1])
+            write_day(folder, day, [7] if i % 2 else [8.5, None][1:], "other")
+        found = tables.read_days(spark, str(folder), RETAIL_DATA, "date", map(dt.date.fromisoformat, days(4)))
+        assert found.count() == 12 and scans(found) <= 3
+
+    def unknown(uri):
+        raise pa.ArrowInvalid(uri)
+
+    monkeypatch.setattr(tables, "pa_fs", type("none", (), {"FileSystem": type("none", (), {"from_uri": staticmethod(unknown)})}))
+    again = tables.read_days(spark, str(tmp_path / "plain"), RETAIL_DATA, "date", map(dt.date.fromisoformat, days(4)))
+    assert again.count() == 12
