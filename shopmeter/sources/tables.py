@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from shopmeter import journal
 from shopmeter.schemas import conform, parse_date
 from shopmeter.session import durable
+from shopmeter.sources.arrays import array_elements
 
 PARTITIONED_FEEDS = ["sales", "retail_data"]
 NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -228,12 +229,11 @@ def read_json_feed(
     rows are read: no feed is taken for an empty one. Numbers may come as ``5.0`` or as
     text. A value that doesn't fit its column makes an error row, which names the column.
 
-    ``lines`` is the layout to use: a file of JSON lines is split between tasks. A whole
-    file that is one array is read by one task.
+    ``lines`` is the layout to use: JSON lines, or else files that are one array each. Both are
+    split between tasks; a file that is a single object is read by one task.
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in [*schema.fields, _ERROR, _BROKEN]])
-    reader = spark.read.schema(as_text).option("multiLine", str(not lines).lower())
-    found = reader.option("columnNameOfCorruptRecord", _BROKEN.name).json(path)
+    found = _json(spark, path, as_text, "false") if lines else _json_arrays(spark, path, as_text)
     broken = F.raise_error(F.concat(F.lit("no JSON: "), F.substring(_BROKEN.name, 1, 200)))
     misfit, columns = F.lit(None).cast("string"), []
     for field in schema.fields:
@@ -246,6 +246,22 @@ def read_json_feed(
     return found.select(*columns, error.alias("error"))
 
 
+def _json(spark: SparkSession, path: str | list[str], schema: T.StructType, whole: str) -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", whole)
+    return reader.option("columnNameOfCorruptRecord", _BROKEN.name).json(path)
+
+
+def _json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    elements, others = array_elements(spark, path)
+    options = {"columnNameOfCorruptRecord": _BROKEN.name}
+    parsed = elements.select("broken", F.from_json("value", schema, options).alias("o"))
+    names = [F.col(f"o.{f.name}").alias(f.name) for f in schema if f.name != _BROKEN.name]
+    found = parsed.select(*names, F.coalesce("broken", f"o.{_BROKEN.name}").alias(_BROKEN.name))
+    if others:
+        found = found.unionByName(_json(spark, others, schema, "true").select(*found.columns))
+    return found
+
+
 _ERROR = T.StructField("error", T.StringType())
 _BROKEN = T.StructField("_broken", T.StringType())
 
