@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shopmeter.functions.dates import is_weekend
 from shopmeter.functions.numbers import round_even, zero_sum
+from shopmeter.operators.skew import split_join
 from shopmeter.operators.traffic import MAX_VISITORS
 
 
@@ -158,7 +159,7 @@ def line_amount_errors(
         .when(~agrees, "other amount")
     )
     return (
-        sales.join(prices, "product_id", "left")
+        split_join(sales, prices, "product_id", "left")
         .withColumn("expected_amount", expected)
         .withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())

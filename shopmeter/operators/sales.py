@@ -11,17 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmeter.functions.numbers import PLACES, exact, exact_sum, round_even, zero_sum
+from shopmeter.functions.numbers import (
+    PLACES,
+    beside_cents,
+    cents,
+    exact,
+    from_cents,
+    money_sum,
+    round_even,
+    zero_sum,
+)
+from shopmeter.operators.skew import split_join
 
 DAY_KEY = ["date", "store_id"]
 
 
 def sales_with_cost(sales: DataFrame, products: DataFrame) -> DataFrame:
-    """Lines of known products with name, unit cost and line cost."""
+    """Lines of known products with name, unit cost and line cost.
+
+    Every line is joined; products that many lines share don't meet in one task.
+    """
     known = products.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("product_id"), "cost", "name"
     )
-    return sales.join(known, "product_id").withColumn(
+    return split_join(sales, known, "product_id").withColumn(
         "total_cost", F.col("quantity") * F.col("cost")
     )
 
@@ -32,7 +45,8 @@ def _by_product(sales: DataFrame) -> DataFrame:
         .groupBy(F.col("sale_date").alias("date"), "store_id", "product_id")
         .agg(
             zero_sum(F.col("quantity")).alias("quantity"),
-            F.coalesce(F.sum(exact(F.col("sale_amount"))), F.lit(0)).alias("amount"),
+            F.sum(cents(F.col("sale_amount"))).alias("cents"),
+            F.sum(beside_cents(F.col("sale_amount"))).alias("rest"),
         )
     )
 
@@ -71,7 +85,7 @@ def daily_sales(sales: DataFrame) -> DataFrame:
         .groupBy(F.col("sale_date").alias("date"), "store_id")
         .agg(
             zero_sum(F.col("quantity")).alias("total_quantity"),
-            exact_sum(F.col("sale_amount")).alias("total_revenue"),
+            money_sum(F.col("sale_amount")).alias("total_revenue"),
         )
     )
 
@@ -140,29 +154,21 @@ def sales_day(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Quantity, revenue, cost and best seller per (date, store) in one go.
 
     Same figures as ``daily_sales``, ``daily_cost`` and ``best_selling``. A
-    left join keeps unknown products in quantity and revenue only.
+    left join keeps unknown products in quantity and revenue only. The best seller's name is
+    looked up for the store-days, so that no name travels with the lines.
     """
-    sold = _by_product(sales).join(_catalogue(products), "product_id", "left")
-    top = F.struct(
-        (F.col("quantity") * F.col("label.copies")).alias("quantity"),
-        F.col("product_id"),
-        F.col("label.name").alias("name"),
+    catalogue = _catalogue(products)
+    sold = _by_product(sales).join(catalogue, "product_id", "left")
+    top = F.struct((F.col("quantity") * F.col("label.copies")).alias("quantity"), F.col("product_id"))
+    days = sold.groupBy(*DAY_KEY).agg(
+        F.sum("quantity").alias("total_quantity"),
+        from_cents(F.sum("cents"), F.sum("rest")).cast("double").alias("total_revenue"),
+        round_even(_cost()).alias("total_cost"),
+        F.max(F.when(F.col("label").isNotNull(), top))["product_id"].alias("best_selling_product_id"),
     )
-    cost = _cost()
-    return (
-        sold.groupBy(*DAY_KEY)
-        .agg(
-            F.sum("quantity").alias("total_quantity"),
-            F.sum("amount").cast("double").alias("total_revenue"),
-            round_even(cost).alias("total_cost"),
-            F.max(F.when(F.col("label").isNotNull(), top)).alias("top"),
-        )
-        .select(
-            *DAY_KEY,
-            "total_quantity",
-            "total_revenue",
-            "total_cost",
-            F.col("top.product_id").alias("best_selling_product_id"),
-            F.col("top.name").alias("best_selling_product_name"),
-        )
+    names = catalogue.select(
+        F.col("product_id").alias("best_selling_product_id"), F.col("label.name").alias("best_selling_product_name")
+    )
+    return days.join(names, "best_selling_product_id", "left").select(
+        *DAY_KEY, "total_quantity", "total_revenue", "total_cost", "best_selling_product_id", "best_selling_product_name"
     )

@@ -364,6 +364,11 @@ add("metrics_upsert",
 add("mixed_feed_read", "SELECT * EXCLUDE (sales), CASE WHEN hour >= 12 THEN sales END AS sales FROM traffic_v",
     TRAFFIC_COLUMNS)
 add("json_feed_read", "FROM traffic_v", TRAFFIC_COLUMNS)
+add("alternating_days_read", "FROM traffic_v", TRAFFIC_COLUMNS)
+add("json_array_read", "FROM traffic_v", TRAFFIC_COLUMNS)
+add("snapshot_replace", "FROM products_v", PRODUCT_COLUMNS)
+add("registered_days", "FROM traffic_v WHERE date IN (DATE '1998-02-24', DATE '1998-02-25')", TRAFFIC_COLUMNS)
+add("cached_day", "FROM traffic_v WHERE date = DATE '1998-02-25'", TRAFFIC_COLUMNS)
 add("stored_day_merge", "FROM traffic_v WHERE date = DATE '1998-02-25'", TRAFFIC_COLUMNS)
 
 # Calendar series

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from shopmeter.functions import dates
 from shopmeter.operators import kpi, lookups, metrics, quality, rollups, sales, themes, traffic
 from shopmeter.operators.themes import ANNUAL, DAILY, MONTHLY, QUARTERLY
-from shopmeter.plans import daily, reports
+from shopmeter.plans import daily, extract, reports
 from shopmeter.registry import views
-from shopmeter.schemas import RETAIL_DATA
+from shopmeter.schemas import PRODUCTS, RETAIL_DATA
 from shopmeter.session import shared_folder
 from shopmeter.sinks.merges import merge_days, write_merged_day
 from shopmeter.sinks.upsert import upsert
@@ -322,6 +322,62 @@ def json_feed_read(spark, sf_dir):
     return tables.drop_error_rows(tables.read_json_feed(spark, folder, RETAIL_DATA), ["store_id"])
 
 
+@query
+def alternating_days_read(spark, sf_dir):
+    """Stored traffic whose visitors are doubles on every other day."""
+    rows, folder = views.traffic(spark, sf_dir), _folder(spark)
+    odd = F.dayofyear("date") % 2 == 1
+    for part, kind in ((odd, "double"), (~odd, "long")):
+        days = rows.filter(part).withColumn("visitors", F.col("visitors").cast(kind))
+        days.repartition("date").write.mode("append").partitionBy("date").parquet(folder)
+    return incremental.read_unprocessed(spark, folder, RETAIL_DATA, "date", [])
+
+
+@query
+def json_array_read(spark, sf_dir):
+    """Traffic as JSON arrays, one file a store."""
+    rows, folder = views.traffic(spark, sf_dir), _folder(spark)
+    arrays = rows.groupBy("store_id").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.repartition("store_id").write.partitionBy("store_id").option("maxRecordsPerFile", 1).text(folder)
+    return tables.drop_error_rows(tables.read_json_feed(spark, f"{folder}/*", RETAIL_DATA, lines=False), ["store_id"])
+
+
+@query
+def snapshot_replace(spark, sf_dir):
+    """The product snapshot, extracted from a feed of half the products and then from all."""
+    goods, folder = views.products(spark, sf_dir), _folder(spark)
+    goods.filter(F.length("name") % 2 == 0).write.json(f"{folder}/first")
+    goods.write.json(f"{folder}/all")
+    for feed in ("first", "all"):
+        extract.extract_products(spark, f"{folder}/{feed}", f"{folder}/products")
+    return tables.read_dataset(spark, f"{folder}/products", PRODUCTS)
+
+
+@query
+def registered_days(spark, sf_dir):
+    """A table of the catalog over stored traffic: two days that the sink registered."""
+    days, folder = [dt.date(1998, 2, 24), dt.date(1998, 2, 25)], _folder(spark)
+    rows, name = views.traffic(spark, sf_dir), f"traffic_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RETAIL_DATA.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (`date`) LOCATION '{folder}'")
+    for day in days:
+        part = lookups.traffic_by_date(rows, day.isoformat())
+        write_merged_day(spark, part, folder, RETAIL_DATA, "date", day, name)
+    return spark.table(name)
+
+
+@query
+def cached_day(spark, sf_dir):
+    """A stored day asked for through the cache, before and after a later extract is merged."""
+    day, folder = dt.date(1998, 2, 25), _folder(spark)
+    rows = lookups.traffic_by_date(views.traffic(spark, sf_dir), day.isoformat())
+    for part in ("hour < 16", "hour >= 12"):
+        write_merged_day(spark, rows.filter(part), folder, RETAIL_DATA, "date", day)
+        found = tables.cached_table(spark, folder, RETAIL_DATA)
+        found.count()
+    return found
+
+
 @query
 def stored_day_merge(spark, sf_dir):
     """One stored day of traffic, merged with a later extract that overlaps it."""

@@ -139,3 +139,50 @@ def test_small_and_large_amounts_are_not_cut(frame):
     days = records(ops.daily_sales(lines), "store_id")
     assert [r["total_revenue"] for r in days] == [0.0004, 9.0e13]
     assert [(r["total_cost"], r["total_revenue"]) for r in records(ops.sales_day(lines, goods), "store_id")][0] == (40.0, 0.0004)
+
+
+def test_amounts_of_any_kind_add_up_exactly(frame):
+    from decimal import Decimal
+    from random import Random
+
+    draw = Random(3)
+    kinds = [lambda: draw.randrange(10**9) / 100, lambda: -draw.randrange(999) / 100, lambda: draw.random(), lambda: 0.29,
+             lambda: 1e8, lambda: 99999999.99, lambda: 1e14 + 0.125, lambda: float("nan"), lambda: None, lambda: -0.0, lambda: 1e-9]
+    lines = [("2023-12-01", draw.choice("ab"), draw.choice("pq"), 1, draw.choice(kinds)()) for _ in range(800)]
+    expected = {}
+    for _, store, _, _, amount in lines:
+        known = amount is not None and amount == amount
+        expected[store] = expected.get(store, 0) + (Decimal(repr(amount)) if known else 0)
+    found = frame(LINES, lines)
+    goods = frame(GOODS, [("p", "P", 1.0)])
+    for days in (ops.daily_sales(found), ops.sales_day(found, goods)):
+        assert {r["store_id"]: r["total_revenue"] for r in records(days, "store_id")} == {k: float(v) for k, v in expected.items()}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lines_of_a_hot_product_stay_spread(spark, how):
+    """A third of the lines on one product, no broadcast of the products, no adaptive splitting."""
+    from pyspark.sql import functions as F
+
+    from shopmeter.operators.skew import heavy_keys, split_join
+
+    lines = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("p"), F.col("id") % 40_000)).alias("k"), "id"
+    ).repartition(24)
+    goods = spark.range(40_000).select(F.concat(F.lit("p"), "id").alias("k"), F.col("id").alias("cost"))
+    goods = goods.filter("cost % 7 > 0").unionByName(spark.createDataFrame([("hot", 5)], "k string, cost long"))
+    expected = sorted((r.id, r.cost) for r in lines.join(goods, "k", how).collect())
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        assert heavy_keys(lines, "k") == ["hot"]
+        joined = split_join(lines, goods, "k", how)
+        assert sorted((r.id, r.cost) for r in joined.collect()) == expected
+        sizes = sorted(r["count"] for r in joined.filter("k is not null").groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "Union" not in split_join(lines, goods, "k", how)._jdf.queryExecution().optimizedPlan().toString()
