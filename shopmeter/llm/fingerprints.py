@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmeter.llm.common import chunks
 from shopmeter.llm.words import mix, shingles
-from shopmeter.session import durable
 
 SHINGLE, BINS, BITS = 5, 256, 4
 
@@ -108,18 +107,20 @@ def _compare(keys: list, texts: list[str], kind: pa.DataType, key: str, settings
     )
 
 
-def _range_of(rows: DataFrame, ranges: int) -> Column:
-    """The number of the range that a row's (key, beginning of the text) falls in, ascending.
+def _range_of(rows: DataFrame, ranges: int) -> tuple[Column, int]:
+    """The number of the range that a row's (key, beginning of the text) falls in, ascending, and how many there are.
 
     The bounds are picked once, by the driver, from a few rows for each; from then on a row's
-    range is a plain function of its values, however often a plan computes it.
+    range is a plain function of its values, however often a plan computes it. Every range
+    holds a row, the one that its lower bound was taken from, or the first one seen.
     """
     place = F.struct("key", F.substring("text", 1, PREFIX).alias("begin"))
     looked = rows.select(place.alias("p")).orderBy(F.rand(10)).limit(LOOKED_AT * ranges).orderBy("p")
     found = [(r.p.key, r.p.begin) for r in looked.collect()]
-    bounds = list(dict.fromkeys(found[i * len(found) // ranges] for i in range(1, ranges))) if found else []
+    picked = dict.fromkeys(found[i * len(found) // ranges] for i in range(1, ranges)) if found else {}
+    bounds = [bound for bound in picked if bound != found[0]]
     if not bounds:
-        return F.lit(0)
+        return F.lit(0), 1
     kind = rows.schema["key"].dataType.simpleString()
     keys = F.array(*(F.lit(k).cast(kind) for k, _ in bounds))
     begins = F.array(*(F.lit(b) for _, b in bounds))
@@ -133,7 +134,7 @@ def _range_of(rows: DataFrame, ranges: int) -> Column:
         return F.struct(low.alias("low"), high.alias("high"))
 
     start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["low"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["low"], len(bounds) + 1
 
 
 def fingerprint_neighbours(
@@ -149,13 +150,14 @@ def fingerprint_neighbours(
 
     The texts are dealt by ranges of key and text, so that rows of one key or none can lie in
     several, and sorted within each range; only a range's last row needs the first row of the
-    next one, which a small join brings.
+    next one. The texts are dealt out once and read twice.
     """
     settings = {"shingle": shingle, "bins": bins, "bits": bits}
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = rows.withColumn("range", _range_of(rows, 2 * parts))
+    number, ranges = _range_of(rows, 2 * parts)
+    numbered = rows.withColumn("range", number)
     dealt = numbered.repartition(parts, "range").sortWithinPartitions("range", "key", "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
@@ -182,33 +184,38 @@ def fingerprint_neighbours(
                 keys, texts = keys[-1:], texts[-1:]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(first: pa.RecordBatch, last: pa.RecordBatch) -> pa.RecordBatch:
-            columns = [first.column(2), first.column(1), last.column(0), last.column(1)]
-            return pa.RecordBatch.from_arrays(columns, names=["range", "first_text", "last_key", "last_text"])
+        def ends(first: pa.RecordBatch, last: pa.RecordBatch) -> pa.RecordBatch:
+            at = first.column(2)[0].as_py()
+            keys = pa.concat_arrays([last.column(0), pa.nulls(1, last.column(0).type)])
+            texts = pa.concat_arrays([last.column(1), first.column(1)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(at + 1) % ranges, at], pa.int32()), pa.array([0, 1], pa.int32()), keys, texts],
+                names=["seam", "side", "key", "text"],
+            )
 
         first = last = None
         for goes_on, batch in runs(batches):
             if not goes_on:
                 if first is not None:
-                    yield row(first, last)
+                    yield ends(first, last)
                 first = batch.slice(0, 1)
             last = batch.slice(batch.num_rows - 1, 1)
         if first is not None:
-            yield row(first, last)
+            yield ends(first, last)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for own, text_, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield _compare([own], [text_, after], batch.column(0).type, key, settings)
+            for seam, side, own, text_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if side == 0:
+                    before = (seam, own, text_)
+                elif before is None or before[0] != seam:
+                    raise RuntimeError("the rows changed while they were read")
+                else:
+                    yield _compare([before[1]], [before[2], text_], batch.column(2).type, key, settings)
 
     schema = f"`{key}` {kind}, {_SCHEMA}"
-    # A row per range, written: the texts are read once for it and once for all others.
-    ends = durable(dealt.mapInArrow(edges, f"range int, first_text string, last_key {kind}, last_text string"))
-    order = Window.orderBy("range")
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.coalesce(F.lead("range").over(order), F.first("range").over(everything))
-    chain = ends.select("range").select("range", after.alias("after"))
-    tails = chain.join(ends.select("range", "last_key", "last_text"), "range")
-    heads = ends.select(F.col("range").alias("after"), "first_text")
-    between = tails.join(heads, "after").select("last_key", "last_text", "first_text").mapInArrow(across, schema)
-    return dealt.mapInArrow(within, schema).unionByName(between)
+    # A range's last text and the next one's first meet at the seam between the two.
+    seams = dealt.mapInArrow(edges, f"seam int, side int, key {kind}, text string")
+    seams = seams.repartition("seam").sortWithinPartitions("seam", "side")
+    return dealt.mapInArrow(within, schema).unionByName(seams.mapInArrow(across, schema))
