@@ -124,3 +124,33 @@ def test_sample_holds_one_text_of_a_key(spark):
     again = labelled.sample(docs.repartition(7), marked, "quality", 50)
     assert set(got) == {1, 2, 3} and got[1].startswith("text ") and again.count() == 3
     assert {r.key: r.text for r in again.collect()} == got
+
+
+def test_toxicity_scores_by_plain_compression(spark):
+    """Window by window with the model's two dictionaries, one compression each."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    marked = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, marked)
+    some = docs.orderBy("doc_id").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é" * 700)], docs.schema))
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    tools = [toxicity._compressor(content) for content in (model.ordinary, model.toxic)]
+    for row in toxicity.score(some, model).collect():
+        raw, cuts, at = texts[row.doc_id].lower().encode(), [], 0
+        while at < len(raw):
+            stop = min(len(raw), at + 48)
+            if stop < len(raw):
+                blank = raw.find(b" ", stop, at + 256)
+                stop = blank if blank >= 0 else min(len(raw), at + 256)
+            cuts.append(raw[at:stop])
+            at = stop
+        gains = [len(tools[0].compress(c)) - len(tools[1].compress(c)) for c in cuts]
+        n = max(1, len(gains))
+        x = [math.log1p(sum(g >= least for g in gains)) for least in range(1, 7)]
+        x += [10 * sum(g >= 2 for g in gains) / n, math.log(n), 5 * min(2, max(-2, sum(max(g, -1) for g in gains) / n))]
+        z = sum(a * b for a, b in zip(x, model.weights[:-1], strict=True)) + model.weights[-1]
+        assert row.score == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, z)))), abs=1e-9)
+    assert isinstance(tools[0], zstandard.ZstdCompressor)
