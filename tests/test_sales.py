@@ -185,4 +185,6 @@ def test_lines_of_a_hot_product_stay_spread(spark, how):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
-    assert "Union" not in split_join(lines, goods, "k", how)._jdf.queryExecution().optimizedPlan().toString()
+    few = spark.range(40).select(F.concat(F.lit("p"), "id").alias("k"))
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in (split_join(lines, few, "k", how), joined)]
+    assert joins == [1, 2]
