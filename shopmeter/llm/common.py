@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,41 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder == 0, F.lit(False))
 
 
+#: What a Python worker keeps for the next task: the tables of one operator.
+_KEPT: dict[tuple[str, int], Any] = {}
+
+
+def kept(owner: str, key: int, make: Callable[[], Any]) -> Any:
+    """``make()``, kept by this worker until a task of another operator or key runs in it."""
+    if (owner, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner, key] = make()
+    return _KEPT[owner, key]
+
+
+def _release() -> None:
+    """Give memory that the worker no longer uses back to the machine; idle workers stay alive."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(
-    batches: Iterable[pa.RecordBatch], text: int = 1, most: int = CHUNK_BYTES
+    batches: Iterable[pa.RecordBatch], text: int = 1, most: int = CHUNK_BYTES, keeps: bool = False
 ) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes in column number ``text``.
 
-    Rows are never cut: a longer text is a slice of its own.
+    Rows are never cut: a longer text is a slice of its own. Unless the operator ``keeps`` tables
+    of its own, what another one left in this worker goes.
     """
+    if not keeps:
+        _KEPT.clear()
+    yield from _slices(batches, text, most)
+    _release()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmeter.llm.common import chunks
+from shopmeter.llm.common import chunks, kept
 
 BLANK = "▁"
 NO_PAIR = np.int32(2**31 - 1)
@@ -286,16 +286,6 @@ class Encoder:
         return ids, surface
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(model: bytes) -> Encoder:
-    if hash(model) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[hash(model)] = Encoder(model)
-    return _ENCODERS[hash(model)]
-
-
 def encode_decode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's text as token ids, and the ids decoded again.
 
@@ -311,8 +301,8 @@ def encode_decode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value)
-        for batch in chunks(batches):
+        encoder = kept("sentencepiece", hash(sent.value), lambda: Encoder(sent.value))
+        for batch in chunks(batches, keeps=True):
             split = [list(encoder.parts(t)) if t else [] for t in batch.column(1).to_pylist()]
             encoder.learn(set().union(*(part for parts in split for part in parts)))
             flat, sizes, texts = [], [], []
