@@ -26,16 +26,19 @@ FREQUENT, FREQUENT_CHARS, PROPOSED = 32_768, 32, 4_096
 #: Pre-tokens a task counts at once; beyond, its rarest half starts again from nothing.
 #: The table only saves work: what it lacks, or counts too low, is encoded by the library.
 COUNTED = 200_000
-CACHED = 200_000
+CACHED, CACHED_CHARS = 200_000, 8_000_000
 #: Longer texts are taken in parts, cut where a pre-token is sure to begin.
 PART_CHARS = 2_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters that the pattern below and the library's own sort alike (letters, numbers,
-#: blanks, others) whatever their versions of Unicode. Other texts go whole to the library.
+#: blanks, others) whatever their versions of Unicode. What stands between two blanks and holds
+#: another one is a unit of its own, and the library counts it as it counts whole texts.
 SETTLED = (
     "\\x00-\u0557\u0900-\u0bff\u0d00-\u208e\u20a0-\ua7cd\uac00-\ud7a3\uf900-\uffff\U0001f300-\U0001f6ff"
 )
 _UNSETTLED = re.compile(f"[^{SETTLED}]")
+#: A blank after anything else: no pre-token goes on across it, and none looks back over it.
+_EDGE = re.compile(r"(?<=\S)[ \t\n\r]")
 #: The pre-token pattern of byte-level BPE files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -65,33 +68,53 @@ class Counting:
         self.special = [t["content"] for t in content["added_tokens"]]
         if any(re.search(r"\s", t) for t in self.special):
             raise ValueError("special tokens with blanks")
+        if any(t.get("lstrip") or t.get("rstrip") for t in content["added_tokens"]):
+            raise ValueError("special tokens that take the blanks beside them")
+        self.unsettled = re.compile("|".join([f"[^{SETTLED}]", *map(re.escape, self.special)])).search
         self.split = regex.compile(PATTERN).findall
         self.table: dict[str, int] = {}
-        self.known: dict[str, int] = {}
-
-    def pre_tokens(self, text: str) -> list[str] | None:
-        """The text's pre-tokens, or None where the library has to take the text whole."""
-        if not text.isascii() and _UNSETTLED.search(text) or any(t in text for t in self.special):
-            return None
-        return self.split(text)
+        self.forget()
+
+    def units(self, text: str) -> list[str]:
+        """Strings whose token counts add up to the text's: its pre-tokens, but what holds an
+        unsettled character or a special token's string stays whole from edge to edge."""
+        if (text.isascii() or not _UNSETTLED.search(text)) and not any(t in text for t in self.special):
+            return self.split(text)
+        found, start = [], 0
+        while hit := self.unsettled(text, start):
+            first = hit.start()
+            while first > start and not _EDGE.match(text, first):
+                first -= 1
+            edge = _EDGE.search(text, hit.end())
+            end = edge.start() if edge else len(text)
+            found += self.split(text[start:first])
+            found.append(text[first:end])
+            start = end
+        return found + self.split(text[start:])
 
     def use(self, words: list[str], lengths: np.ndarray) -> None:
         self.table = dict(zip(words, lengths.tolist(), strict=True))
-        self.known = dict(self.table)
-
-    def lengths(self, words: list[str]) -> list[int]:
-        return [len(e) for e in self.alone.encode_batch(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if fresh and len(self.known) > CACHED + FREQUENT:
-            self.known = dict(self.table)
-            fresh = [w for w in words if w not in self.known]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.chars = dict(self.table), 0
+
+    def lengths(self, units: list[str]) -> list[int]:
+        """Tokens of each: pre-tokens by the model alone, the others as whole texts."""
+        found = [len(e) for e in self.alone.encode_batch(units, add_special_tokens=False)]
+        whole = [i for i, unit in enumerate(units) if self.unsettled(unit)]
+        for i, e in zip(whole, self.whole.encode_batch([units[i] for i in whole], add_special_tokens=False), strict=True):
+            found[i] = len(e)
+        return found
+
+    def learn(self, units: set[str]) -> None:
+        fresh = [u for u in units if u not in self.known]
+        if fresh and (len(self.known) > CACHED + FREQUENT or self.chars > CACHED_CHARS):
+            self.forget()
+            fresh = [u for u in units if u not in self.known]
         if fresh:
             self.known.update(zip(fresh, self.lengths(fresh), strict=True))
-
-    def count_whole(self, text: str) -> int:
-        return len(self.whole.encode(text, add_special_tokens=False))
+            self.chars += sum(map(len, fresh))
 
 
 def parts(text: str) -> Iterator[str]:
@@ -128,7 +151,7 @@ def frequent_pre_tokens(docs: DataFrame, file: str, text: str = "text", size: in
         for batch in chunks(batches, 0):
             for whole in batch.column(0).to_pylist():
                 for part in parts(whole or ""):
-                    seen.update(counting.pre_tokens(part) or ())
+                    seen.update(counting.units(part))
             if len(seen) > COUNTED:
                 seen = Counter(dict(seen.most_common(COUNTED // 2)))
         short = ((w, n) for w, n in seen.items() if len(w) <= FREQUENT_CHARS)
@@ -161,14 +184,11 @@ def count_tokens(
         counting = _counting(sent.value)
         counting.use(*known.value)
         for batch in chunks(batches):
-            totals = []
             texts = [list(parts(t)) if t else [] for t in batch.column(1).to_pylist()]
-            split = [[counting.pre_tokens(part) for part in whole] for whole in texts]
-            counting.learn(set(chain.from_iterable(p for whole in split for p in whole if p is not None)))
+            split = [[counting.units(part) for part in whole] for whole in texts]
+            counting.learn(set(chain.from_iterable(chain.from_iterable(split))))
             get = counting.known.__getitem__
-            for whole, found in zip(texts, split, strict=True):
-                pairs = zip(whole, found, strict=True)
-                totals.append(sum(counting.count_whole(t) if p is None else sum(map(get, p)) for t, p in pairs))
+            totals = [sum(sum(map(get, units)) for units in whole) for whole in split]
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(totals, pa.int64())], names=[key, "n_bytes", "n_tokens"]

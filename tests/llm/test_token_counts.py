@@ -46,6 +46,32 @@ def test_equals_the_library(spark, library, monkeypatch):
         assert found == {i: expected(library, t) for i, t in enumerate(texts)}
 
 
+def test_only_what_holds_an_unsettled_character_is_counted_as_a_text(spark, library):
+    counting = token_counts.Counting(model_file(FILE).decode())
+    units = counting.units("the cat\n\n\u05e9\u05dc\u05d5\u05dd, cat  \u05e2 <|endoftext|>s  x<|endoftext|> a ")
+    assert units == ["the", " cat", "\n\n\u05e9\u05dc\u05d5\u05dd,", " cat", "  \u05e2", " <|endoftext|>s",
+                     "  x<|endoftext|>", " a", " "]
+    draw = random.Random(5)
+    bits = ["\u05e9\u05dc", "\u0c24", "\U0001f9e0", "cat", "'s", " ", "  ", "\n", "\t", "\x1c", "\xa0", "\r\n", "<|endoftext|>",
+            "<|", "1", "?", "\u3000", "\u0627"]
+    for _ in range(4000):
+        text = "".join(draw.choices(bits, k=draw.randrange(1, 25)))
+        units = counting.units(text)
+        assert "".join(units) == text
+        assert sum(counting.lengths(units)) == expected(library, text)[1]
+    docs = spark.createDataFrame([("\u05e9\u05dc\u05d5\u05dd cat " * 3,)], "text string")
+    assert frequent_pre_tokens(docs, model_file(FILE).decode(), size=2) == [" cat", " \u05e9\u05dc\u05d5\u05dd"]
+
+
+def test_a_full_cache_starts_again(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHED_CHARS", 10)
+    counting = token_counts.Counting(model_file(FILE).decode())
+    for units in ({" cat", "\u05e9" * 40}, {" cat", " dog"}, {" cat"}):
+        counting.learn(units)
+        assert all(counting.known[u] == expected(library, u)[1] for u in units)
+    assert "\u05e9" * 40 not in counting.known
+
+
 def test_whole_documents_whatever_the_table_holds(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wanted = {r.doc_id: expected(library, r.text) for r in docs.collect()}
