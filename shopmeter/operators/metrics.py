@@ -89,6 +89,17 @@ def moving_averages(
     return averaged.filter("is_new").select(*batch.columns, *AVERAGES.values())
 
 
+def last_rows(metrics: DataFrame, rows: int = 3) -> DataFrame:
+    """The latest rows of each store and weekday: all that :func:`moving_averages` looks back to.
+
+    Date, store and the averaged measures. Rows without a date or store are none. A group has a
+    row per week of ``metrics``, and Spark cuts it to ``rows`` before and after the shuffle.
+    """
+    keyed = with_weekday(metrics.select(*DAY_KEY, *AVERAGES).dropna(subset=DAY_KEY))
+    latest = Window.partitionBy("store_id", "day_of_week").orderBy(F.desc("date"))
+    return keyed.withColumn("place", F.row_number().over(latest)).filter(F.col("place") <= rows).drop("place", "day_of_week")
+
+
 def final_metrics(df: DataFrame) -> DataFrame:
     """Add the ratios, margins and variations against the averages.
 

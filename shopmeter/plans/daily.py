@@ -23,14 +23,12 @@ from shopmeter.operators.traffic import (
     has_whole_counts,
     traffic_day_parts,
 )
-from shopmeter.schemas import PRODUCTS, RETAIL_DATA, SALES, TRAFFIC_METRICS
+from shopmeter.plans import recent
+from shopmeter.schemas import PRODUCTS, RETAIL_DATA, SALES
 from shopmeter.sinks.upsert import upsert_metrics
 from shopmeter.sources.incremental import new_days
 from shopmeter.sources.tables import day_folders, read_days, read_table
 
-# The averages of a batch reach back so far.
-HISTORY = dt.timedelta(weeks=4)
-
 
 def daily_feeds(
     traffic: DataFrame,
@@ -95,7 +93,8 @@ def run_daily_metrics(
     keeps its date unpublished. A row that arrives for a date already published is
     not picked up again. ``both_feeds`` leaves dates for later that one feed lacks.
     ``full_history`` averages over all published rows instead of the four weeks
-    before the batch. Writes that were cut off, of any of the tables, are finished first.
+    before the batch. Both come from the rows kept beside the metrics table where the batch
+    follows the published dates (:mod:`shopmeter.plans.recent`). Writes that were cut off, of any of the tables, are finished first.
     ``table`` is the catalog's name of the metrics table, if any; the days written show there.
     """
     for path in (traffic_path, sales_path, products_path, metrics_path):
@@ -111,10 +110,11 @@ def run_daily_metrics(
     if traffic.isEmpty() or sales.isEmpty() or products.isEmpty():
         return False
     start = min([*days, *sale_days])
-    recent = done if full_history else [d for d in done if start - HISTORY <= d < start]
-    history = read_days(spark, metrics_path, TRAFFIC_METRICS, "date", recent)
+    last = recent.following(spark, metrics_path, done, start, full_history)
+    history = recent.history(spark, metrics_path, done, start, last, full_history)
     batch = daily_metrics(traffic, sales, products, history, max_visitors, mode)
     upsert_metrics(batch, metrics_path, table)
+    recent.keep(spark, metrics_path, done, last, full_history)
     return True
 
 

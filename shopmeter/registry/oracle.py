@@ -336,6 +336,13 @@ add("daily_feeds_outer", "FROM day_v",
 add("moving_avg_4w", "FROM avg_v",
     "date:t store_id:s day_of_week:s avg_sales_last_4_weeks:d avg_visitors_last_4_weeks:d "
     "avg_revenue_last_4_weeks:d", SPLIT)
+add("moving_avg_kept", "FROM avg_v",
+    "date:t store_id:s day_of_week:s avg_sales_last_4_weeks:d avg_visitors_last_4_weeks:d "
+    "avg_revenue_last_4_weeks:d", SPLIT)
+add("metrics_last_rows",
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, dayname(date) ORDER BY date DESC) AS place "
+    "FROM metrics_v) WHERE place <= 3",
+    "date:t store_id:s total_transactions:i total_visitors:d total_revenue:d", METRICS)
 add("final_metrics", "FROM metrics_v",
     "date:t store_id:s conversion_rate:d avg_transaction_value:d revenue_per_visitor:d "
     "total_margin:d margin_per_visitor:d", METRICS)

@@ -221,6 +221,22 @@ def moving_avg_4w(spark, sf_dir):
     ).select("date", "store_id", "day_of_week", *metrics.AVERAGES.values())
 
 
+@query
+def moving_avg_kept(spark, sf_dir):
+    """The same averages from the last three rows of every store and weekday alone."""
+    new_traffic, new_sales, goods, published = views.split_batch(spark, sf_dir)
+    days = daily.daily_feeds(new_traffic, new_sales, goods)
+    last = metrics.last_rows(published)
+    return metrics.moving_averages(days, incremental.history_before(last, views.CUTOVER)).select(
+        "date", "store_id", "day_of_week", *metrics.AVERAGES.values()
+    )
+
+
+@query
+def metrics_last_rows(spark, sf_dir):
+    return metrics.last_rows(views.metrics(spark, sf_dir))
+
+
 @query
 def final_metrics(spark, sf_dir):
     days = daily.daily_feeds(

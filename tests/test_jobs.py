@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shopmeter.operators import lookups, quality
-from shopmeter.plans import daily, extract
+from shopmeter import journal
+from shopmeter.operators import lookups, metrics, quality
+from shopmeter.plans import daily, extract, recent
 from shopmeter.schemas import CLIENTS, PRODUCTS, RETAIL_DATA, SALES, STORES, TRAFFIC_METRICS
 from shopmeter.sinks import merges, upsert, writers
 from shopmeter.sources import catalog, incremental, tables
@@ -366,6 +367,78 @@ def test_full_history_reaches_beyond_four_weeks(spark, write_feeds, tmp_path):
     assert long["avg_visitors_last_4_weeks"] < long["total_visitors"]
 
 
+def test_a_following_batch_reads_the_kept_rows_only(spark, write_feeds):
+    paths, write = write_feeds
+    path = paths["metrics"]
+    for upto in (8, 10):
+        write(range(upto))
+        assert run(spark, paths)
+        done = tables.day_folders(spark, path, "date")
+        start = done[-1] + dt.timedelta(days=1)
+        last = recent.following(spark, path, done, start)
+        assert last.since is None
+        for full in (False, True):
+            kept = recent.history(spark, path, done, start, last, full)
+            read = recent.history(spark, path, done, start, None, full)
+            assert all("/_recent-metrics/" in file for file in kept.inputFiles())
+            assert not any("/_recent-metrics/" in file for file in read.inputFiles())
+            assert records(kept, "date", "store_id") == records(metrics.last_rows(read), "date", "store_id")
+    # Averages with and without them are the same, also where days are missing.
+    whole = dict(paths, metrics=path + "_whole")
+    write([15, 22, 29, 36])
+    assert run(spark, paths) and run(spark, whole)
+    assert stored(spark, paths) == stored(spark, whole)
+
+
+def test_kept_rows_of_another_state_of_the_table_are_not_used(spark, write_feeds, monkeypatch):
+    paths, write = write_feeds
+    path = paths["metrics"]
+
+    def usable(full=False):
+        done = tables.day_folders(spark, path, "date")
+        return recent.following(spark, path, done, done[-1] + dt.timedelta(days=1), full)
+
+    write([0, 1, *range(40, 44)])
+    assert run(spark, paths)
+    assert usable() and usable(full=True)
+    # A batch of earlier dates is averaged over the table, then the last four weeks are kept.
+    write([2])
+    done = tables.day_folders(spark, path, "date")
+    assert recent.following(spark, path, done, done[1] + dt.timedelta(days=1)) is None
+    assert run(spark, paths)
+    assert usable().since == dt.date.fromisoformat(stored(spark, paths)[-1]["date"]) - dt.timedelta(days=27)
+    assert usable(full=True) is None
+    # Another writer's commit, and a job killed before it kept its rows.
+    rows = tables.read_table(spark, path, TRAFFIC_METRICS)
+    upsert.upsert_metrics(rows.filter(F.col("date") == done[-1]), path)
+    assert usable() is None
+    write([44])
+    monkeypatch.setattr(recent, "keep", lambda *a: None)
+    assert run(spark, paths)
+    assert usable() is None
+    monkeypatch.undo()
+    write([45])
+    assert run(spark, paths)
+    assert usable()
+    # Days taken away from outside.
+    removed = f"{path}/date={tables.day_folders(spark, path, 'date')[3].isoformat()}"
+    journal._delete(spark, removed)
+    assert usable() is None
+
+
+def test_last_rows_of_stores_and_weekdays(frame):
+    measures = "total_transactions long, total_visitors double, total_revenue double"
+    days = [(f"2024-01-{day:02d}", "a", day, 1.0, 2.0) for day in range(1, 31, 7)]
+    others = [("2024-01-02", "a", 0, None, None), (None, "a", 1, 1.0, 1.0), ("2024-01-01", None, 1, 1.0, 1.0),
+              ("2024-01-01", "b", None, 1.0, 1.0)]
+    rows = frame(f"date string, store_id string, {measures}", days + others)
+    found = records(metrics.last_rows(rows), "store_id", "date")
+    assert [(r["store_id"], r["date"]) for r in found] == [
+        ("a", "2024-01-02"), ("a", "2024-01-15"), ("a", "2024-01-22"), ("a", "2024-01-29"), ("b", "2024-01-01"),
+    ]
+    assert metrics.last_rows(rows.limit(0)).count() == 0
+
+
 def test_flat_files_are_chosen_by_name(spark, tmp_path):
     for name in ("a_2023-12-01.parquet", "a_2023-12-02.parquet", "undated.parquet"):
         pd.DataFrame({"store_id": ["s"], "hour": [1], "date": [name[2:12]]}).to_parquet(tmp_path / name)
