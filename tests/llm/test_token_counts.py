@@ -31,6 +31,15 @@ def test_settled_characters_split_alike():
         assert [len(p.encode()) for p in split(text)] == [len(p) for p, _ in own.pre_tokenize_str(text)]
 
 
+def test_ascii_splits_alike():
+    by_rule, plain = regex.compile(token_counts.PATTERN).findall, regex.compile(token_counts.ASCII).findall
+    draw = random.Random(7)
+    chars = [chr(c) for c in range(128)] + [" ", "'", "\n", "'s", "'re", "'ll", " '", "a", "1", "!", "\t "] * 6
+    for _ in range(20_000):
+        text = "".join(draw.choices(chars, k=draw.randrange(1, 16)))
+        assert token_counts._SPLIT_ASCII(text) == by_rule(text) == plain(text)
+
+
 def test_equals_the_library(spark, library, monkeypatch):
     draw = random.Random(3)
     bits = ["a", "the", "ing", " ", "  ", "\n", "\t", "'s", "'ll", "12", "é", "中", "\U0001f600", "<|endoftext|>", "!!",
