@@ -154,3 +154,53 @@ def test_toxicity_scores_by_plain_compression(spark):
         z = sum(a * b for a, b in zip(x, model.weights[:-1], strict=True)) + model.weights[-1]
         assert row.score == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, z)))), abs=1e-9)
     assert isinstance(tools[0], zstandard.ZstdCompressor)
+
+
+def test_ftrl_updates_one_number_at_a_time():
+    import math
+
+    draw = np.random.default_rng(11)
+    examples = []
+    for i in range(60):
+        buckets = np.sort(draw.choice(30, 6, replace=False)).astype(np.int32)
+        values = draw.uniform(0.1, 3, 6).astype(np.float32)
+        examples.append((buckets, values, i % 2, float(draw.uniform(0.5, 2))))
+    z, n = {}, {}
+
+    def weight(i):
+        held = 0.0 if i == "intercept" else quality.L1
+        if abs(z.get(i, 0.0)) <= held:
+            return 0.0
+        pulled = z[i] - math.copysign(held, z[i])
+        return -pulled / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for buckets, values, label, share in examples:
+            x = {**dict(zip(buckets.tolist(), values.tolist(), strict=True)), "intercept": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = share * (p - label) * x[i]
+                before = n.get(i, 0.0)
+                sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = before + g * g
+    weights, intercept = quality.ftrl(examples, epochs=2)
+    expected = [weight(i) for i in range(30)]
+    assert weights[:30].tolist() == pytest.approx(expected, rel=1e-5, abs=1e-6) and not weights[30:].any()
+    assert intercept == pytest.approx(weight("intercept"), rel=1e-6)
+    assert any(expected) and not all(expected)
+
+
+def test_quality_scores_text_by_text(spark):
+    import math
+
+    texts = ["The the THE. cat!!", "", None, "a-b_c  d", "Ünï中 x", "word " * 900, "one two three two one"]
+    weights = np.random.default_rng(5).normal(0, 0.3, quality.BUCKETS).astype(np.float32)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in quality.score(docs, (weights, -0.4)).collect()}
+    for i, text in enumerate(texts):
+        _, buckets = quality.features(pa.array([text], pa.string()))
+        total = sum(float(weights[b]) for b in buckets.tolist()) / math.sqrt(max(1, len(buckets)))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(total - 0.4))), abs=1e-6)
+    assert got[1] == got[2] and len(got) == len(texts)

@@ -85,3 +85,35 @@ def test_rows_without_key_and_repeats_keep_to_the_sample(spark):
     texts = [text for lang, text in got if lang == "aa"]
     assert languages == ["aa", "bb"] and got.count(("bb", "few")) == 20
     assert 200 < len(texts) < 400 and len(set(texts)) == len(texts)
+
+
+def scored_gram_by_gram(text, filters):
+    _, keys, lettered = grams([text])
+    if not lettered[0]:
+        return "und", 0.0
+    found = []
+    for key in keys:
+        at = [int(p[0]) for p in language_id.positions(np.array([key], np.uint64))]
+        found.append([[int(part) for part in filters.slots[a]] for a in at])
+    shares = []
+    for number in range(len(filters.languages)):
+        hits = sum(all(slot[number // 64] >> (number % 64) & 1 for slot in slots) for slots in found)
+        wrong = float(filters.false_rate[number])
+        shares.append((hits / len(keys) - wrong) / (1 - min(wrong, 0.999)))
+    best = max(range(len(shares)), key=lambda i: (shares[i], -i))
+    return filters.languages[best], min(1.0, max(0.0, shares[best]))
+
+
+def test_scores_gram_by_gram(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = docs.orderBy("doc_id").limit(25).select("doc_id", F.substring("text", 1, 400).alias("text"))
+    some = some.unionByName(spark.createDataFrame([(-1, None), (-2, "77 !"), (-3, "qqq zzz xxx")], some.schema))
+    # Beyond eight and beyond 64 languages the filters are wider.
+    many = spark.createDataFrame(
+        [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 2} the", f"l{i:03}") for i in range(90)],
+        "doc_id long, text string, lang string",
+    )
+    for filters in (learn(docs.filter(~held_out())), learn(many.filter("doc_id < 20")), learn(many)):
+        for row in identify(some.select("doc_id", "text"), filters, carry=("text",)).collect():
+            lang, score = scored_gram_by_gram(row.text or "", filters)
+            assert row.lang_pred == lang and abs(row.score - score) < 1e-9
