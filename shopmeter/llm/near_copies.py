@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from shopmeter.llm.common import chunks
 from shopmeter.llm.components import components
 from shopmeter.llm.words import mix, sets
-from shopmeter.session import durable
+from shopmeter.session import durable, release
 
 #: Words of a shingle, least similarity in hundredths, coordinates of a signature, least
 #: hashes of a coordinate, and the chance with which a pair just as similar as that may
@@ -168,11 +168,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     sized = pairs.join(mine, "u").join(other, "v")
     sized = sized.filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
     pairs = durable(sized.filter(_agreement("su", "sv") >= least).select("u", "v"))
+    release(docs.sparkSession)
     if pairs.isEmpty():
         return pairs
     needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     needed = durable(classes.select(*_CLASS).join(needed, "id"))
-    return _similar(pairs, durable(_set_table(docs, needed, shingle)), percent)
+    found = durable(_set_table(docs, needed, shingle))
+    release(docs.sparkSession)
+    return _similar(pairs, found, percent)
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +202,7 @@ def _meetings(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     counts = posts.groupBy("h").agg(F.count("*").alias("often")).filter("often > 1")
     # Written first: a join of two plain shuffles can split a shingle that many sets have.
     shared = posts.join(durable(counts), "h")
+    release(members.sparkSession)
     listed = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order")).join(members, "id")
     # What only one set has comes before all others and is never shared.
     listed = listed.withColumn("own", F.col("n") - F.size("order"))
@@ -208,10 +212,12 @@ def _meetings(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("id", "n", "component", F.col("o.h").alias("h"), (F.col("n") - F.col("own") - F.col("place")).alias("left"))
     # The largest size of another set that so many common shingles suffice for.
     rows = durable(rows.withColumn("most", F.floor((100 + percent) * F.col("left") / percent) - F.col("n")))
+    release(members.sparkSession)
     of = rows.groupBy("h", "component").agg(F.count("*").alias("many")).groupBy("h")
     lists = of.agg(F.max(F.struct("many", "component"))["component"].alias("main"), F.count("*").alias("kinds"))
     rows = rows.join(durable(lists.filter("kinds > 1").drop("kinds")), "h").withColumn("inside", F.col("component") == F.col("main"))
     rows = durable(rows.drop("main", "left"))
+    release(members.sparkSession)
     larger = rows.select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "most", "inside")))
     smaller = rows.filter("most >= n")
     fits = (
@@ -240,6 +246,7 @@ def near_copies(
     Repeated rows share their component and are all kept or not. A pair of exactly
     ``percent`` is missed with a chance of at most ``miss``, more similar ones with less.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     described = durable(_describe(rows, shingle, coordinates, together))
     linkable = described.filter("n > 0 and key is not null")
@@ -263,17 +270,21 @@ def near_copies(
     prefix = shared.groupBy("id").agg(ordered.alias("posts"), F.sum("often").alias("central"))
     prefix = prefix.select("id", "central", F.explode(F.slice("posts", 1, places)).alias("p"))
     prefix = durable(prefix.select("id", "central", "p.at", "p.value"))
+    release(spark)
 
     # Every list's classes against the most central of them.
     listed = ["at", "value"]
     hub = prefix.groupBy(listed).agg(F.max(F.struct("central", (-F.col("id")).alias("less"))).alias("hub"))
     stars = prefix.join(hub.select(*listed, (-F.col("hub.less")).alias("u")), listed)
     stars = durable(stars.filter("u <> id").select("u", F.col("id").alias("v")).distinct())
+    release(spark)
     links = _confirmed(stars, classes, rows, shingle, percent, least)
     bridges = _bridges(linkable, classes)
     if bridges is not None:
         links = durable(links.unionByName(bridges))
+    release(spark)
     found = durable(components(links))
+    release(spark)
 
     # Lists that hold several components: their classes against those of the others.
     member = prefix.join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -283,10 +294,17 @@ def near_copies(
     if not member.isEmpty():
         open_ = durable(member.join(classes.select(*_CLASS, "n"), "id"))
         sets_ = durable(_set_table(rows, open_.select(*_CLASS), shingle))
+        release(spark)
         pairs = durable(_meetings(open_.select("id", "n", "component"), sets_, percent))
+        release(spark)
         more = _similar(pairs, sets_, percent)
         if not more.isEmpty():
-            found = durable(components(links.unionByName(more)))
+            # The components found are edges to their least nodes already.
+            stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            found = durable(components(stars.unionByName(more)))
+        del open_, sets_, pairs, more
+    del posts, counts, shared, prefix, stars, links, member
+    release(spark)
 
     joined = classes.select("id", "d1", "d2", "key").join(found.withColumnRenamed("node", "id"), "id", "left")
     joined = joined.withColumn("whole", F.coalesce("component", "id"))

@@ -60,3 +60,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and cuts that no DataFrame refers to any more.
+
+    Its cleaner only learns of them when the driver collects garbage, which a driver with
+    memory to spare may not do in a whole job: long jobs call this between their steps.
+    """
+    spark.sparkContext._jvm.System.gc()

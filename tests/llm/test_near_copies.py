@@ -1,5 +1,7 @@
 import random
 import re
+import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +116,35 @@ def test_components_by_brute_force(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def shuffles(spark):
+    """Numbers of the shuffles that have files on this machine."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = (m for m in re.finditer(r"/shuffle_(\d+)_", disk.getAllFiles().mkString(" ")))
+    return {int(m[1]) for m in names}
+
+
+def test_steps_of_components_leave_no_shuffle_files_behind(spark):
+    spark.range(10).repartition(2, "id").collect()
+    first = max(shuffles(spark)) + 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(600)], "u long, v long")
+    assert components(chain).filter("component = 0").count() == 601
+    for _ in range(50):
+        left = {x for x in shuffles(spark) if x >= first}
+        if len(left) <= 14:  # those of the last step, its test and the count
+            break
+        time.sleep(0.2)
+    assert len(left) <= 14 < 30 < max(left) - first
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    module, cuts = sys.modules[components.__module__], []
+    cut = module.durable
+    monkeypatch.setattr(module, "durable", lambda df: cuts.append(df) or cut(df))
+    stars = [(i, i % 7) for i in range(7, 200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {i: i % 7 for i in range(200)} and len(cuts) == 1
+
+
 def test_nulls_repeats_extra_columns_and_empty_tables(spark):
     schema = "doc_id long, text string, n long, kept string, key int"
     rows = [(None, "a b c", 1, "x", 1), (None, "a b c", 1, "x", 1), (5, "a b c", 1, "x", 1), (5, "a b c", 1, "x", 1),
