@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopmeter.llm import language_id
@@ -31,22 +31,27 @@ LEAST_LANGUAGE = 0.2
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, row``: all columns travel in ``row``, so that no name of theirs can clash."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """``doc_id, text, row``: all columns but the text travel in ``row``, so that no name of theirs can clash."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from ``text`` and ``row``."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.learn(docs.filter(~held_out()))
-    named = language_id.identify(_carried(docs), filters, carry=("row",))
+    named = language_id.identify(_carried(docs), filters, carry=("text", "row"))
     fits = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
-    return named.filter(fits).select("row.*")
+    return named.filter(fits).select(*_columns(docs))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = near_copies(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "row.source", "row.lang", "row.n_chars"))
     kept = _carried(docs).join(first, "doc_id", "left_semi").withColumn("turn", once).filter("turn = 1")
-    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+    return kept.select(*_columns(docs)).unionByName(docs.filter("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,6 @@ def _slices(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator
             start = stop
 
 
-def schema_of(rows: DataFrame, first: str, added: str, last: str) -> T.StructType:
+def schema_of(rows: DataFrame, first: str, added: str, *last: str) -> T.StructType:
     """Columns ``first`` and ``last`` of ``rows`` as they are, and those of ``added`` between them."""
-    return T.StructType([rows.schema[first], *T.StructType.fromDDL(added).fields, rows.schema[last]])
+    return T.StructType([rows.schema[first], *T.StructType.fromDDL(added).fields, *(rows.schema[c] for c in last)])

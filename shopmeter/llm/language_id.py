@@ -182,8 +182,10 @@ def identify(
     ``lang_pred`` is the language with the highest share of the text's n-grams in its
     filter, false positives taken off; the first by name among equals. ``score`` is
     that share, 0 to 1. A null text or one without a letter is ``und`` with score 0, as
-    is every text if no language was learnt. Repeated rows get the same answer.
+    is every text if no language was learnt. Repeated rows get the same answer. A carried
+    ``text`` goes to the tasks and back once, not a second time beside itself.
     """
+    beside, texts_too = [c for c in carry if c != text], text in carry
     names, words = filters.languages, filters.slots.shape[1]
     narrow = filters.slots.astype(np.uint8) if len(names) <= 8 else filters.slots
     sent = docs.sparkSession.sparkContext.broadcast((narrow, filters.false_rate))
@@ -212,14 +214,15 @@ def identify(
                 found = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered, strict=True)]
             else:
                 found, score = [UNKNOWN] * n, np.zeros(n)
+            out = [batch.column(0), pa.array(found, pa.string()), pa.array(score), batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.string()), pa.array(score), batch.column(2)],
-                names=["key", "lang_pred", "score", "carry"],
+                [*out, *([batch.column(1)] if texts_too else [])],
+                names=["key", "lang_pred", "score", "carry", *(["text"] if texts_too else [])],
             )
 
-    carried = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
+    carried = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(beside)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), carried.alias("carry"))
-    found = rows.mapInArrow(run, schema_of(rows, "key", "lang_pred string, score double", "carry"))
-    return found.select(
-        F.col("key").alias(key), "lang_pred", "score", *(F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry))
-    )
+    last = ("carry", "text") if texts_too else ("carry",)
+    found = rows.mapInArrow(run, schema_of(rows, "key", "lang_pred string, score double", *last))
+    places = {text: "text", **{c: f"carry.c{i}" for i, c in enumerate(beside)}}
+    return found.select(F.col("key").alias(key), "lang_pred", "score", *(F.col(places[c]).alias(c) for c in carry))

@@ -120,3 +120,13 @@ def test_columns_with_names_that_stages_use(spark, tmp_path):
         assert got and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
         assert all(list(r)[5:] == extra for r in got), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
+
+
+def test_texts_travel_once(spark):
+    """Of the rows that go to Python or through the window, only one column holds the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, kind in (("language", "MapInArrow"), ("near_copies", "Window"), ("repeats", "MapInArrow")):
+        node = dict(corpus_pipeline.STAGES)[name](spark, docs, "")._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != kind:
+            node = node.children().apply(0)
+        assert node.children().apply(0).schema().json().count('"name":"text"') == 1, name

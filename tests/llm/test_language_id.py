@@ -117,3 +117,12 @@ def test_scores_gram_by_gram(spark):
         for row in identify(some.select("doc_id", "text"), filters, carry=("text",)).collect():
             lang, score = scored_gram_by_gram(row.text or "", filters)
             assert row.lang_pred == lang and abs(row.score - score) < 1e-9
+
+
+def test_carried_text_and_columns_come_back(spark):
+    rows = [(1, "the cat sat", "en", 5), (2, None, "en", 6), (3, "", None, None), (3, "le chat dort", "fr", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string, lang string, text int")
+    filters = learn(docs, text="body")
+    found = identify(docs, filters, text="body", carry=("text", "body", "lang"))
+    assert found.columns == ["doc_id", "lang_pred", "score", "text", "body", "lang"]
+    assert sorted(map(repr, ((r.doc_id, r.body, r.lang, r.text) for r in found.collect()))) == sorted(map(repr, rows))
